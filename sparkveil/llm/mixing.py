@@ -19,6 +19,8 @@ from .common import materialize, words
 
 #: Bits of a document's hash, and of a histogram level.
 HASH_BITS, LEVEL_BITS = 52, 13
+#: Parts into which the rows of a source are dealt when they meet its limit.
+SALTS = 64
 
 
 def doc_hash(key: Column) -> Column:
@@ -31,7 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     ``most`` times its source. The weights repeat along the sources by code point, null last.
 
     The level at which each source fills up is its cap over its weight; in that order, a source is capped while what is
-    left for it, at the common level, exceeds its cap. The table has one row per source.
+    left for it, at the common level, exceeds its cap; after the first that is not, the levels fall, so the highest of
+    those levels is the common one. The table has one row per source.
     """
     n = len(weights)
     by_name, by_fill = W.orderBy(F.col("source").asc_nulls_last()), W.orderBy("fill", F.col("source").asc_nulls_last())
@@ -41,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     rest = by_fill.rowsBetween(W.currentRow, W.unboundedFollowing)
     everyone = W.partitionBy()
     dealt = dealt.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(everyone) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("weight").over(rest))
-    common = F.min(F.when(F.col("fill") >= F.col("level"), F.col("level"))).over(everyone)
+    common = F.max(F.when(F.col("fill") >= F.col("level"), F.col("level"))).over(everyone)
     return dealt.withColumn("common", common).select("source", "source_size", F.when(F.col("common").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("common"))).alias("target"))
 
 
@@ -71,7 +74,9 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     at = last.join(base, base["source"].eqNullSafe(last["s"]) & (base["hash"] == last["at"])).groupBy("s", "at", "budget").agg(F.sum("size").alias("n"))
     limits = at.select("s", F.when(F.col("n") - F.col("budget") < F.col("budget"), F.col("at") + 1).otherwise(F.col("at")).alias("below"))
     limits = targets.join(limits, targets["source"].eqNullSafe(limits["s"]), "left").select(F.col("source").alias("t_source"), "source_size", "target", "whole", F.coalesce("below", F.when(F.col("budget") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))).alias("below"))
-    mixed = base.join(limits, base["source"].eqNullSafe(limits["t_source"]))
+    # A source may hold a large part of all rows: its limit is copied to SALTS places, and its rows dealt among them.
+    limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mixed = base.join(limits, base["source"].eqNullSafe(limits["t_source"]) & (F.pmod(base["hash"], F.lit(SALTS)) == limits["salt"]))
     copies = F.col("whole") + (F.col("hash") < F.col("below")).cast("long")
     return mixed.select("key", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "hash")
 
@@ -102,7 +107,7 @@ f AS (
          / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
 t AS (
-  SELECT source, source_size, least(cap, weight * min(level) FILTER (fill >= level) OVER ()) AS target FROM f),
+  SELECT source, source_size, least(cap, weight * max(level) FILTER (fill >= level) OVER ()) AS target FROM f),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 g AS (
