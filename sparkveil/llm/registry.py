@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, simhash, suffix
+from . import chat, lines, mixing, packing, quality, simhash, suffix
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op6_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.with_control_conversation(table(spark, sf_dir, "conversations"))))
 
@@ -38,6 +42,6 @@ def op10_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_vector_packing, op4_hash_mix, op5_quality_rules, op7_chat_format, op10_suffix_buckets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_vector_packing, op4_hash_mix, op5_quality_rules, op6_segment_lines, op7_chat_format, op10_suffix_buckets)}
 
 ORACLE_SQL: dict[str, str] = {"op4_hash_mix": mixing.ORACLE_OP4, "op5_quality_rules": quality.ORACLE_OP5, "op7_chat_format": chat.ORACLE_OP7}
