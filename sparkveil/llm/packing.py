@@ -80,7 +80,7 @@ def _encode(end_id: int, size: int, name: str, path: str | None):
                 part = batch.slice(at, 1000)
                 counts, crcs, rests = [], [], []
                 for text in part.column(2):
-                    ids = np.append(tok.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(tok.encode(text.as_py()), np.uint32(end_id)).astype("<u4", copy=False)
                     full = len(ids) // size
                     counts.append(len(ids))
                     crcs.append([zlib.crc32(ids[k * size : (k + 1) * size].tobytes()) for k in range(full)])

@@ -1,83 +1,89 @@
 """A tokenizer that encodes each distinct word once per Python worker.
 
-``word_bpe_49k`` drops white space and never merges across it, nor across the border of a run of letters and the
-punctuation after it. So a text's ids are those of its words in turn; words are looked up in a bounded cache.
+``word_bpe_49k`` brings a text to NFC, lowers it, drops white space and never merges across it, nor across the border of
+a run of letters or digits and the punctuation after it. So a text's ids are those of its words in turn; words are
+looked up in a bounded cache. Texts for which these steps can't be swapped safely are cut at white space only.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
 #: Control characters that Python's split takes as white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
-_TAIL = ".,;:!?"
+#: Letters, then ASCII symbols.
+_PARTS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
 
 class WordTokenizer:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.most, self.cache, self.cores = most, {}, {}
+        self.most, self.cache = most, {}
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _learn(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > self.most:
-            self.cache.clear()
-        if len(self.cores) > self.most:
-            self.cores.clear()
-        split, fresh = {}, {}
+        """Put words into the cache: letters with symbols after them are encoded apart, runs of letters together."""
+        parts, plain = {}, {}
         for w in missing:
-            core = w.rstrip(_TAIL)
-            if core.isalpha():
-                core, tail = core.lower() if core.isascii() else core, w[len(core) :]
-                split[w] = core, tail
-                if core not in self.cores:
-                    fresh[core] = None
-                if tail and tail not in self.cores:
-                    self.cores[tail] = self._encode(tail)
-            else:
-                self.cache[w] = self._encode(w)
-        fresh = list(fresh)
-        for k in range(0, len(fresh), 2000):
-            some = fresh[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            found = _PARTS.fullmatch(w)
+            if not found:
+                self.cache[w] = self._ids(w).tobytes()
+                continue
+            core, tail = found.groups()
+            if tail:
+                parts[w] = core, tail
+                if tail not in self.cache:
+                    self.cache[tail] = self._ids(tail).tobytes()
+            if core not in self.cache:
+                plain[core] = None
+        plain, wide = list(plain), self.kind.itemsize
+        for k in range(0, len(plain), 2000):
+            some = plain[k : k + 2000]
+            ids = self._ids(" ".join(some))
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
-                raw, starts = ids.tobytes(), [0, *(4 * ends[:-1]).tolist()]
-                self.cores.update(zip(some, [raw[a:b] for a, b in zip(starts, (4 * ends).tolist(), strict=True)], strict=True))
+                raw, stops = ids.tobytes(), (wide * ends).tolist()
+                self.cache.update(zip(some, [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
             else:  # a letter whose lower case isn't one letter
-                self.cores.update((w, self._encode(w)) for w in some)
-        for w, (core, tail) in split.items():
-            self.cache[w] = self.cores[core] + (self.cores[tail] if tail else b"")
+                self.cache.update((w, self._ids(w).tobytes()) for w in some)
+        for w, (core, tail) in parts.items():
+            self.cache[w] = self.cache[core] + self.cache[tail]
 
     def _words(self, text: str) -> list[str]:
-        found = text.split()
-        missing = [w for w in set(found) if w not in self.cache]
-        if missing:
-            self._learn(missing)
-            if any(w not in self.cache for w in set(found)):  # the cache was emptied meanwhile
-                self._learn([w for w in set(found) if w not in self.cache])
-        return found
+        if "<|" in text or not text.isascii() and ("Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text)):
+            return text.split()
+        return text.lower().split()
 
     def encode(self, text: str | None) -> np.ndarray:
+        """The ids, as two or four bytes each by the vocabulary's size."""
         if not text:
-            return np.empty(0, np.uint32)
+            return np.empty(0, self.kind)
         if _ODD.search(text):
-            return np.frombuffer(self._encode(text), np.uint32)
+            return self._ids(text)
         found = self._words(text)
-        return np.frombuffer(b"".join([self.cache[w] for w in found]), np.uint32)
+        ids = list(map(self.cache.get, found))
+        if None in ids:
+            if len(self.cache) > self.most:
+                self.cache.clear()
+                ids = [None] * len(found)
+            self._learn(list({w for w, x in zip(found, ids, strict=True) if x is None}))
+            ids = map(self.cache.__getitem__, found)
+        return np.frombuffer(b"".join(ids), self.kind)
 
     def count(self, text: str | None) -> int:
         return len(self.encode(text))
