@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, packing, quality, simhash, suffix
-from .common import table
+from . import ann, chat, counts, langid, lines, mixing, packing, quality, simhash, suffix
+from .common import materialize, shared_dir, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
@@ -38,10 +43,34 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.with_control_conversation(table(spark, sf_dir, "conversations"))))
 
 
+def op8_langid_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    found = langid.predict(docs, langid.train(docs.where(~held)))
+    return found.select(F.col("key").alias("doc_id"), langid.held_out(F.col("key")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in four batches, of which one is sent again under its number and once more under another;
+    the latter is taken back, documents without a language are revised to ``und``, and the first batches are compacted."""
+    counted = materialize(counts.count_documents(table(spark, sf_dir, "documents")))
+    batch = lambda b: counted.where(counts.part_of(F.col("key"), 4) == b)
+    roll = counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    for b in range(4):
+        roll.commit(b, counts.inserts(batch(b)))
+    roll.commit(2, counts.inserts(batch(2)))
+    roll.commit(4, counts.inserts(batch(1)))
+    roll.commit(5, counts.deletes(batch(1)))
+    unknown = counted.where("lang is null")
+    roll.commit(6, counts.revisions(unknown, unknown.withColumn("lang", F.lit("und"))))
+    roll.compact(5)
+    return roll.totals()
+
+
 def op10_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_vector_packing, op4_hash_mix, op5_quality_rules, op6_segment_lines, op7_chat_format, op10_suffix_buckets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_prefix_forest, op3_vector_packing, op4_hash_mix, op5_quality_rules, op6_segment_lines, op7_chat_format, op8_langid_marginal, op9_token_rollup, op10_suffix_buckets)}
 
 ORACLE_SQL: dict[str, str] = {"op4_hash_mix": mixing.ORACLE_OP4, "op5_quality_rules": quality.ORACLE_OP5, "op7_chat_format": chat.ORACLE_OP7}
