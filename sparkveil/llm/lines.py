@@ -93,14 +93,14 @@ def _bit_parallel(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(F.size(b) - F.size(a)) <= edits) & reached
 
 
-def _within(pairs: DataFrame, edits: int) -> DataFrame:
-    """Pairs (line_a, line_b) within ``edits`` edits: what they share at both ends is cut first."""
-    cut = pairs.withColumn("p", _common_prefix(F.col("line_a"), F.col("line_b")))
-    rest = lambda c: F.reverse(F.substring(F.col(c), F.col("p") + 1, F.length(c)))
-    cut = cut.withColumn("ra", rest("line_a")).withColumn("rb", rest("line_b")).withColumn("s", _common_prefix(F.col("ra"), F.col("rb")))
-    chars = lambda c: let(F.substring(F.col(c), F.col("s") + 1, F.length(c)), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, "")))
-    cut = cut.withColumn("ca", chars("ra")).withColumn("cb", chars("rb"))
-    return cut.where(_bit_parallel(F.col("ca"), F.col("cb"), edits)).drop("p", "ra", "rb", "s", "ca", "cb")
+def _within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines are within ``edits`` edits: what they share at both ends is cut first. Every part is bound by
+    ``let``: as columns of their own, Spark would copy them into each use, and compute them as often."""
+    rest = lambda x, p: F.reverse(F.substring(x, p + 1, F.length(x)))
+    chars = lambda x, s: let(F.substring(x, s + 1, F.length(x)), lambda y: F.when(y == "", F.array().cast("array<string>")).otherwise(F.split(y, "")))
+    cut = lambda r, s: F.struct(chars(r["a"], s).alias("a"), chars(r["b"], s).alias("b"))
+    inner = lambda r: let(_common_prefix(r["a"], r["b"]), lambda s: let(cut(r, s), lambda c: _bit_parallel(c["a"], c["b"], edits)))
+    return let(_common_prefix(a, b), lambda p: let(F.struct(rest(a, p).alias("a"), rest(b, p).alias("b")), inner))
 
 
 def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -117,7 +117,7 @@ def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     # Two lines with one hash would both appear here, and be told apart by the verification.
     side = lambda name, out: known.select(F.col("h").alias(name), F.col("line").alias(out))
     both = met.join(side("a", "line_a"), "a").join(side("b", "line_b"), "b").select("line_a", "line_b")
-    out = materialize(_within(both, edits))
+    out = materialize(both.where(_within(F.col("line_a"), F.col("line_b"), edits)))
     drop_materialized(met, known)
     release(spark)
     return out
