@@ -93,7 +93,7 @@ def _bit_parallel(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(F.size(b) - F.size(a)) <= edits) & reached
 
 
-def _within(a: Column, b: Column, edits: int) -> Column:
+def _near(a: Column, b: Column, edits: int) -> Column:
     """Whether two lines are within ``edits`` edits: what they share at both ends is cut first. Every part is bound by
     ``let``: as columns of their own, Spark would copy them into each use, and compute them as often."""
     rest = lambda x, p: F.reverse(F.substring(x, p + 1, F.length(x)))
@@ -103,6 +103,11 @@ def _within(a: Column, b: Column, edits: int) -> Column:
     return let(_common_prefix(a, b), lambda p: let(F.struct(rest(a, p).alias("a"), rest(b, p).alias("b")), inner))
 
 
+def _within(pairs: DataFrame, edits: int) -> DataFrame:
+    """Pairs (line_a, line_b) within ``edits`` edits."""
+    return pairs.where(_near(F.col("line_a"), F.col("line_b"), edits))
+
+
 def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Distinct lines (line) of more than ``edits`` code points -> pairs (line_a, line_b), different and within ``edits`` edits."""
     spark = lines.sparkSession
@@ -117,7 +122,7 @@ def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     # Two lines with one hash would both appear here, and be told apart by the verification.
     side = lambda name, out: known.select(F.col("h").alias(name), F.col("line").alias(out))
     both = met.join(side("a", "line_a"), "a").join(side("b", "line_b"), "b").select("line_a", "line_b")
-    out = materialize(both.where(_within(F.col("line_a"), F.col("line_b"), edits)))
+    out = materialize(_within(both, edits))
     drop_materialized(met, known)
     release(spark)
     return out
