@@ -59,7 +59,7 @@ class Lattice:
         usable = {p: i for i, p in enumerate(pieces) if 0 < len(p) <= PIECE and not (p.startswith("<") and p.endswith(">"))}
         self.factor = np.uint64(0x9E3779B97F4A7C15)
         with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.concatenate(([1], np.full(LONGEST + 1, self.factor)), dtype=np.uint64), dtype=np.uint64)
+            self.powers = np.cumprod(np.array([1, *[self.factor] * (LONGEST + 1)], np.uint64), dtype=np.uint64)
             hashes = np.array([self._prefix(self._codes([p]))[0, -1] for p in usable], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(list(usable.values()), np.int32)[order]
