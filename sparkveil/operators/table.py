@@ -196,6 +196,12 @@ def _anonymized(df: DataFrame, column: str, kind: str) -> Column:
     return anonymize(F.lit(kind), cell(df, column))
 
 
+def _cells_of(idx: int) -> Column:
+    """The replacements of one column, in reading order."""
+    mine = F.filter("sv_cells", lambda x: x["idx"] == idx)
+    return F.array_sort(F.transform(mine, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pseudonym"].alias("pseudonym"))))
+
+
 def apply_decisions(df: DataFrame, decisions: dict[str, Decision], row: str, cell_spans: DataFrame | None = None) -> ProtectedTable:
     """Carries out one decision per column. ``cell_spans`` (row, column, spans) are a model's findings in free text."""
     columns = [c for c in df.columns if c != row]
@@ -254,7 +260,7 @@ def apply_decisions(df: DataFrame, decisions: dict[str, Decision], row: str, cel
         lists = replaced.groupBy("row").agg(F.collect_list(by_cell).alias("sv_cells")).withColumnRenamed("row", "sv_row")
         out = df.join(lists, F.col(row) == F.col("sv_row"), "left").drop("sv_row")
         for c in {*texts, *(c for c, d in single.items() if d.action == PSEUDONYMIZE)}:
-            own = F.array_sort(F.transform(F.filter("sv_cells", lambda x, i=at[c]: x["idx"] == i), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pseudonym"].alias("pseudonym"))))
+            own = _cells_of(at[c])
             new = replace_spans(cell(df, c), own, lambda s: s["pseudonym"]) if c in texts else own[0]["pseudonym"]
             out = out.withColumn(c, F.when(F.size(own) > 0, new).otherwise(F.col(f"`{c}`").cast("string")))
         out = out.drop("sv_cells")

@@ -62,23 +62,31 @@ def _replace(text: str, spans: list, registry: Registry) -> str:
 CHAT_SCHEMA = "conv_id long, turn long, protected string"
 
 
-def protect_turns(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Turns with their ``spans`` (start, end, type, value, prefix, token) -> protected texts. Rows of one micro-batch are
-    taken in the order of turns; a turn that comes in a later batch is numbered after what came before."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    registry = Registry(json.loads(state.get[0]) if state.exists else None)
-    rows = pd.concat(list(batches)).sort_values("turn")
-    out = [(key[0], r.turn, None if r.text is None else _replace(r.text, r.spans, registry)) for r in rows.itertuples()]
-    state.update((json.dumps(registry.rows),))
-    state.setTimeoutDuration(6 * 3600 * 1000)
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "protected"])
+def _timeout(idle_seconds: float | None) -> str:
+    """State is kept for ever, or until a key was idle. A stream that drains its input and ends can't wait for idle keys."""
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout
 
 
-def protect_chat(turns: DataFrame) -> DataFrame:
-    """A stream (conv_id, turn, text, spans) -> (conv_id, turn, protected) with one registry per conversation."""
-    return turns.groupBy("conv_id").applyInPandasWithState(protect_turns, CHAT_SCHEMA, "registry string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def protect_chat(turns: DataFrame, idle_seconds: float | None = None) -> DataFrame:
+    """A stream (conv_id, turn, text, spans) -> (conv_id, turn, protected) with one registry per conversation.
+
+    ``spans`` hold start, end, type, value, prefix and token. Rows of one micro-batch are taken in the order of turns; a
+    turn that comes in a later batch is numbered after what came before.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        registry = Registry(json.loads(state.get[0]) if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values("turn")
+        out = [(key[0], r.turn, None if r.text is None else _replace(r.text, r.spans, registry)) for r in rows.itertuples()]
+        state.update((json.dumps(registry.rows),))
+        if idle_seconds:
+            state.setTimeoutDuration(int(idle_seconds * 1000))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "protected"])
+
+    return turns.groupBy("conv_id").applyInPandasWithState(run, CHAT_SCHEMA, "registry string", "append", _timeout(idle_seconds))
 
 
 def allow_hits(hits: pd.DataFrame, start: float | None, used: int, most: int, width: float) -> tuple[list[bool], float | None, int]:
@@ -92,7 +100,7 @@ def allow_hits(hits: pd.DataFrame, start: float | None, used: int, most: int, wi
     return out, start, used
 
 
-def rate_limit(hits: DataFrame, most: int, seconds: float) -> DataFrame:
+def rate_limit(hits: DataFrame, most: int, seconds: float, idle_seconds: float | None = None) -> DataFrame:
     """A stream (key, ts) -> (key, ts, allowed)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -103,11 +111,12 @@ def rate_limit(hits: DataFrame, most: int, seconds: float) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("ts")
         allowed, start, used = allow_hits(rows, start, used, most, seconds)
         state.update((start, used))
-        state.setTimeoutDuration(int(max(1, seconds) * 1000))
+        if idle_seconds:
+            state.setTimeoutDuration(int(idle_seconds * 1000))
         yield pd.DataFrame({"key": key[0], "ts": rows["ts"].to_numpy(), "allowed": allowed})
 
     kind = hits.schema["key"].dataType.simpleString()
-    return hits.groupBy("key").applyInPandasWithState(run, f"key {kind}, ts timestamp, allowed boolean", "start double, used int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("key").applyInPandasWithState(run, f"key {kind}, ts timestamp, allowed boolean", "start double, used int", "append", _timeout(idle_seconds))
 
 
 def replay_guard(steps: DataFrame) -> DataFrame:
