@@ -2,8 +2,9 @@
 
 Lines are compared with up to ``edits`` edits. A line is split into edits + 1 even segments; whatever the edits, one
 segment of the shorter of two matching lines is a substring of the longer, at a place that the lengths bound. So each
-line's segments are indexed by length, number and text, each line probes with the few substrings that may match, and
-pairs that meet are verified with a banded bit-parallel edit distance. Equal lines, however many, are one entry.
+line's segments are indexed by length, number and text, and each line probes with the few substrings that may match. Of
+lines that meet, those whose characters differ in more parities than the edits can change are no pair; the others are
+verified with a banded bit-parallel edit distance. Equal lines, however many, are one entry.
 
 Of each class of equal or matching lines (linked directly or over others) the first stays: that with the least
 document key, then line number. Lines shorter than ``least`` code points are never compared and stay.
@@ -48,6 +49,22 @@ def _probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return out
 
 
+#: Buckets of the parity signature that is part of a line's id.
+PARITY = 28
+
+
+def _line_id(line: Column) -> Column:
+    """64 bits: a hash, and in the lowest ``PARITY`` bits whether the characters of each bucket occur an odd number of
+    times. One edit changes two of these bits at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % PARITY).cast("int"))
+    parity = F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+    return F.xxhash64(line).bitwiseAND(F.lit(-(1 << PARITY))).bitwiseOR(parity)
+
+
+def _may_match(a: Column, b: Column, edits: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << PARITY) - 1))) <= 2 * edits
+
+
 def _common_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix, by halving steps."""
     steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
@@ -111,12 +128,12 @@ def _within(pairs: DataFrame, edits: int) -> DataFrame:
 def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Distinct lines (line) of more than ``edits`` code points -> pairs (line_a, line_b), different and within ``edits`` edits."""
     spark = lines.sparkSession
-    known = materialize(lines.select("line", F.xxhash64("line").alias("h")))
+    known = materialize(lines.select("line", _line_id(F.col("line")).alias("h")))
     release(spark)
     line, length = F.col("line"), F.length("line")
     index = known.select(F.col("h").alias("a"), F.explode(F.array(*_index_keys(line, length, edits))).alias("k"))
     probe = known.select(F.col("h").alias("b"), F.explode(F.array(*_probe_keys(line, length, edits))).alias("k"))
-    met = index.join(probe, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = index.join(probe, "k").where((F.col("a") != F.col("b")) & _may_match(F.col("a"), F.col("b"), edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = materialize(met)
     release(spark)
     # Two lines with one hash would both appear here, and be told apart by the verification.
