@@ -86,7 +86,9 @@ def best_thresholds(swept: DataFrame, label: str = "label") -> DataFrame:
 
 def upper_median(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     """The element at floor(n / 2) of the sorted values, and the largest, per group."""
-    half = F.count("*") / 2
-    exact = F.expr(f"percentile(`{column}`, array(0.5))[0]")
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(column).alias("largest"), F.expr(f"percentile_disc(0.5) within group (order by `{column}`)").alias("low"), exact.alias("mid"), half.alias("h"))
-    return out.select(*by, F.when(F.col("n") % 2 == 0, 2 * F.col("mid") - F.col("low")).otherwise(F.col("low")).alias("median"), "largest")
+    low = rows.groupBy(*by).agg(F.count(column).alias("n"), F.max(column).alias("largest"), F.expr(f"percentile_disc(0.5) within group (order by `{column}`)").alias("low"))
+    v = F.col(column)
+    # an even number of values has its upper median one place further: the next larger value, if no more equal the lower
+    near = rows.join(low, by).groupBy(*by, "n", "largest", "low").agg(F.count_if(v <= F.col("low")).alias("le"), F.min(F.when(v > F.col("low"), v)).alias("next"))
+    further = (F.col("n") % 2 == 0) & (F.col("le") * 2 == F.col("n"))
+    return near.select(*by, F.when(further, F.col("next")).otherwise(F.col("low")).alias("median"), "largest")

@@ -11,7 +11,6 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from ..types import ACTIONS, ANONYMIZE, DROP, KEEP, PSEUDONYMIZE, TYPES
@@ -167,8 +166,9 @@ def policy_actions(policy: DataFrame, defaults: dict[str, str]) -> DataFrame:
 
 def shares(rows: DataFrame, value: str) -> DataFrame:
     """``rows`` with their rounded share of the total in percent; null if it is 0."""
-    total = F.sum(value).over(Win.partitionBy())
-    return rows.withColumn("share", F.when(total != 0, F.floor(F.col(value) * 100.0 / total + 0.5).cast("long")))
+    total = F.broadcast(rows.agg(F.sum(value).alias("sv_total")))  # one row
+    share = F.when(F.col("sv_total") != 0, F.floor(F.col(value) * 100.0 / F.col("sv_total") + 0.5).cast("long"))
+    return rows.crossJoin(total).withColumn("share", share).drop("sv_total")
 
 
 def nested_report(events: DataFrame, det: DataFrame, areas: DataFrame, incidents: DataFrame | None = None, k: int = MIN_GROUP) -> DataFrame:

@@ -214,11 +214,7 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 @register(REPORTS, """
 SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS median, max(value) AS largest FROM events GROUP BY event_type""")
 def latency_upper_median(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("low"), F.count("*").alias("n"), F.max("value").alias("largest"))
-    ranked = table(spark, sf, "events").join(rows, "event_type")
-    # the lower median, and for an even number of values the next one: the smallest with more than half of them below or equal
-    above = ranked.groupBy("event_type").agg(F.max("low").alias("low"), F.max("n").alias("n"), F.max("largest").alias("largest"), F.count_if(F.col("value") <= F.col("low")).alias("le"), F.min(F.when(F.col("value") > F.col("low"), F.col("value"))).alias("next"))
-    return above.select("event_type", F.when((F.col("n") % 2 == 0) & (F.col("le") == F.col("n") / 2), F.col("next")).otherwise(F.col("low")).alias("median"), "largest")
+    return Q.upper_median(table(spark, sf, "events").select("event_type", "value"), "value", ["event_type"])
 
 
 @register(REPORTS, """

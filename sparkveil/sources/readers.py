@@ -137,7 +137,7 @@ def json_leaves(df: DataFrame, column: str, key: str) -> DataFrame:
 
 
 def _number(x: float) -> str:
-    return str(int(x)) if isinstance(x, int) or x == int(x) else repr(x)
+    return str(int(x)) if isinstance(x, int) or x.is_integer() else repr(x)
 
 
 # Entities that cells are decoded by.
