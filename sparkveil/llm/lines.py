@@ -56,11 +56,29 @@ PARITY = 28
 def _line_id(line: Column) -> Column:
     """64 bits: a hash, and in the lowest ``PARITY`` bits whether the characters of each bucket occur an odd number of
     times. One edit changes two of these bits at most."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % PARITY).cast("int"))
-    parity = F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+    one = F.lit(1).cast("long")
+    # a shift counts modulo 64, so a character's bucket is its code point modulo 64, then (halves folded) modulo 32
+    bits = F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, F.ascii(c))))
+    parity = let(bits, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit((1 << PARITY) - 1)))
     return F.xxhash64(line).bitwiseAND(F.lit(-(1 << PARITY))).bitwiseOR(parity)
 
 
+#: Bits of the filter by which lines without a pair are left where they are: 4 MB at most, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def _among(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``lines`` whose ``h`` is in ``ids`` (h), and a few others. The ids become a bitmap of fixed size, which is
+    broadcast, so that only these lines are shuffled afterwards."""
+    slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
+    at = lambda c: F.call_function("bitmap_bit_position", c)
+    group = lambda c: F.call_function("bitmap_bucket_number", c)
+    maps = ids.select(slot.alias("x")).groupBy(group(F.col("x")).alias("g")).agg(F.call_function("bitmap_construct_agg", at(F.col("x"))).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at(slot), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (at(slot) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return lines.join(F.broadcast(maps), group(slot) == F.col("g")).where(hit).select(*lines.columns)
+
+
 def _may_match(a: Column, b: Column, edits: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << PARITY) - 1))) <= 2 * edits
 
@@ -137,7 +155,8 @@ def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     met = materialize(met)
     release(spark)
     # Two lines with one hash would both appear here, and be told apart by the verification.
-    side = lambda name, out: known.select(F.col("h").alias(name), F.col("line").alias(out))
+    paired = _among(known, met.select(F.explode(F.array("a", "b")).alias("h")))
+    side = lambda name, out: paired.select(F.col("h").alias(name), F.col("line").alias(out))
     both = met.join(side("a", "line_a"), "a").join(side("b", "line_b"), "b").select("line_a", "line_b")
     out = materialize(_within(both, edits))
     drop_materialized(met, known)
