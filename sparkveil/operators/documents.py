@@ -147,6 +147,33 @@ def protect(analyzed: DataFrame, policy: dict[str, str] | None = None, scope: li
     return Protected(out.withColumn("protected", text).drop("sv_repl"), table, flat.groupBy("type").agg(F.count("*").alias("count")))
 
 
+#: Places of a table's cell in one number, which orders them.
+_ROWS, _COLUMNS = 1_000_000_000, 10_000
+
+
+def table_segments(tables: DataFrame, key: str) -> DataFrame:
+    """Rows (key, table_id, row_id, cells) of tables, the first one of a table its header -> segments (key, seg_id, text,
+    hint): every other cell with its column's header as the hint."""
+    heads = tables.groupBy(key, "table_id").agg(F.min_by("cells", "row_id").alias("head"), F.min("row_id").alias("first"))
+    body = tables.join(heads, [key, "table_id"]).where("row_id > first")
+    cells = body.select(key, "table_id", "row_id", "head", F.posexplode("cells").alias("c", "text"))
+    place = (F.col("table_id").cast("long") * _ROWS + F.col("row_id")) * _COLUMNS + F.col("c")
+    return cells.select(key, place.alias("seg_id"), "text", F.get("head", F.col("c")).alias("hint"))
+
+
+def rebuild_tables(segments: DataFrame, key: str, text: str = "protected") -> DataFrame:
+    """Segments of ``table_segments`` -> (key, table_id, row_id, cells) without the header rows."""
+    place = F.floor(F.col("seg_id") / _COLUMNS)
+    rows = segments.select(key, F.floor(place / _ROWS).cast("int").alias("table_id"), (place % _ROWS).cast("int").alias("row_id"), (F.col("seg_id") % _COLUMNS).cast("int").alias("c"), F.col(text).alias("t"))
+    return rows.groupBy(key, "table_id", "row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("cells"))
+
+
+def usage_events(analyzed: DataFrame, actions: dict[str, str], doc: str = "doc_id") -> DataFrame:
+    """Metadata about a run, without any text: event_id, type, action, amount; types that are kept count too."""
+    found = analyzed.select(F.col(doc).alias("event_id"), F.explode("spans").alias("s")).groupBy("event_id", "s.type").agg(F.count("*").alias("amount"))
+    return found.select("event_id", "type", _literal_map(actions)[F.col("type")].alias("action"), "amount")
+
+
 def leaks(cleaned: DataFrame, secrets: DataFrame, keys: list[str], scope: list[str] = [], text: str = "protected", secret: str = "original", least: int = 4) -> DataFrame:
     """Rows of ``cleaned`` in which an original value (of their scope) of four or more characters still stands, letter
     for letter."""

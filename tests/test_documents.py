@@ -107,6 +107,16 @@ def test_terms_are_whole_words(spark):
     assert {r.id: len(r.sv_terms) for r in D.term_spans(df, listed, ["id"]).collect()} == {1: 4}
 
 
+def test_tables_of_documents_share_the_registry(spark):
+    rows = [(1, 0, 0, ["Vendedor", "Monto"]), (1, 0, 1, ["Juan Pérez", "10"]), (1, 0, 2, ["Ana Gómez", "20"]), (1, 1, 0, ["Contacto"]), (1, 1, 5, ["JUAN PEREZ"])]
+    tables = spark.createDataFrame(rows, "doc_id int, table_id int, row_id int, cells array<string>")
+    analyzed = D.analyze(D.table_segments(tables, "doc_id"))
+    done = D.protect(analyzed)
+    got = {(r.table_id, r.row_id): r.cells for r in D.rebuild_tables(done.segments, "doc_id").collect()}
+    assert got == {(0, 1): ["Persona_01", "10"], (0, 2): ["Persona_02", "20"], (1, 5): ["Persona_01"]}
+    assert [tuple(r) for r in D.usage_events(analyzed, D.action_of()).collect()] == [(1, "NOMBRE_PERSONA", "seudonimizar", 3)]
+
+
 TABLE = [
     (0, "Pérez Hnos SA", "20-12345678-6", "a@x.com", 850000.0, "Hablar con Pérez Hnos SA sobre b@y.com hoy mismo", "Córdoba"),
     (1, "PEREZ HNOS S.A.", "20-12345678-6", None, 1250000.0, "nada importante que decir por ahora", "Salta"),

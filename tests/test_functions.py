@@ -5,6 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from sparkveil.functions import anonymize as A
+from sparkveil.functions import misc as M
 from sparkveil.functions import numbers as N
 from sparkveil.functions import text as T
 from sparkveil.functions import validators as V
@@ -65,6 +66,13 @@ def test_texts(spark):
     assert apply(spark, ["Total de Monto por Año (2025)"], T.slug) == ["total-de-monto-por-ano-2025"]
 
 
+def test_small_helpers(spark):
+    assert apply(spark, ["https://www.Chat.example.com/x", "no url", None], lambda s: M.site_of(s, ("chat.example.com",))) == ["chat.example.com", None, None]
+    assert apply(spark, ["a.JSON", "b.pdf", "c"], M.output_extension) == ["json", "txt", "txt"]
+    assert apply(spark, ["1234", "2500000", "12"], lambda s: M.compact_number(s.cast("double"))) == ["1k", "2,5M", "12"]
+    assert apply(spark, ["12.5", "-3.2", "0"], lambda s: M.signed_percent(s.cast("double"))) == ["+13 %", "-3 %", "0 %"]
+
+
 def test_equivalence_keys(spark):
     df = spark.createDataFrame([("CUIT_CUIL", "20-12345678-6"), ("CBU_CVU", "perro.casa.sol"), ("PATENTE", "ab 123-cd"), ("RAZON_SOCIAL", "PÉREZ S.A.")], "k string, v string")
     assert [r.x for r in df.select(T.equivalence_key(F.col("k"), F.col("v")).alias("x")).collect()] == ["20123456786", "perrocasasol", "AB123CD", "perez sa"]
