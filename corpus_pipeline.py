@@ -16,8 +16,8 @@ from sparkveil.llm.common import materialize, release, table
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # written before the filter: Spark would push it below the counts, and copy what they share into each use
-    judged = materialize(quality.judge(docs).select(*docs.columns, "kept"))
-    return judged.where("kept").select(*docs.columns)
+    judged = materialize(quality.judge(docs.select("text", F.struct("*").alias("doc"))).select("doc", "kept"))
+    return judged.where("kept").select("doc.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
