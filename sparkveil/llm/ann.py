@@ -2,8 +2,9 @@
 
 Each tree gives a vector a string of sign bits of random directions; a tree is the sorted array of its strings. A query
 descends to the longest prefix it shares with entries of each tree, then all trees ascend together, one bit at a time,
-until the entries below the common prefix number ``candidates`` over all trees. These are scored exactly, and the best
-of all trees are merged. The forest's roots are the prefixes of a few bits, so that an array is cut into shards; a shard
+until the entries below the common prefix number ``candidates`` over all trees, or ``SHARE`` for each distinct vector if
+that is more, so that the searched part doesn't shrink as a table grows. These are scored exactly, and the best of all
+trees are merged. The forest's roots are the prefixes of a few bits, so that an array is cut into shards; a shard
 that is much larger than planned is cut again by a hash. Equal vectors are one entry, with its least ids.
 
 To serve inner products, vectors get one more component that makes all norms equal; a query's is zero.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialize, release
 
 TREES, CANDIDATES, BITS = 14, 65_536, 24
+#: Candidates over all trees for each distinct vector, at least: 9 % of the table in a tree.
+SHARE = 1.28
 #: Vectors of a shard that one task handles at once.
 SHARD = 32_768
 
@@ -123,6 +126,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     entries = materialize(entries.join(members, "cid").withColumn("least", F.col("ids")[0]))
     n, roof = entries.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
     roof = math.sqrt(roof or 0.0)
+    candidates = max(candidates, math.ceil(SHARE * n))
     root = max(0, min(BITS - 1, int(math.log2(max(1, trees * n / candidates))) - 1))
 
     labelled = entries.select("cid", "v").mapInArrow(_labeller(trees, seed, roof), "cid string, dim int, data array<int>, query array<int>")

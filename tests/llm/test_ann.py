@@ -47,5 +47,14 @@ def test_recall_of_the_forest(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_candidates_follow_the_table(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 64))
+    rows = [(i, floats(v / np.linalg.norm(v))) for i, v in enumerate(x)]
+    got, want = search(spark, rows, candidates=300), brute(rows)
+    hits = sum(len({j for j, _ in w} & {j for j, _ in got.get(i, {}).values()}) for i, (w,) in want.items())
+    assert hits >= 0.9 * 20 * len(want)
+
+
 def test_no_rows(spark):
     assert search(spark, []) == {}
