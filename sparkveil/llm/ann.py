@@ -5,9 +5,11 @@ descends to the longest prefix it shares with entries of each tree, then all tre
 until the entries below the common prefix number ``candidates`` over all trees, or ``SHARE`` for each distinct vector if
 that is more, so that the searched part doesn't shrink as a table grows. These are scored exactly, and the best of all
 trees are merged. The forest's roots are the prefixes of a few bits, so that an array is cut into shards; a shard
-that is much larger than planned is cut again by a hash. Equal vectors are one entry, with its least ids.
+that is much larger than planned is cut again by a hash. Equal vectors are one entry, with its least ids. A query whose
+roots hold fewer entries than it is due is scored against all entries, block by block.
 
-To serve inner products, vectors get one more component that makes all norms equal; a query's is zero.
+To serve inner products, vectors get one more component that makes all norms of a band (a factor of the square root of
+two) equal, so that a long vector doesn't flatten the labels of the others; a query's is zero.
 
 Defined cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do rows
 without an id; rows with one id are candidates each, but never of a query with that id; only vectors of one length are
@@ -42,8 +44,8 @@ def _planes(dim: int, trees: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, dim)).standard_normal((trees, BITS, dim + 1))
 
 
-def _labeller(trees: int, seed: int, roof: float):
-    """Entries -> their label in each tree, as data (with the norm's rest) and as query."""
+def _labeller(trees: int, seed: int, roofs: dict[int, float]):
+    """Entries -> their label in each tree, as data (with the rest to their band's largest squared norm) and as query."""
 
     def run(batches):
         for batch in batches:
@@ -52,7 +54,8 @@ def _labeller(trees: int, seed: int, roof: float):
                 rows = np.flatnonzero(sizes == dim)
                 part = batch.take(pa.array(rows))
                 x = np.array(part.column(1).to_pylist(), float)
-                rest = np.sqrt(np.maximum(0, roof * roof - (x * x).sum(1)))
+                roof = np.array([roofs[b] for b in part.column(2).to_pylist()])
+                rest = np.sqrt(np.maximum(0, roof - (x * x).sum(1)))
                 planes = _planes(int(dim), trees, seed)
                 weights = 1 << np.arange(BITS - 1, -1, -1)
                 flat = np.einsum("nd,tbd->tnb", x, planes[:, :, :-1])
@@ -123,13 +126,15 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     ranked = rows.select("cid", "id", F.row_number().over(W.partitionBy("cid").orderBy("id")).alias("r")).where(F.col("r") <= k + 1)
     members = ranked.groupBy("cid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = rows.groupBy("cid").agg(F.first("v").alias("v"), F.max("asks").alias("asks"))
-    entries = materialize(entries.join(members, "cid").withColumn("least", F.col("ids")[0]))
-    n, roof = entries.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
-    roof = math.sqrt(roof or 0.0)
-    candidates = max(candidates, math.ceil(SHARE * n))
+    entries = entries.join(members, "cid").withColumn("least", F.col("ids")[0]).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    entries = materialize(entries.withColumn("band", F.coalesce(F.floor(F.log2("norm2")), F.lit(-(1 << 11))).cast("int")))
+    bands = entries.groupBy("band").agg(F.count("*").alias("n"), F.max("norm2").alias("roof")).collect()  # some 2,000 at most
+    n, roofs = sum(b["n"] for b in bands), {b["band"]: b["roof"] for b in bands}
+    # A tree holds an entry once, so trees * (k + 1) candidates are k and the query itself at least.
+    candidates = max(candidates, math.ceil(SHARE * n), trees * (k + 1))
     root = max(0, min(BITS - 1, int(math.log2(max(1, trees * n / candidates))) - 1))
 
-    labelled = entries.select("cid", "v").mapInArrow(_labeller(trees, seed, roof), "cid string, dim int, data array<int>, query array<int>")
+    labelled = entries.select("cid", "v", "band").mapInArrow(_labeller(trees, seed, roofs), "cid string, dim int, data array<int>, query array<int>")
     labelled = labelled.select("cid", "dim", F.posexplode(F.arrays_zip("data", "query")).alias("tree", "l")).select("cid", "dim", "tree", F.col("l.data").alias("data"), F.col("l.query").alias("query"))
     labels = materialize(labelled)
     shard = lambda c: F.shiftright(c, BITS - root)
@@ -146,12 +151,26 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     counted = data.groupBy(*at).cogroup(query.groupBy(*at)).applyInArrow(_counter(root), "cid string, " + ", ".join(f"{d} long" for d in depths))
     summed = counted.groupBy("cid").agg(*[F.sum(d).alias(d) for d in depths])
     depth = F.coalesce(*[F.when(F.col(f"d{d}") >= candidates, F.lit(d)) for d in range(BITS, root, -1)], F.lit(root))
-    depth = materialize(summed.select("cid", depth.alias("depth")))
+    # Queries whose roots hold too few, or nothing at all, are scored against all entries.
+    due = F.col(f"d{root}") >= candidates
+    depth = materialize(summed.where(due).select("cid", depth.alias("depth")))
+    short = materialize(entries.where("asks").join(depth, "cid", "left_anti").select("cid", F.size("v").alias("dim"), "v"))
+    n_short = short.count()
     release(spark)
 
     asked = query.join(depth, "cid").join(entries.select("cid", "v"), "cid")
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # names of its own beside ``held``
     held = data.join(entries.select("cid", "v", "least"), "cid")
+    if n_short:
+        # A grid of blocks of entries and parts of queries; at depth 0 a range is the whole block.
+        blocks, parts = -(-n // SHARD), -(-n_short // SHARD)
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        mine = lambda count: F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")
+        zero = F.lit(0).cast("int")
+        whole = entries.select("cid", F.size("v").alias("dim"), F.lit(-1).alias("tree"), zero.alias("label"), every(parts).alias("shard"), mine(blocks).alias("cut"), "v", "least")
+        rest = short.select("cid", "dim", F.lit(-1).alias("tree"), zero.alias("label"), mine(parts).alias("shard"), every(blocks).alias("cut"), zero.alias("depth"), "v")
+        held = held.select(*whole.columns).unionByName(whole)
+        asked = asked.select(*rest.columns).unionByName(rest)
     found = held.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(_searcher(k + 1), "qid string, cid string, score double")
     found = found.groupBy("qid", "cid").agg(F.max("score").alias("score")).join(entries.select("cid", "ids", "least"), "cid")
     top = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "least"))).where(F.col("r") <= k + 1)

@@ -56,5 +56,17 @@ def test_candidates_follow_the_table(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_query_away_from_all_shards(spark):
+    """All vectors lie around one direction and query 0 points the other way: no root of its holds data."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(32) + rng.standard_normal((1500, 32)) * 0.01
+    x[0] = -x[2]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, floats(v)) for i, v in enumerate(x)]
+    got, want = search(spark, rows, candidates=300), brute(rows)
+    assert [i for i in want if len(got.get(i, {})) < 20] == []
+    assert {j for j, _ in got[0].values()} == {j for j, _ in want[0][0]}
+
+
 def test_no_rows(spark):
     assert search(spark, []) == {}
