@@ -7,7 +7,8 @@ lines that meet, those whose characters differ in more parities than the edits c
 verified with a banded bit-parallel edit distance. Equal lines, however many, are one entry.
 
 Of each class of equal or matching lines (linked directly or over others) the first stays: that with the least
-document key, then line number. Lines shorter than ``least`` code points are never compared and stay.
+document key, then line number. Lines shorter than ``least`` code points are not compared by edits; with ``short``, exact
+copies of those that hold a word (a letter or digit) go as well, else they stay.
 
 Defined cases: a null text stays null, and an empty one empty; a text all of whose lines go becomes empty; rows of one
 key count as one document, so a line at one place of it is kept or dropped in all of them; a null key sorts first;
@@ -164,17 +165,18 @@ def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return out
 
 
-def _explode(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+def _explode(docs: DataFrame, key: str, text: str, least: int, short: bool) -> DataFrame:
     rows = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    return rows.where(F.length("line") >= least)
+    long = F.length("line") >= least
+    return rows.where(long | F.col("line").rlike(r"[\p{L}\p{N}]") if short else long)
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """(key, gone: array of line numbers from 0) of the documents that lose lines."""
     least = max(least, edits + 1)
-    lines = _explode(docs, key, text, least)
+    lines = _explode(docs, key, text, least, short)
     name = F.unhex(F.md5("line"))
-    pairs = matching_lines(lines.select("line").distinct(), edits).select(F.unhex(F.md5("line_a")).alias("a"), F.unhex(F.md5("line_b")).alias("b"))
+    pairs = matching_lines(lines.where(F.length("line") >= least).select("line").distinct(), edits).select(F.unhex(F.md5("line_a")).alias("a"), F.unhex(F.md5("line_b")).alias("b"))
     roots = components(pairs).select(F.col("node").alias("id"), "root")
     places = lines.select("key", "at", name.alias("id"))
     groups = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first"))
@@ -187,10 +189,10 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edit
     return materialize(gone.groupBy("key").agg(F.collect_set("at").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``."""
     k, g = fresh(docs, "sv_key", "sv_gone")
-    gone = dropped_lines(docs, key, text, edits, least).select(F.col("key").alias(k), F.col("gone").alias(g))
+    gone = dropped_lines(docs, key, text, edits, least, short).select(F.col("key").alias(k), F.col("gone").alias(g))
     release(docs.sparkSession)
     joined = docs.join(gone, docs[key].eqNullSafe(gone[k]), "left")
     parts = F.split(F.col(text), "\n")

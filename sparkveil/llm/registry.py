@@ -36,7 +36,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,5 +69,18 @@ def test_edit_check_is_exact(spark):
         assert got == sorted((a, b) for a, b in pairs if edit_distance(a, b) <= edits)
 
 
+def test_query_and_stage_drop_copies_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from sparkveil.llm import registry
+
+    rows = [(1, "All rights reserved.\n}\n\nshort line"), (2, "own words\nAll rights reserved.\n}\n\n--"), (3, "short line\nshort lime\n--")]
+    want = {1: rows[0][1], 2: "own words\n}\n\n--", 3: "short lime\n--"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == want
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_chars_kept for r in registry.op6_segment_lines(spark, str(tmp_path)).collect()}
+    assert got == {k: len(t) for k, t in want.items()}
+
+
 def test_no_rows(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
