@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize
 
 TREES, CANDIDATES, BITS = 14, 65_536, 24
 #: Candidates over all trees for each distinct vector, at least: 9 % of the table in a tree.
@@ -118,7 +118,6 @@ def _searcher(best: int):
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, candidates: int = CANDIDATES, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query row's ``k`` nearest other rows."""
-    spark = vectors.sparkSession
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), is_query.alias("asks"), F.col(vector).cast("array<double>").alias("v")).where(_valid(F.col("v")))
     rows = rows.withColumn("cid", F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "v"))))
     rows = materialize(rows)
@@ -156,7 +155,6 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     depth = materialize(summed.where(due).select("cid", depth.alias("depth")))
     short = materialize(entries.where("asks").join(depth, "cid", "left_anti").select("cid", F.size("v").alias("dim"), "v"))
     n_short = short.count()
-    release(spark)
 
     asked = query.join(depth, "cid").join(entries.select("cid", "v"), "cid")
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # names of its own beside ``held``
@@ -177,7 +175,6 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     one = top.select("qid", "score", F.explode("ids").alias("id"))
     one = one.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
     lists = materialize(one.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("list")))
-    release(spark)
     answers = rows.where("asks").select("id", "cid").join(lists, F.col("cid") == F.col("qid"))
     others = F.slice(F.filter("list", lambda x: x["id"] != F.col("id")), 1, k)
     return answers.select(F.col("id").alias("query_id"), F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(spark, "_sparkveil_dir", None):
         spark._sparkveil_dir = tempfile.mkdtemp(prefix="sparkveil-")
     return spark._sparkveil_dir
 
 
+@contextmanager
+def _no_shuffle_files_after(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of an execution when it has ended, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sv-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with _no_shuffle_files_after(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkveil_path = path
     return out
@@ -50,12 +64,6 @@ def drop_materialized(*frames: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

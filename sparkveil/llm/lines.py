@@ -2,17 +2,21 @@
 
 Lines are compared with up to ``edits`` edits. A line is split into edits + 1 even segments; whatever the edits, one
 segment of the shorter of two matching lines is a substring of the longer, at a place that the lengths bound. So each
-line's segments are indexed by length, number and text, and each line probes with the few substrings that may match. Of
-lines that meet, those whose characters differ in more parities than the edits can change are no pair; the others are
-verified with a banded bit-parallel edit distance. Equal lines, however many, are one entry.
+line's segments are indexed by length, number and text, and each line probes with the few substrings that may match.
+Lines that meet are verified with a banded bit-parallel edit distance. Equal lines, however many, are one entry.
+
+A bucket of the index is never listed as pairs. First each probe meets only the least line of its bucket; what matches
+is contracted. Then lines of different components that share a bucket are compared, by signatures of their characters
+and neighbouring characters before anything else, so that a family of matching lines costs rows, and a family of lines
+that share a segment but don't match costs comparisons of two words of bits, and no rows.
 
 Of each class of equal or matching lines (linked directly or over others) the first stays: that with the least
-document key, then line number. Lines shorter than ``least`` code points are not compared by edits; with ``short``, exact
-copies of those that hold a word (a letter or digit) go as well, else they stay.
+document key, then text hash, then line number. Lines shorter than ``least`` code points are compared for equality
+only. Lines without a letter or digit (blank ones, braces, rules) are layout, and stay.
 
-Defined cases: a null text stays null, and an empty one empty; a text all of whose lines go becomes empty; rows of one
-key count as one document, so a line at one place of it is kept or dropped in all of them; a null key sorts first;
-an empty table gives no rows; extra columns stay.
+Defined cases: a null text stays null, and an empty one empty; a text all of whose lines go becomes empty; rows equal in
+key and text count as one document and are treated alike, rows of one key and different texts are documents of their
+own; a null key sorts first; an empty table gives no rows; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, fresh, let, materialize, release
+from .common import drop_materialized, fresh, let, materialize
 from .graph import components
 
 EDITS, LEAST = 2, 24
 
-
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     """(start from 1, size) of the even segments of a line of that length; the longer ones come last."""
     parts = edits + 1
@@ -40,7 +43,7 @@ def _index_keys(line: Column, length: Column, edits: int) -> list[Column]:
 
 def _probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     """Substrings that may equal segment i of a line shorter by ``less``: with the first i segments hit by an edit each at
-    least, the segment has moved by i at most; the same holds from the right end."""
+    least, the segment has moved by i at most; the same holds from the right end. The line's own segments are among them."""
     out = []
     for less in range(edits + 1):
         other = (length - less).cast("int")
@@ -50,38 +53,47 @@ def _probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return out
 
 
-#: Buckets of the parity signature that is part of a line's id.
-PARITY = 28
-
-
-def _line_id(line: Column) -> Column:
-    """64 bits: a hash, and in the lowest ``PARITY`` bits whether the characters of each bucket occur an odd number of
-    times. One edit changes two of these bits at most."""
-    one = F.lit(1).cast("long")
-    # a shift counts modulo 64, so a character's bucket is its code point modulo 64, then (halves folded) modulo 32
-    bits = F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, F.ascii(c))))
-    parity = let(bits, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit((1 << PARITY) - 1)))
-    return F.xxhash64(line).bitwiseAND(F.lit(-(1 << PARITY))).bitwiseOR(parity)
+def _own_positions(edits: int) -> list[int]:
+    """Where a line's own segments lie in its probe keys (no length difference, no move)."""
+    at, out = 0, []
+    for i in range(edits + 1):
+        moves = list(range(max(-i, -(edits - i)), min(i, edits - i) + 1))
+        out.append(at + moves.index(0))
+        at += len(moves)
+    return out
 
 
-#: Bits of the filter by which lines without a pair are left where they are: 4 MB at most, whatever the input.
+#: Bits of the filters by which rows without a partner are left where they are: 4 MB at most, whatever the input.
 FILTER_BITS = 1 << 25
 
 
-def _among(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``lines`` whose ``h`` is in ``ids`` (h), and a few others. The ids become a bitmap of fixed size, which is
-    broadcast, so that only these lines are shuffled afterwards."""
+def _marked(rows: DataFrame, ids: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with a column that is true where their ``h`` is among ``ids`` (h), and for a few others. The ids become a
+    bitmap of fixed size, which is broadcast, so that only marked rows need be shuffled afterwards."""
     slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
     at = lambda c: F.call_function("bitmap_bit_position", c)
     group = lambda c: F.call_function("bitmap_bucket_number", c)
-    maps = ids.select(slot.alias("x")).groupBy(group(F.col("x")).alias("g")).agg(F.call_function("bitmap_construct_agg", at(F.col("x"))).alias("bits"))
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at(slot), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maps = ids.select(slot.alias("x")).groupBy(group(F.col("x")).alias("g_")).agg(F.call_function("bitmap_construct_agg", at(F.col("x"))).alias("bits_"))
+    byte = F.conv(F.hex(F.substring("bits_", (F.shiftright(at(slot), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("shiftright", byte, (at(slot) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return lines.join(F.broadcast(maps), group(slot) == F.col("g")).where(hit).select(*lines.columns)
+    return rows.join(F.broadcast(maps), group(slot) == F.col("g_"), "left").select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(mark))
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return _marked(rows, ids, "among_").where("among_").drop("among_")
+
+
+def _signatures(line: Column) -> Column:
+    """Struct of two words of bits: whether the characters of each of 64 buckets occur an odd number of times, and the
+    same for neighbouring characters. One edit changes 2 bits of the first at most, and 4 of the second."""
+    flip = lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.cast("int")))  # noqa: E731  a shift counts modulo 64
+    word = lambda items: F.aggregate(items, F.lit(0).cast("long"), flip)
+    both = lambda codes: F.struct(word(codes).alias("one"), word(F.transform(codes, lambda c, i: c * 7 + 31 * F.coalesce(F.get(codes, i + 1), F.lit(0)))).alias("two"))
+    return let(F.transform(F.split(line, ""), lambda c: F.ascii(c)), both)
 
 
 def _may_match(a: Column, b: Column, edits: int) -> Column:
-    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << PARITY) - 1))) <= 2 * edits
+    return (F.bit_count(a["one"].bitwiseXOR(b["one"])) <= 2 * edits) & (F.bit_count(a["two"].bitwiseXOR(b["two"])) <= 4 * edits)
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -144,57 +156,78 @@ def _within(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.where(_near(F.col("line_a"), F.col("line_b"), edits))
 
 
+def _id(line: Column) -> Column:
+    """128 bits that stand for a line, of which the first 64 (``h``) do in the join of segments: lines that share those are
+    told apart when they are verified."""
+    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"))
+
+
 def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Distinct lines (line) of more than ``edits`` code points -> pairs (line_a, line_b), different and within ``edits`` edits."""
-    spark = lines.sparkSession
-    known = materialize(lines.select("line", _line_id(F.col("line")).alias("h")))
-    release(spark)
+    """Distinct lines (line) of more than ``edits`` code points -> edges (a, b) between ids of lines, different and within
+    ``edits`` edits. Every matching pair is an edge or lies in a component of edges."""
+    known = lines.select(F.xxhash64("line").alias("h"), "line")
     line, length = F.col("line"), F.length("line")
-    index = known.select(F.col("h").alias("a"), F.explode(F.array(*_index_keys(line, length, edits))).alias("k"))
-    probe = known.select(F.col("h").alias("b"), F.explode(F.array(*_probe_keys(line, length, edits))).alias("k"))
-    met = index.join(probe, "k").where((F.col("a") != F.col("b")) & _may_match(F.col("a"), F.col("b"), edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = F.array(*_index_keys(line, length, edits))
+    hubs = known.select("h", F.explode(own).alias("k")).groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    probe = known.select("h", F.posexplode(F.array(*_probe_keys(line, length, edits))).alias("p", "k"))
+    is_own = F.col("p").isin(_own_positions(edits))
+    met = hubs.hint("merge").join(probe, "k").where("low <> h or high <> h").select("k", "h", "low", (F.col("low") < F.col("high")).alias("many"), is_own.alias("own"))
     met = materialize(met)
-    release(spark)
-    # Two lines with one hash would both appear here, and be told apart by the verification.
-    paired = _among(known, met.select(F.explode(F.array("a", "b")).alias("h")))
-    side = lambda name, out: paired.select(F.col("h").alias(name), F.col("line").alias(out))
-    both = met.join(side("a", "line_a"), "a").join(side("b", "line_b"), "b").select("line_a", "line_b")
-    out = materialize(_within(both, edits))
-    drop_materialized(met, known)
-    release(spark)
-    return out
-
-
-def _explode(docs: DataFrame, key: str, text: str, least: int, short: bool) -> DataFrame:
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    long = F.length("line") >= least
-    return rows.where(long | F.col("line").rlike(r"[\p{L}\p{N}]") if short else long)
-
-
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
-    """(key, gone: array of line numbers from 0) of the documents that lose lines."""
+    texts = materialize(_among(known, met.select("h").union(met.select("low"))))
+    side = lambda name, out: texts.select(F.col("h").alias(name), F.col("line").alias(out))
+    edge = lambda df: df.select(_id(F.col("line_a")).alias("a"), _id(F.col("line_b")).alias("b"))
+    first = met.where("low <> h").select(F.least("low", "h").alias("x"), F.greatest("low", "h").alias("y")).distinct()
+    first = first.hint("merge").join(side("x", "line_a"), "x").hint("merge").join(side("y", "line_b"), "y")
+    edges = materialize(edge(_within(first, edits)))
+    roots = components(edges)
+
+    # Buckets of several lines: members and probes of different components.
+    wide = met.where("many").select("k", "h", "own").distinct()
+    asked = texts.hint("merge").join(wide.select("h").distinct(), "h", "left_semi").select("h", "line", _id(F.col("line")).alias("id"), _signatures(F.col("line")).alias("s"))
+    asked = asked.join(roots, asked["id"] == roots["node"], "left").select("h", "line", "s", F.coalesce("root", "id").alias("c"))
+    rows = materialize(wide.hint("merge").join(asked, "h"))
+    a = rows.where("own").select("k", F.col("line").alias("line_a"), F.col("s").alias("s_a"), F.col("c").alias("c_a"))
+    b = rows.select("k", F.col("line").alias("line_b"), F.col("s").alias("s_b"), F.col("c").alias("c_b"))
+    apart = a.hint("merge").join(b, "k").where((F.col("c_a") != F.col("c_b")) & _may_match(F.col("s_a"), F.col("s_b"), edits))
+    more = materialize(edge(_within(apart.select("line_a", "line_b"), edits)))
+    drop_materialized(met, texts, rows)
+    return edges.union(more)
+
+
+def _explode(docs: DataFrame) -> DataFrame:
+    """Documents (key, th, text) -> places (key, th, at, line, h, g)."""
+    rows = docs.select("key", "th", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("*", _id(F.col("line")).alias("id_")).select("key", "th", "at", "line", "id_.*")
+
+
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """Documents (key, th: a hash of the text, text) -> (key, th, gone: array of line numbers from 0), of those that lose lines."""
     least = max(least, edits + 1)
-    lines = _explode(docs, key, text, least, short)
-    name = F.unhex(F.md5("line"))
-    pairs = matching_lines(lines.where(F.length("line") >= least).select("line").distinct(), edits).select(F.unhex(F.md5("line_a")).alias("a"), F.unhex(F.md5("line_b")).alias("b"))
-    roots = components(pairs).select(F.col("node").alias("id"), "root")
-    places = lines.select("key", "at", name.alias("id"))
-    groups = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first"))
-    classed = groups.join(roots, "id", "left").where("n > 1 or root is not null").select("id", "first", F.coalesce("root", "id").alias("root"))
-    classed = materialize(classed)
+    places = _explode(docs)
+    groups = materialize(places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("key", "th", "at")).alias("first")))
+    # Lines that occur once need no shuffle to be distinct.
+    long = _marked(places.where(F.length("line") >= least).select("line", "h"), groups.where("n > 1").select("h"), "again")
+    distinct = long.where(~F.col("again")).select("line").union(long.where("again").select("line").distinct())
+    edges = matching_lines(distinct, edits)
+    roots = components(edges).select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), "root")
+    roots = materialize(roots)
+    paired = _marked(groups, roots, "paired").where("n > 1 or paired").drop("paired")
+    classed = materialize(paired.join(roots, ["h", "g"], "left").where("n > 1 or root is not null").select("h", "g", "first", F.coalesce("root", F.struct("h", "g")).alias("root")))
     firsts = classed.groupBy("root").agg(F.min("first").alias("first"))
-    of = materialize(classed.select("id", "root").join(firsts, "root").select("id", "first"))
-    release(docs.sparkSession)
-    gone = places.join(of, "id").where(~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("at") == F.col("first.at"))))
-    return materialize(gone.groupBy("key").agg(F.collect_set("at").alias("gone")))
+    of = materialize(classed.select("h", "g", "root").join(firsts, "root").select("h", "g", "first"))
+    drop_materialized(groups, roots, classed)
+    here = _among(places.select("key", "th", "at", "h", "g"), of.select("h"))
+    gone = here.join(of, ["h", "g"]).where(~F.struct("key", "th", "at").eqNullSafe(F.col("first")))
+    return materialize(gone.groupBy("key", "th").agg(F.collect_set("at").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``."""
-    k, g = fresh(docs, "sv_key", "sv_gone")
-    gone = dropped_lines(docs, key, text, edits, least, short).select(F.col("key").alias(k), F.col("gone").alias(g))
-    release(docs.sparkSession)
-    joined = docs.join(gone, docs[key].eqNullSafe(gone[k]), "left")
+    k, h, g = fresh(docs, "sv_key", "sv_hash", "sv_gone")
+    gone = dropped_lines(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text")), edits, least)
+    gone = gone.select(F.col("key").alias(k), F.col("th").alias(h), F.col("gone").alias(g))
+    # What goes grows with the documents, so it is never broadcast, however small it is here.
+    joined = docs.join(gone.hint("merge"), docs[key].eqNullSafe(gone[k]) & (F.xxhash64(docs[text]) == gone[h]), "left")
     parts = F.split(F.col(text), "\n")
     keep = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(g)), lambda i: F.get(x, i))
     cleaned = F.when(F.col(g).isNull(), F.col(text)).otherwise(F.array_join(let(parts, keep), "\n"))

@@ -1,5 +1,6 @@
 import random
 
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkveil.llm import lines
@@ -14,9 +15,14 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def text_order(text):
+    """Spark's xxhash64 of a string, by which texts of one key are ordered."""
+    return xxhash.xxh64_intdigest(text.encode(), 42) + (1 << 63) & (1 << 64) - 1
+
+
 def brute(rows, edits, least):
-    places = [(k, i, x) for k, t in rows if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= least]
-    known = sorted({x for _, _, x in places})
+    places = [(k, t, i, x) for k, t in rows if t is not None for i, x in enumerate(t.split("\n")) if any(c.isalnum() for c in x)]
+    known = sorted({x for *_, x in places})
     root = {x: x for x in known}
 
     def find(x):
@@ -26,14 +32,14 @@ def brute(rows, edits, least):
 
     for i, a in enumerate(known):
         for b in known[i + 1 :]:
-            if abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits:
+            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits:
                 root[find(a)] = find(b)
     first = {}
-    order = lambda k, i: (k is not None, k or 0, i)
-    for k, i, x in places:
-        first[find(x)] = min(first.get(find(x), order(k, i)), order(k, i))
-    gone = {(k, i) for k, i, x in places if first[find(x)] != order(k, i)}
-    return [(k, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone)) for k, t in rows]
+    order = lambda k, t, i: (k is not None, k or 0, text_order(t), i)
+    for k, t, i, x in places:
+        first[find(x)] = min(first.get(find(x), order(k, t, i)), order(k, t, i))
+    gone = {(k, t, i) for k, t, i, x in places if first[find(x)] != order(k, t, i)}
+    return [(k, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, t, i) not in gone)) for k, t in rows]
 
 
 def mutate(rng, s, n):
@@ -49,7 +55,7 @@ def test_matches_all_pairs(spark):
     rows = []
     for k in range(60):
         rows.append((200 - k, "\n".join(rng.choice([mutate(rng, rng.choice(pool), rng.randint(0, 4)), "}", "", "short line", rng.choice(pool)]) for _ in range(rng.randint(0, 7)))))
-    rows += [(300, None), (301, ""), (302, "\n\n"), (None, pool[0] + "\n" + pool[1]), (7, pool[2] + "\n" + pool[2]), (7, pool[2] + "\n" + pool[2]), (8, "x" * 500 + "\n" + "x" * 502)]
+    rows += [(300, None), (301, ""), (302, "\n\n"), (None, pool[0] + "\n" + pool[1]), (7, pool[2] + "\n" + pool[2]), (7, pool[4] + "\nown line of seven"), (None, pool[3] + "\n" + pool[5]), (None, "one more text\n" + pool[6]), (8, "x" * 500 + "\n" + "x" * 502)]
     docs = spark.createDataFrame([(k, t, "p", 1) for k, t in rows], "doc_id long, text string, sv_key string, line int")
     out = lines.dedup_lines(docs)
     assert out.columns == docs.columns
@@ -82,5 +88,20 @@ def test_query_and_stage_drop_copies_of_short_lines(spark, tmp_path):
     assert got == {k: len(t) for k, t in want.items()}
 
 
+def test_a_family_of_matching_lines_costs_rows_not_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = "".join(rng.choices("abcdefgh ", k=90))
+    family = sorted({base[:i] + c + base[i + 1 :] for i in range(90) for c in "abcdefghijklmnopqrstuvwxyz"})[:2000]
+    other = ["".join(rng.choices("abcdefgh ", k=90)) for _ in range(30)]
+    known = spark.createDataFrame([(x,) for x in [*family, *other]], "line string")
+    sizes = []
+    write = lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df: (out := write(df), sizes.append(out.count()))[0])
+    edges = lines.matching_lines(known)
+    found = {r.node for r in lines.components(edges).collect()}
+    assert len(found) == 2000
+    assert max(sizes) <= 40 * len(family)
+
+
 def test_no_rows(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
