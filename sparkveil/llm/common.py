@@ -85,3 +85,24 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Bits of the filters by which rows without a partner are left where they are: 4 MB at most, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def marked(rows: DataFrame, ids: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with a column that is true where their ``h`` is among ``ids`` (h), and for a few others. The ids become a
+    bitmap of fixed size, which is broadcast, so that only marked rows need be shuffled afterwards."""
+    slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
+    at = lambda c: F.call_function("bitmap_bit_position", c)
+    group = lambda c: F.call_function("bitmap_bucket_number", c)
+    maps = ids.select(slot.alias("x")).groupBy(group(F.col("x")).alias("g_")).agg(F.call_function("bitmap_construct_agg", at(F.col("x"))).alias("bits_"))
+    byte = F.conv(F.hex(F.substring("bits_", (F.shiftright(at(slot), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (at(slot) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(maps), group(slot) == F.col("g_"), "left").select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(mark))
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``h`` is among ``ids`` (h), and a few others."""
+    return marked(rows, ids, "among_").where("among_").drop("among_")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, fresh, let, materialize
+from .common import among, drop_materialized, fresh, let, marked, materialize
 from .graph import components
 
 EDITS, LEAST = 2, 24
@@ -63,26 +63,6 @@ def _own_positions(edits: int) -> list[int]:
     return out
 
 
-#: Bits of the filters by which rows without a partner are left where they are: 4 MB at most, whatever the input.
-FILTER_BITS = 1 << 25
-
-
-def _marked(rows: DataFrame, ids: DataFrame, mark: str) -> DataFrame:
-    """``rows`` with a column that is true where their ``h`` is among ``ids`` (h), and for a few others. The ids become a
-    bitmap of fixed size, which is broadcast, so that only marked rows need be shuffled afterwards."""
-    slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-    at = lambda c: F.call_function("bitmap_bit_position", c)
-    group = lambda c: F.call_function("bitmap_bucket_number", c)
-    maps = ids.select(slot.alias("x")).groupBy(group(F.col("x")).alias("g_")).agg(F.call_function("bitmap_construct_agg", at(F.col("x"))).alias("bits_"))
-    byte = F.conv(F.hex(F.substring("bits_", (F.shiftright(at(slot), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, (at(slot) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return rows.join(F.broadcast(maps), group(slot) == F.col("g_"), "left").select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(mark))
-
-
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    return _marked(rows, ids, "among_").where("among_").drop("among_")
-
-
 def _signatures(line: Column) -> Column:
     """Struct of two words of bits: whether the characters of each of 64 buckets occur an odd number of times, and the
     same for neighbouring characters. One edit changes 2 bits of the first at most, and 4 of the second."""
@@ -173,7 +153,7 @@ def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     is_own = F.col("p").isin(_own_positions(edits))
     met = hubs.hint("merge").join(probe, "k").where("low <> h or high <> h").select("k", "h", "low", (F.col("low") < F.col("high")).alias("many"), is_own.alias("own"))
     met = materialize(met)
-    texts = materialize(_among(known, met.select("h").union(met.select("low"))))
+    texts = materialize(among(known, met.select("h").union(met.select("low"))))
     side = lambda name, out: texts.select(F.col("h").alias(name), F.col("line").alias(out))
     edge = lambda df: df.select(_id(F.col("line_a")).alias("a"), _id(F.col("line_b")).alias("b"))
     first = met.where("low <> h").select(F.least("low", "h").alias("x"), F.greatest("low", "h").alias("y")).distinct()
@@ -206,17 +186,17 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     places = _explode(docs)
     groups = materialize(places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("key", "th", "at")).alias("first")))
     # Lines that occur once need no shuffle to be distinct.
-    long = _marked(places.where(F.length("line") >= least).select("line", "h"), groups.where("n > 1").select("h"), "again")
+    long = marked(places.where(F.length("line") >= least).select("line", "h"), groups.where("n > 1").select("h"), "again")
     distinct = long.where(~F.col("again")).select("line").union(long.where("again").select("line").distinct())
     edges = matching_lines(distinct, edits)
     roots = components(edges).select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), "root")
     roots = materialize(roots)
-    paired = _marked(groups, roots, "paired").where("n > 1 or paired").drop("paired")
+    paired = marked(groups, roots, "paired").where("n > 1 or paired").drop("paired")
     classed = materialize(paired.join(roots, ["h", "g"], "left").where("n > 1 or root is not null").select("h", "g", "first", F.coalesce("root", F.struct("h", "g")).alias("root")))
     firsts = classed.groupBy("root").agg(F.min("first").alias("first"))
     of = materialize(classed.select("h", "g", "root").join(firsts, "root").select("h", "g", "first"))
     drop_materialized(groups, roots, classed)
-    here = _among(places.select("key", "th", "at", "h", "g"), of.select("h"))
+    here = among(places.select("key", "th", "at", "h", "g"), of.select("h"))
     gone = here.join(of, ["h", "g"]).where(~F.struct("key", "th", "at").eqNullSafe(F.col("first")))
     return materialize(gone.groupBy("key", "th").agg(F.collect_set("at").alias("gone")))
 

@@ -6,12 +6,17 @@ ties): equal windows choose the same place, so a window has a partner only among
 
 1. Initial buckets: samples by a q-gram at the sample that any shared window must contain (one reaching right for
    windows that lie mostly right of the sample, one reaching left for the others). Buckets of one sample are done.
-2. Samples that agree on the text of all their windows are repeats; nothing else of theirs is looked at.
-3. Buckets that still hold a sample without such a partner are refined: its range of windows is split on a fixed grid,
-   and each part gets the bucket identifier of the text at that offset. Parts whose text has a partner end as repeats,
-   parts whose common text has none end as unique, and only the others are refined again, down to single windows.
-
-Buckets of many samples are never listed: each refinement is a sum per identifier.
+2. Samples that agree on the text of all their windows are repeats; one stands for all of them, and nothing else of
+   theirs is looked at. Buckets that still hold a sample without such a partner are refined.
+3. Bucket pointers: around each open sample, the blocks on a grid from the sample are put into buckets, first by their
+   bytes. A bucket's pointer is the least place in it. Each round refines the buckets by sorting on the pointers of the
+   block and of the one just behind it, so the text that a pointer stands for doubles; the new pointers are written
+   back, and are what the next round sorts on. Places alone in their bucket leave.
+4. A sample's windows are split into parts. Two strings are equal if their pointers at a few later offsets are, and the
+   few bytes left at both ends. Parts whose text has a partner end as repeats, parts whose common text has none end as
+   unique, and only the others are split again, down to single windows.
+
+Buckets of many samples are never listed: each refinement is a sum per bucket.
 
 Defined cases: null text is empty; rows equal in id and text are two documents and repeat each other; texts shorter
 than ``LENGTH`` bytes lose nothing; empty tables give no rows; other columns of the input are not used.
@@ -27,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import among, drop_materialized, marked, materialize
 
 LENGTH, QGRAM = 400, 32
 #: Widths of the parts of a sample's range, from coarse to a single window.
 GRID = (64, 8, 1)
+#: Blocks in the text that a final bucket pointer stands for, as a power of two.
+DOUBLINGS = 3
 #: Bytes of a text that are sampled at once.
 CHUNK = 1 << 22
 
@@ -128,33 +135,82 @@ def _contexts(length: int):
     return run
 
 
+def _grid(length: int) -> tuple[list[int], int]:
+    """Widths of the parts, and bytes of a block, so that every string that is compared holds a whole pointer's text."""
+    widths = [w for w in GRID if 2 * w <= length or w == 1]
+    block = 1
+    while length - widths[0] + 1 - 2 * (2 * block - 1) >= 2 * block << DOUBLINGS:
+        block *= 2
+    if length - widths[0] + 1 - 2 * (block - 1) < block << DOUBLINGS:
+        raise ValueError(f"windows of {length} bytes are too short to be refined; {3 << DOUBLINGS} will do")
+    return widths, block
+
+
+def _pointers(contexts: DataFrame, block: int) -> DataFrame:
+    """(sid, most, ctx) -> (sid, ptr: of each block's number on the grid the pointer of the ``block << DOUBLINGS`` bytes from
+    there). Blocks whose text stands at no other place have none."""
+    first = F.col("most") % block
+    count = F.floor((F.length("ctx") - first) / block).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("ctx"), first + 1 + i * block, F.lit(block)))
+    rows = contexts.where(count > 0).select("sid", F.posexplode(cut).alias("i", "x")).withColumn("y", F.lit(0).cast("long"))
+    before, state = None, None
+    for k in range(DOUBLINGS + 1):
+        if k:
+            before, step = state, 1 << (k - 1)
+            rows = before.select("sid", "ptr", F.explode(F.map_keys("ptr")).alias("i")).select("sid", "i", F.col("ptr")[F.col("i")].alias("x"), F.try_element_at("ptr", F.col("i") + step).alias("y")).where("y is not null")
+        buckets = rows.groupBy("x", "y").agg(F.min(F.col("sid") * 256 + F.col("i")).alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        refined = rows.join(buckets.hint("merge"), ["x", "y"])
+        state = materialize(refined.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("i", "b"))).alias("ptr")))
+        if before is not None:
+            drop_materialized(before)
+    return state
+
+
+def _named(start: Column, end: Column, block: int, ends: bool) -> Column:
+    """What stands for the bytes from ``start`` to ``end`` of a context: pointers at later offsets and, with ``ends``, the
+    bytes outside their grid. Null if the text stands at no other place."""
+    first = F.col("most") % block
+    low = F.ceil((start - first) / block).cast("int")
+    high = F.floor((end - first) / block).cast("int") - (1 << DOUBLINGS)
+    steps = F.array_append(F.sequence(low, high, F.lit(1 << DOUBLINGS)), high)
+    ids = F.transform(steps, lambda i: F.try_element_at("ptr", i))
+    cut = lambda a, b: F.col("ctx").substr((a + 1).cast("int"), (b - a).cast("int"))
+    head, tail = cut(start, first + low * block), cut(first + (high + (1 << DOUBLINGS)) * block, end)
+    name = F.struct(ids.alias("ids"), head.alias("head"), tail.alias("tail")) if ends else F.struct(ids.alias("ids"))
+    return F.when(F.forall(ids, lambda x: x.isNotNull()), name)
+
+
 def _refine(open_: DataFrame, length: int) -> DataFrame:
-    """Samples with their context -> repeats (key, th, start, end) among the samples that stand alone (n = 1)."""
+    """Samples with their context (sid, key, th, a, least, most, n, ctx) -> repeats (key, th, start, end) among the samples
+    that stand alone (n = 1)."""
+    widths, block = _grid(length)
+    pointed = materialize(open_.join(_pointers(open_, block).hint("merge"), "sid"))
     repeats: list[DataFrame] = []
-    alive: DataFrame | None = None  # (key, th, a, parts: the open parts of the coarser grid, lone: no repeat yet)
+    alive: DataFrame | None = None  # (sid, parts: the open parts of the coarser grid, lone: no repeat yet)
     coarser = None
-    for width in GRID:
+    for width in widths:
         if alive is None:
-            base = open_.withColumn("part", F.explode(F.sequence((F.col("least") / width).cast("int"), (F.col("most") / width).cast("int")))).withColumn("lone", F.col("n") == 1)
+            base = pointed.withColumn("part", F.explode(F.sequence((F.col("least") / width).cast("int"), (F.col("most") / width).cast("int")))).withColumn("lone", F.col("n") == 1)
         else:
             finer = coarser // width
-            base = open_.join(alive, ["key", "th", "a"]).withColumn("p", F.explode("parts"))
+            base = pointed.join(alive.hint("merge"), "sid").withColumn("p", F.explode("parts"))
             base = base.withColumn("part", F.explode(F.sequence(F.col("p.part") * finer, F.col("p.part") * finer + (finer - 1)))).withColumn("lone", F.col("p.lone"))
         low, high = F.greatest(F.col("least"), F.col("part") * width), F.least(F.col("most"), F.col("part") * width + (width - 1))
-        cut = lambda start, size: F.col("ctx").substr((start + 1).cast("int"), size.cast("int"))
         rows = base.withColumn("low", low).withColumn("high", high).where("low <= high")
-        ident = lambda *parts: F.md5(F.concat(*parts))
-        label = F.encode(F.concat_ws(",", "low", "high"), "utf-8")
-        union = ident(cut(F.col("most") - F.col("high"), length + F.col("high") - F.col("low")), label)
-        shared = ident(cut(F.col("most") - F.col("part") * width, F.lit(length - width + 1)), F.encode(F.col("part").cast("string"), "utf-8"))
-        named = materialize(rows.select("key", "th", "a", "n", "low", "high", "part", "lone", union.alias("whole"), shared.alias("shared")))
-        whole = named.groupBy("whole").agg(F.sum("n").alias("m")).where("m > 1").select("whole", F.lit(True).alias("again"))
-        marked = materialize(named.join(whole, "whole", "left").withColumn("again", F.coalesce("again", F.lit(False))))
-        repeats.append(marked.where("lone and again").select("key", "th", (F.col("a") - F.col("high")).alias("start"), (F.col("a") - F.col("low") + length).alias("end")))
+        whole = _named(F.col("most") - F.col("high"), F.col("most") - F.col("low") + length, block, True)
+        # Common to all windows of the part: from its last start to its first end.
+        inner = F.greatest(F.lit(0), F.col("most") - F.col("part") * width)
+        outer = F.least(F.length("ctx"), F.col("most") - F.col("part") * width - (width - 1) + length)
+        shared = _named(inner, outer, block, width == 1)
+        named = materialize(rows.select("sid", "key", "th", "a", "n", "low", "high", "part", "lone", whole.alias("whole"), shared.alias("shared")).where("shared is not null"))
+        by = ["low", "high", "whole"]
+        again = named.where("whole is not null").groupBy(*by).agg(F.sum("n").alias("m")).where("m > 1").select(*by, F.lit(True).alias("again"))
+        matched = materialize(named.join(again.hint("merge"), by, "left").withColumn("again", F.coalesce("again", F.lit(False))).drop("whole"))
+        repeats.append(matched.where("lone and again").select("key", "th", (F.col("a") - F.col("high")).alias("start"), (F.col("a") - F.col("low") + length).alias("end")))
         if width > 1:
-            left = marked.withColumn("lone", F.col("lone") & ~F.col("again"))
-            buckets = left.groupBy("shared").agg(F.sum("n").alias("m"), F.max("lone").alias("any")).where("m > 1 and any").select("shared")
-            alive = materialize(left.join(buckets, "shared", "left_semi").groupBy("key", "th", "a").agg(F.collect_set(F.struct("part", "lone")).alias("parts")))
+            left = matched.withColumn("lone", F.col("lone") & ~F.col("again"))
+            buckets = left.groupBy("part", "shared").agg(F.sum("n").alias("m"), F.max("lone").alias("any")).where("m > 1 and any").select("part", "shared")
+            alive = materialize(left.join(buckets.hint("merge"), ["part", "shared"], "left_semi").groupBy("sid").agg(F.collect_set(F.struct("part", "lone")).alias("parts")))
             coarser = width
         drop_materialized(named)
     out = repeats[0]
@@ -167,21 +223,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM) -> Dat
     """(key, th: a hash of the text, text), no nulls in the first two -> (key, th, spans: array of (start, end)), for rows with repeats. Spans may overlap."""
     kind = docs.schema["key"].dataType.simpleString()
     found = materialize(docs.mapInArrow(_sampler(length, q), f"key {kind}, th long, a long, least int, most int, right long, left long, c1 long, c2 long"))
-    keyed = found.withColumn("bucket", F.explode(F.array("right", "left"))).where("bucket is not null")
-    live = materialize(keyed.groupBy("bucket").count().where("count > 1").select("bucket"))
-    classes = keyed.join(live, "bucket", "left_semi").groupBy("bucket", "c1", "c2", "least", "most").agg(F.count("*").alias("n"), F.min(F.struct("key", "th", "a")).alias("first"))
+    keyed = found.withColumn("h", F.explode(F.array("right", "left"))).where("h is not null")
+    live = materialize(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    # Buckets of one sample that the filter lets through do no harm below.
+    classes = among(keyed, live).groupBy(F.col("h").alias("bucket"), "c1", "c2", "least", "most").agg(F.count("*").alias("n"), F.min(F.struct("key", "th", "a")).alias("first"))
     classes = materialize(classes)
     # Samples that agree on all their windows.
-    again = classes.where("n > 1").select("c1", "c2", "least", "most").distinct()
-    spans = found.join(again, ["c1", "c2", "least", "most"], "left_semi").select("key", "th", (F.col("a") - F.col("most")).alias("start"), (F.col("a") - F.col("least") + length).alias("end"))
+    same = ["c1", "c2", "least", "most"]
+    again = materialize(classes.where("n > 1").select(*same).distinct())
+    spans = among(found.withColumn("h", F.col("c1")), again.select(F.col("c1").alias("h"))).join(again.hint("merge"), same, "left_semi")
+    spans = spans.select("key", "th", (F.col("a") - F.col("most")).alias("start"), (F.col("a") - F.col("least") + length).alias("end"))
+    spans = materialize(spans.groupBy("key", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     # Buckets with more than one class, one of a single sample: one sample of each class goes on.
     open_ = classes.groupBy("bucket").agg(F.count("*").alias("m"), F.min("n").alias("few")).where("m > 1 and few = 1").select("bucket")
-    chosen = classes.join(open_, "bucket", "left_semi").select("first.*", "least", "most", F.least("n", F.lit(2)).alias("n")).distinct()
+    chosen = classes.join(open_.hint("merge"), "bucket", "left_semi").select("first.*", "least", "most", F.least("n", F.lit(2)).alias("n")).distinct()
     per_doc = materialize(chosen.groupBy("key", "th").agg(F.collect_list(F.struct("a", "least", "most", "n")).alias("found")))
-    spans = materialize(spans.groupBy("key", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     drop_materialized(found, live, classes)
-    texts = docs.join(per_doc, ["key", "th"]).select("key", "th", "text", "found").dropDuplicates(["key", "th"])
-    contexts = materialize(texts.mapInArrow(_contexts(length), f"key {kind}, th long, a long, least int, most int, n long, ctx binary"))
+    texts = among(docs.withColumn("h", F.col("th")), per_doc.select(F.col("th").alias("h"))).drop("h")
+    texts = texts.join(per_doc.hint("merge"), ["key", "th"]).select("key", "th", "text", "found").dropDuplicates(["key", "th"])
+    contexts = texts.mapInArrow(_contexts(length), f"key {kind}, th long, a long, least int, most int, n long, ctx binary")
+    contexts = materialize(contexts.withColumn("sid", F.monotonically_increasing_id()))
     more = _refine(contexts, length).groupBy("key", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return spans.union(more)
 
@@ -213,13 +274,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     # Rows of one id and text share their spans, so a null id may go by any value.
     named = docs.select(F.col(key).alias("given"), F.coalesce(F.col(key), F.lit(0).cast(kind)).alias("key"), F.xxhash64(F.lit(7), F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
     spans = repeated_spans(named.select("key", "th", "text"), length, q).groupBy("key", "th").agg(F.collect_list("spans").alias("lists"))
-    joined = named.join(spans, ["key", "th"], "left").select("given", "th", "text", "lists")
+    spans = materialize(spans)
+    # Texts without repeats stay where they are.
+    split = marked(named.withColumn("h", F.col("th")), spans.select(F.col("th").alias("h")), "hit").drop("h")
+    joined = split.where("hit").join(spans.hint("merge"), ["key", "th"], "left").select("given", "th", "text", "lists")
+    joined = joined.union(split.where("not hit").select("given", "th", "text", F.lit(None).alias("lists")))
     return joined.mapInArrow(_remove, f"key {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def digest(removed: DataFrame) -> DataFrame:
+    """Sizes and a checksum of what was taken out and kept; ``n_kept`` bytes remain, and ``changed`` says whether any went."""
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return removed.select("key", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return removed.select("key", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"), (F.size("removed") > 0).alias("changed"))
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
