@@ -1,10 +1,9 @@
 import random
 
 import corpus_pipeline
-from sparkveil.llm import simhash
 from tests.llm.test_lines import brute as plain_lines
 from tests.llm.test_mixing_quality import fill
-from tests.llm.test_simhash import brute as plain_groups
+from tests.llm.test_simhash import survivors
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept int"
 
@@ -45,9 +44,8 @@ def test_stages_one_by_one(spark, tmp_path):
     kept = texts("quality_rules")
     assert {d for d, _ in kept} == {r[0] for r in rows} - {200, 201, 202, 204}
     assert texts("line_dedup") == sorted(plain_lines(kept, 2, 24))
-    groups = plain_groups([(d, simhash.fingerprint(t)) for d, t in texts("line_dedup")])
-    alone = {c for _, c in groups}
-    assert texts("simhash_dedup") == [x for x in texts("line_dedup") if x[0] in alone]
+    group, least = survivors(texts("line_dedup"))
+    assert texts("simhash_dedup") == [(d, t) for d, t in texts("line_dedup") if least[group[t]] == (True, d)]
     size, source = {}, {r[0]: r[3] for r in rows}
     for d, t in texts("simhash_dedup"):
         size[source[d]] = size.get(source[d], 0) + len(t.split())
