@@ -42,7 +42,7 @@ def restore(texts: DataFrame, equivalences: DataFrame, keys: list[str], scope: l
         empty = F.array().cast("array<string>")
         return base.select(*texts.columns, F.col(text).alias("restored"), F.create_map().cast("map<string,bigint>").alias("replaced"), empty.alias("unknown"), irreversible.alias("irreversible"))
     alternatives = "|".join(re.sub(r"(?:\\ |_| )+", "[ _]+", re.escape(g)) for g in sorted(groups, key=len, reverse=True))
-    shape = rf"(?iu)(?<![\p{{L}}\p{{N}}_])({alternatives})([ _\-]?)0*(\d{{1,6}})(?![\p{{L}}\p{{N}}]|[.,]\d)"
+    shape = rf"(?iu)(?<![\p{{L}}\p{{N}}_])({alternatives})([ _\-]?)0*(\d{{1,18}})(?![\p{{L}}\p{{N}}]|[.,]\d)"
     carried = list(dict.fromkeys([*keys, *scope]))
     found = base.select(*carried, F.explode(matches(F.col("sv_text"), shape)).alias("x")).select(*carried, F.col("x.at").alias("start"), F.col("x.m").alias("m"))
     part = lambda k: F.regexp_extract("m", f"^{shape[shape.index('('):]}".replace("^(?iu)", "(?iu)^"), k)

@@ -3,7 +3,8 @@
 from .charts import CHARTS
 from .protection import PROTECTION
 from .reports import REPORTS
+from .sentences import SENTENCES
 
-_ALL = {**PROTECTION, **REPORTS, **CHARTS}
+_ALL = {**PROTECTION, **REPORTS, **CHARTS, **SENTENCES}
 QUERIES = {name: q.run for name, q in _ALL.items()}
 ORACLE_SQL = {name: q.sql for name, q in _ALL.items() if q.sql}

@@ -29,12 +29,15 @@ BRANDS_SQL = "WITH brands AS (SELECT p_brand AS b, l_quantity AS v, l_orderkey *
 MONTH_LABEL = "['ene', 'feb', 'mar', 'abr', 'may', 'jun', 'jul', 'ago', 'sept', 'oct', 'nov', 'dic'][month({0})] || ' ' || strftime({0}, '%y')"
 
 
-@register(CHARTS, SALES_SQL + f""", few AS (SELECT * FROM sales WHERE r % 40 = 0 AND d < DATE '1997-06-01')
-SELECT strftime(m, '%Y-%m') AS key, {MONTH_LABEL.format("m")} AS label, coalesce((SELECT sum(v) FROM few WHERE date_trunc('month', d) = m), 0.0)::DOUBLE AS value
-FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(d)) FROM few), (SELECT max(d) FROM few), INTERVAL 1 MONTH))::DATE AS m)""")
+@register(CHARTS, SALES_SQL + f""", folded AS (SELECT make_date(1995 + year(d) % 3, quarter(d) * 3 - 2, 1) AS d, v FROM sales)
+SELECT strftime(m, '%Y-%m') AS key, {MONTH_LABEL.format("m")} AS label, coalesce((SELECT sum(v) FROM folded WHERE d = m), 0.0)::DOUBLE AS value
+FROM (SELECT unnest(generate_series((SELECT min(d) FROM folded), (SELECT max(d) FROM folded), INTERVAL 1 MONTH))::DATE AS m)""")
 def chart_monthly_gapfill(spark: SparkSession, sf: str) -> DataFrame:
-    some = sales(spark, sf).where((F.col("_row") % 40 == 0) & (F.col("Fecha") < "1997-06-01"))
-    return C.time_chart(some, "Fecha", "Monto", C.SUM)
+    """All orders, dated by the first day of their quarter and with the years folded onto three: two months of each
+    quarter have no sales."""
+    d = F.col("Fecha")
+    folded = sales(spark, sf).withColumn("Fecha", F.make_date(1995 + F.year(d) % 3, F.quarter(d) * 3 - 2, F.lit(1)))
+    return C.time_chart(folded, "Fecha", "Monto", C.SUM)
 
 
 @register(CHARTS, SALES_SQL + "SELECT strftime(d, '%Y') AS key, strftime(d, '%Y') AS label, count(*)::DOUBLE AS value FROM sales GROUP BY 1")
@@ -60,10 +63,10 @@ def numeric_summary(spark: SparkSession, sf: str) -> DataFrame:
     return C.numeric_summary(sales(spark, sf), "Monto", "_row")
 
 
-@register(CHARTS, SALES_SQL + """, m AS (SELECT strftime(d, '%Y-%m') AS k, sum(v) AS v FROM sales WHERE d >= DATE '1999-01-01' GROUP BY 1)
+@register(CHARTS, SALES_SQL + """, m AS (SELECT strftime(d, '%Y') AS k, sum(v) AS v FROM sales GROUP BY 1)
 SELECT min(k) AS from_key, arg_min(v, k) AS from_value, max(k) AS to_key, arg_max(v, k) AS to_value, (arg_max(v, k) - arg_min(v, k)) / abs(arg_min(v, k)) * 100 AS pct FROM m""")
 def variation_first_last(spark: SparkSession, sf: str) -> DataFrame:
-    return C.variation(C.time_chart(sales(spark, sf).where("Fecha >= '1999-01-01'"), "Fecha", "Monto", C.SUM))
+    return C.variation(C.time_chart(sales(spark, sf), "Fecha", "Monto", C.SUM))
 
 
 @register(CHARTS, """
@@ -117,8 +120,10 @@ def parse_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", parse_number(text).alias("n"))
 
 
-@register(CHARTS, "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderdate::DATE END AS d FROM orders WHERE o_orderdate >= DATE '2000-01-01'")
+@register(CHARTS, """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) ELSE o_orderdate::DATE END AS d FROM orders""")
 def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates written in three ways, and impossible ones. Years of two digits are read as of this century."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
     text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm")).when(k == 1, F.date_format(d, "dd/MM/yyyy")).when(k == 2, F.date_format(d, "d-M-yy")).otherwise(F.date_format(d, "31/02/yyyy"))
-    return table(spark, sf, "orders").where(d >= "2000-01-01").select("o_orderkey", parse_date(text).alias("d"))
+    return table(spark, sf, "orders").select("o_orderkey", parse_date(text).alias("d"))

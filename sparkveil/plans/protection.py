@@ -218,17 +218,16 @@ def pseudonym_scoped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(PROTECTION, """
-SELECT c_custkey, CASE WHEN c_custkey % 7 < 5 THEN p.p_name || ' y **' || p.p_name || '** de persona ' || (c_custkey % 7)::VARCHAR ELSE 'Persona ' || (900000 + c_custkey % 7)::VARCHAR || ' y [DNI]' END AS restored,
-  CASE WHEN c_custkey % 7 < 5 THEN 2 ELSE 0 END::BIGINT AS n_replaced, CASE WHEN c_custkey % 7 < 5 THEN 0 ELSE 1 END::INTEGER AS n_unknown
-FROM customer LEFT JOIN part p ON p_partkey = c_custkey % 7""")
+WITH a AS (SELECT c_custkey, c_custkey % 7 < 5 AS long, c_custkey * 2 AS k, p_name FROM customer LEFT JOIN part ON p_partkey = c_custkey * 2)
+SELECT c_custkey, coalesce(p_name, 'Persona ' || k::VARCHAR) || CASE WHEN long THEN ' y **' || coalesce(p_name, 'PERSONA-00' || k::VARCHAR) || '** de persona ' || k::VARCHAR ELSE ' y [DNI]' END AS restored,
+  CASE WHEN p_name IS NULL THEN 0 WHEN long THEN 2 ELSE 1 END::BIGINT AS n_replaced, CASE WHEN p_name IS NOT NULL THEN 0 WHEN long THEN 2 ELSE 1 END::INTEGER AS n_unknown FROM a""")
 def restore_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers that write pseudonyms freely, restored from a table."""
-    k = F.col("c_custkey") % 7
-    number = k.cast("string")
-    known = F.concat(F.lit("Persona "), number, F.lit(" y **PERSONA-00"), number, F.lit("** de persona "), number)
-    unknown = F.concat(F.lit("Persona "), (k + 900000).cast("string"), F.lit(" y [DNI]"))
-    answers = table(spark, sf, "customer").select("c_custkey", F.when(k < 5, known).otherwise(unknown).alias("text"))
-    rows = table(spark, sf, "part").where("p_partkey < 5").select(F.format_string("Persona_%02d", "p_partkey").alias("pseudonym"), F.col("p_name").alias("original"))
+    """Answers that write pseudonyms freely, restored from the names of all parts; about a third have no such part."""
+    number = (F.col("c_custkey") * 2).cast("string")
+    short = F.concat(F.lit("Persona "), number, F.lit(" y [DNI]"))
+    long = F.concat(F.lit("Persona "), number, F.lit(" y **PERSONA-00"), number, F.lit("** de persona "), number)
+    answers = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 < 5, long).otherwise(short).alias("text"))
+    rows = table(spark, sf, "part").select(F.format_string("Persona_%02d", "p_partkey").alias("pseudonym"), F.col("p_name").alias("original"))
     out = restore(answers, rows, ["c_custkey"])
     total = F.aggregate(F.map_values("replaced"), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select("c_custkey", "restored", total.alias("n_replaced"), F.size("unknown").alias("n_unknown"))
@@ -253,10 +252,10 @@ def json_leaf_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(PROTECTION, """
-SELECT o_orderkey, 0 AS table_id, r AS row_id, CASE r WHEN 0 THEN 'Clave|Prioridad & más' ELSE o_orderkey::VARCHAR || '|' || o_orderpriority END AS cells FROM orders, (SELECT unnest([0, 1]) AS r) WHERE o_orderkey % 3 = 0""")
+SELECT o_orderkey, 0 AS table_id, r AS row_id, CASE r WHEN 0 THEN 'Clave|Prioridad & más' ELSE o_orderkey::VARCHAR || '|' || o_orderpriority END AS cells FROM orders, (SELECT unnest([0, 1]) AS r)""")
 def html_table_cells(spark: SparkSession, sf: str) -> DataFrame:
     page = F.concat(F.lit("<p>x</p><TABLE class='a'><tr><th>Clave</th><th>Prioridad<br/>&amp; m&#225;s</th></tr><tr><td> "), F.col("o_orderkey").cast("string"), F.lit("</td><td><b>"), "o_orderpriority", F.lit("</b></td></tr><tr><td></td></tr></TABLE>"))
-    pages = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", page.alias("html"))
+    pages = table(spark, sf, "orders").select("o_orderkey", page.alias("html"))
     return html_tables(pages, "o_orderkey").select("o_orderkey", "table_id", "row_id", F.array_join("cells", "|").alias("cells"))
 
 
