@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import validators as V
 from ..functions.anonymize import anonymize
 from ..functions.text import MARKS, fold, let, mask, strip_accents
-from ..storage import materialize
+from ..storage import among, materialize
 from ..types import ANONYMIZE, DOCUMENT_ACTIONS, DROP, KEEP, PREFIXES, PROPAGATED, PSEUDONYMIZE, SPANS
 from . import words as W
 from .headers import HEADER_ONLY, header_hint
@@ -28,8 +28,6 @@ from .spans import find_terms, merge_spans, replace_spans
 from .values import looks_like_person
 
 NOT_NUMERIC = ("NOMBRE_PERSONA", "RAZON_SOCIAL", "DIRECCION", "DATO_SENSIBLE")
-#: Terms learned from a table, at most; the first in column order count. A fixed value.
-MAX_LEARNED = 5000
 
 
 def whole_value_type(text: Column, hint: Column, context: Column) -> Column:
@@ -53,21 +51,34 @@ def folded_term(value: Column) -> Column:
     return F.lower(F.translate(strip_accents(F.trim(value)), MARKS, ""))
 
 
+#: Terms that are copied to every task and looked up in every text, at most.
+FEW_TERMS = 64
+
+
 def term_spans(texts: DataFrame, terms: DataFrame, keys: list[str], scope: list[str] = [], text: str = "text") -> DataFrame:
     """Dictionary search as a join: (keys..., sv_terms) of the rows that may hold a term (value, type, ord; scope... if any).
 
     Each term is filed under its word that fewest terms share; a text's distinct words meet the terms filed under them,
-    and only these are searched in it. The work follows the number of words, not of words times terms, and texts are not
-    copied to their words.
+    and only these are searched in it. Up to ``FEW_TERMS`` terms without a scope travel to the texts as one map, which
+    shuffles nothing. Otherwise words that no term is filed under are left out by a bitmap of fixed size before the
+    others are shuffled, and so is a text that holds none.
     """
     needle = terms.select(*scope, "value", "type", "ord", folded_term(F.col("value")).alias("needle")).where(F.length("needle") >= 2)
     parts = needle.select("*", F.explode(F.array_distinct(F.regexp_extract_all("needle", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
     shared = parts.groupBy(*scope, "word").agg(F.count("*").alias("sv_k"))
     first = parts.join(shared, [*scope, "word"]).groupBy(*scope, "value", "type", "ord").agg(F.min(F.struct("sv_k", "word")).alias("w")).select(*scope, "value", "type", "ord", F.col("w.word").alias("word"))
+    first = materialize(first)
+    words_of = lambda c: F.array_distinct(F.split(F.lower(strip_accents(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+"))
+    if not scope and first.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        one = first.agg(F.collect_list(F.struct("ord", "value", "type", "word")).alias("sv_filed"))  # one row, of a checked size
+        held = texts.select(*keys, F.col(text).alias("sv_text")).crossJoin(F.broadcast(one)).withColumn("sv_words", words_of(F.col("sv_text")))
+        mine = F.filter("sv_filed", lambda t: F.array_contains("sv_words", t["word"]))
+        some = F.array_sort(F.transform(mine, lambda t: F.struct(t["ord"].alias("ord"), t["value"].alias("value"), t["type"].alias("type"))))
+        held = held.where(F.arrays_overlap("sv_words", F.transform("sv_filed", lambda t: t["word"])))
+        return held.select(*keys, find_terms(F.col("sv_text"), some).alias("sv_terms"))
     carried = list(dict.fromkeys([*keys, *scope]))
-    words = F.array_distinct(F.split(F.lower(strip_accents(F.coalesce(F.col(text), F.lit("")))), r"[^\p{L}\p{N}]+"))
-    tokens = texts.select(*carried, F.explode(words).alias("word"))
-    met = tokens.join(first, [*scope, "word"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "value", "type"))).alias("sv_some"))
+    tokens = among(texts.select(*carried, F.explode(words_of(F.col(text))).alias("word")), first, "word")
+    met = materialize(tokens.join(first, [*scope, "word"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "value", "type"))).alias("sv_some")))
     return texts.select(*keys, F.col(text).alias("sv_text")).join(met, keys).select(*keys, find_terms(F.col("sv_text"), F.col("sv_some")).alias("sv_terms"))
 
 
@@ -102,12 +113,23 @@ def analyze(segments: DataFrame, custom_terms: DataFrame | None = None, ignored:
     return materialize(step.drop("sv_whole", "sv_scan", "sv_found", "sv_learned", "sv_custom", "sv_spans"))
 
 
-def summarize(analyzed: DataFrame) -> DataFrame:
-    """type, count, distinct values, those to review, up to three masked examples; most frequent first."""
-    one = analyzed.select(F.explode("spans").alias("s")).select("s.*")
-    by = one.groupBy("type", "value").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") == "baja").alias("low"))
-    out = by.groupBy("type").agg(F.sum("n").alias("count"), F.count("*").alias("distinct"), F.sum("low").alias("review"), F.min("value").alias("a"), F.max("value").alias("b"))
-    return out.select("type", "count", "distinct", "review", F.array_distinct(F.array(mask(F.col("a")), mask(F.col("b")))).alias("examples")).orderBy(F.desc("count"), "type")
+def summarize(analyzed: DataFrame, doc: str = "doc_id", seg: str = "seg_id") -> DataFrame:
+    """type, count, distinct values, those to review, the first three values as masked examples; most frequent first."""
+    one = analyzed.select(F.struct(doc, seg).alias("at"), F.explode("spans").alias("s")).select("at", "s.*")
+    by = one.groupBy("type", "value").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") == "baja").alias("low"), F.min(F.struct("at", "start")).alias("first"))
+    totals = by.groupBy("type").agg(F.sum("n").alias("count"), F.count("*").alias("distinct"), F.sum("low").alias("review"))
+    # Three times the least of what is left: sums by type, so a type of very many values is in no one task.
+    firsts, left = None, by.select("type", "value", "first")
+    for k in range(EXAMPLES):
+        best = left.groupBy("type").agg(F.min(F.struct("first", "value")).alias("b")).select("type", F.lit(k).alias("k"), F.col("b.first").alias("sv_first"), F.col("b.value").alias("example"))
+        firsts = best if firsts is None else firsts.unionByName(best)
+        left = left.join(F.broadcast(best.select("type", "sv_first")), "type").where(F.col("first") > F.col("sv_first")).drop("sv_first")  # one row a type
+    shown = firsts.groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", mask(F.col("example")).alias("m")))), lambda x: x["m"]).alias("examples"))
+    return totals.join(F.broadcast(shown), "type").select("type", "count", "distinct", "review", "examples").orderBy(F.desc("count"), "type")
+
+
+#: Masked examples of a type.
+EXAMPLES = 3
 
 
 def action_of(policy: dict[str, str] | None = None) -> dict[str, str]:
@@ -174,11 +196,35 @@ def usage_events(analyzed: DataFrame, actions: dict[str, str], doc: str = "doc_i
     return found.select("event_id", "type", _literal_map(actions)[F.col("type")].alias("action"), "amount")
 
 
-def leaks(cleaned: DataFrame, secrets: DataFrame, keys: list[str], scope: list[str] = [], text: str = "protected", secret: str = "original", least: int = 4) -> DataFrame:
-    """Rows of ``cleaned`` in which an original value (of their scope) of four or more characters still stands, letter
-    for letter."""
-    terms = secrets.where(F.length(secret) >= least).select(*scope, F.col(secret).alias("value"), F.lit("").alias("type"), F.lit(0).cast("long").alias("ord")).distinct()
-    found = term_spans(cleaned, terms, keys, scope, text)
-    exact = terms.select(*scope, F.col("value").alias("sv_v"))
-    hits = found.select(*keys, F.explode("sv_terms").alias("s")).select(*keys, F.col("s.value").alias("sv_v"))
-    return cleaned.join(hits.join(exact, [*scope, "sv_v"], "left_semi").select(*keys).distinct(), keys, "left_semi")
+def originals(analyzed: DataFrame, policy: dict[str, str] | None = None, scope: list[str] = []) -> DataFrame:
+    """(scope..., type, original) of every value that ``protect`` takes out, whether it can be restored or not."""
+    active = [t for t, a in action_of(policy).items() if a != KEEP]
+    found = analyzed.select(*scope, F.explode(F.filter("spans", lambda s: s["type"].isin(*active))).alias("s"))
+    return found.select(*scope, F.col("s.type").alias("type"), F.col("s.value").alias("original")).distinct()
+
+
+#: Code points of the pieces by which secrets are filed.
+_PIECE = 4
+#: Bits of the filter of pieces: 4 MB, whatever the number of secrets.
+_PIECE_BITS = 1 << 25
+
+
+def leaks(cleaned: DataFrame, secrets: DataFrame, keys: list[str], scope: list[str] = [], text: str = "protected", secret: str = "original") -> DataFrame:
+    """Rows of ``cleaned`` that contain an original value (of their scope) of four or more characters, letter for letter,
+    also within a word: ``keys``, and ``leaked``, the values.
+
+    A value is filed under that of its pieces of four characters which fewest values share. Texts meet the values filed
+    under the pieces they hold (pieces that no value is filed under are left out by a bitmap of fixed size), and only
+    these are looked for.
+    """
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (_PIECE - 1)), lambda i: F.substring(c, i, F.lit(_PIECE))))
+    wanted = secrets.where(F.length(secret) >= _PIECE).select(*scope, F.col(secret).alias("sv_secret")).distinct()
+    parts = wanted.select("*", F.explode(pieces(F.col("sv_secret"))).alias("sv_piece"))
+    shared = parts.groupBy("sv_piece").agg(F.count("*").alias("sv_n"))
+    filed = parts.join(shared, "sv_piece").groupBy(*scope, "sv_secret").agg(F.min(F.struct("sv_n", "sv_piece")).alias("w")).select(*scope, "sv_secret", F.col("w.sv_piece").alias("sv_piece"))
+    filed = materialize(filed)
+    carried = list(dict.fromkeys([*keys, *scope]))
+    held = cleaned.where(F.length(text) >= _PIECE).select(*carried, F.explode(pieces(F.col(text))).alias("sv_piece"))
+    met = among(held, filed, "sv_piece", _PIECE_BITS).join(filed, [*scope, "sv_piece"]).groupBy(*keys).agg(F.collect_set("sv_secret").alias("sv_some"))
+    found = cleaned.join(met, keys).withColumn("leaked", F.array_sort(F.filter("sv_some", lambda x: F.col(text).contains(x))))
+    return found.where(F.size("leaked") > 0).select(*keys, "leaked")

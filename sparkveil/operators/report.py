@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
 from ..types import ACTIONS, ANONYMIZE, DROP, KEEP, PSEUDONYMIZE, TYPES
 
 # The range cap, the row cap of the risk list, the merged group's name and the limits of an event.
@@ -92,15 +93,26 @@ def user_detail(events: DataFrame, det: DataFrame, users: DataFrame, areas: Data
     return out.orderBy(F.desc("detections"), "user_name", "area")
 
 
+def ordered_types(type_order: tuple[str, ...] = TYPES, column: str = "type") -> Column:
+    """Aggregate: the distinct types of a group, in the order given."""
+    place = F.array_position(F.array(*map(F.lit, type_order)), F.col(column))
+    return F.transform(F.array_sort(F.collect_set(F.struct(place.alias("o"), F.col(column).alias("t")))), lambda x: x["t"])
+
+
+def not_listed(rows: DataFrame, listed: DataFrame, column: str, listed_column: str | None = None) -> DataFrame:
+    """``rows`` whose value is in no row of ``listed``, whatever the case and accents; a null value is never listed."""
+    own = listed.select(fold(F.col(listed_column or column).cast("string")).alias("sv_fold")).where("sv_fold is not null").distinct()
+    return rows.join(own, fold(rows[column].cast("string")) == own["sv_fold"], "left_anti")
+
+
 def risk_events(events: DataFrame, detections: DataFrame, users: DataFrame, areas: DataFrame, incidents: DataFrame, k: int = MIN_GROUP, limit: int = MAX_RISK_EVENTS, type_order: tuple[str, ...] = TYPES) -> DataFrame:
     """The newest events whose warning was ignored, without user or time of day. The row cap is the feature: the newest
     are picked first, and only their detections are joined."""
     newest = events.where(F.col("decision") == "ignorado").orderBy(F.desc("ts"), "id").limit(limit)
     active = users.where("active").groupBy("area_id").agg(F.count("*").alias("active_users"))
     named = areas.select(F.col("id").alias("area_id"), "name").join(active, "area_id", "left")
-    ordinal = F.array_position(F.array(*map(F.lit, type_order)), F.col("type"))
     det = detections.join(newest.select(F.col("id").alias("event_id")), "event_id", "left_semi")
-    found = det.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_set(F.struct(ordinal.alias("o"), "type"))), lambda x: x["type"]).alias("types"), F.sum("amount").cast("long").alias("detections"))
+    found = det.groupBy("event_id").agg(ordered_types(type_order).alias("types"), F.sum("amount").cast("long").alias("detections"))
     inc = incidents.where("event_id is not null").select("event_id", F.col("id").alias("incident_id"), F.col("state").alias("incident_state"))
     out = newest.withColumnRenamed("id", "event_id").join(named, "area_id", "left").join(found, "event_id", "left").join(inc, "event_id", "left")
     return out.select(

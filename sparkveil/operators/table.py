@@ -20,7 +20,7 @@ from ..functions.anonymize import anonymize, birth_year, salary_range
 from ..functions.text import cell_text, fold, is_protected, mask
 from ..storage import materialize
 from ..types import ANONYMIZE, DROP, KEEP, PREFIXES, PROPAGATED, PSEUDONYMIZE, SPANS, TABLE_ACTIONS
-from .documents import MAX_LEARNED, term_spans
+from .documents import term_spans
 from .headers import HEADER_ONLY, header_hint_of, is_negative_header
 from .pseudonyms import assign
 from .scan import scan, spread
@@ -281,7 +281,7 @@ def apply_decisions(df: DataFrame, decisions: dict[str, Decision], row: str, cel
 
 
 def _learned(df: DataFrame, columns: dict[str, Decision], at: dict[str, int], row: str, prefix_of) -> DataFrame | None:
-    """value, type, prefix, fold, ord of names, companies and addresses in their columns: the first 5000 by column, then row."""
+    """value, type, prefix, fold, ord of names, companies and addresses in their columns, ordered by column, then row."""
     out = None
     for c, d in columns.items():
         v = cell(df, c)
@@ -290,5 +290,4 @@ def _learned(df: DataFrame, columns: dict[str, Decision], at: dict[str, int], ro
     if out is None:
         return None
     firsts = out.groupBy(fold(F.col("value")).alias("fold")).agg(F.min(F.struct("idx", "row", "value", "type", "prefix")).alias("f"))
-    few = firsts.select("fold", "f.*").orderBy("idx", "row").limit(MAX_LEARNED)
-    return few.select("value", "type", "prefix", "fold", F.struct("idx", "row").alias("ord"))
+    return firsts.select("fold", "f.*").select("value", "type", "prefix", "fold", F.struct("idx", "row").alias("ord"))

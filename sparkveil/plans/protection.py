@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
@@ -14,16 +15,17 @@ from ..operators import documents as D
 from ..operators import table as T
 from ..operators.pseudonyms import assign
 from ..operators.restore import restore
+from ..operators.scan import PLACEHOLDER, SECRET_NAME, base_patterns, scan_for
 from ..operators.spans import matches
 from ..sources.readers import html_tables, json_leaves
 from ..storage import materialize, shared_dir
+from ..types import PSEUDONYMIZE, TYPES
 from .base import Query, register, table
 
 PROTECTION: dict[str, Query] = {}
 
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 DIGITS_RE = r"[0-9]{13,19}"
-SECRET_RE = r"(?i)(?:password|secret|token|api[_-]?key)[\"']?\s*[:=]\s*[\"']?[^\s\"',;]{6,}"
 
 
 def _found(spark: SparkSession, sf: str, pattern: str) -> DataFrame:
@@ -32,6 +34,13 @@ def _found(spark: SparkSession, sf: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "lang", F.explode(matches(F.translate("text", "\x01\x02", "  "), pattern)).alias("x")).select("doc_id", "lang", F.col("x.at").alias("start"), F.col("x.m").alias("value"))
 
 
+def _ruled(spark: SparkSession, sf: str, kind: str, priority: int | None = None) -> DataFrame:
+    """doc_id, lang, value of what the scanner's rules of one type find."""
+    rules = [r for r in base_patterns() if r.type == kind and priority in (None, r.priority)]
+    found = scan_for(table(spark, sf, "documents").select("doc_id", "lang", "text"), rules)
+    return found.select("doc_id", "lang", F.explode("spans").alias("s")).select("doc_id", "lang", F.col("s.value").alias("value"))
+
+
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.lit(0).alias("seg_id"), "text")
 
@@ -50,23 +59,70 @@ def document_summary(spark: SparkSession, sf: str) -> DataFrame:
     return D.summarize(D.analyze(segments(spark, sf))).select("type", "count", "distinct", "review")
 
 
-@register(PROTECTION)
+@register(PROTECTION, """
+SELECT o_orderkey AS doc_id, concat('u', concat(o_orderkey, ''), '@mail.example.com') AS leaked FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, concat('S', concat(o_orderkey * 7919 + 100000, ''), 'xyz') FROM orders WHERE o_orderkey % 3 = 0""")
 def leak_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents in which a protected original is still found: none."""
-    done = D.protect(D.analyze(segments(spark, sf)))
-    own = D.leaks(done.segments.select("doc_id", "protected"), done.equivalences, ["doc_id"], ["doc_id"])
-    return own.select("doc_id")
+    """Documents with a mail address and a password, of which every fifth is then spoilt by its address inside a word,
+    and every third by its password: exactly these are found, anonymised originals included."""
+    k = F.col("o_orderkey")
+    mail, secret = F.concat(F.lit("u"), k.cast("string"), F.lit("@mail.example.com")), F.concat(F.lit("S"), (k * 7919 + 100000).cast("string"), F.lit("xyz"))
+    docs = table(spark, sf, "orders").select(k.alias("doc_id"), F.lit(0).alias("seg_id"), F.concat(F.lit("Escribir a "), mail, F.lit(" con password = "), secret, F.lit(" hoy")).alias("text"), mail.alias("mail"), secret.alias("secret"))
+    analyzed = D.analyze(materialize(docs))
+    clean = D.protect(analyzed).segments
+    spoilt = F.concat("protected", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" x"), "mail", F.lit("x"))).otherwise(""), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" y"), "secret", F.lit("y"))).otherwise(""))
+    found = D.leaks(clean.select("doc_id", spoilt.alias("protected")), D.originals(analyzed, scope=["doc_id"]), ["doc_id"], ["doc_id"])
+    return found.select("doc_id", F.explode("leaked").alias("leaked"))
+
+
+@register(PROTECTION)
+def leaks_in_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Originals that still stand somewhere in their own protected document, in a place that no rule took for data."""
+    analyzed = D.analyze(segments(spark, sf))
+    done = D.protect(analyzed).segments.select("doc_id", "protected")
+    return D.leaks(done, D.originals(analyzed, scope=["doc_id"]), ["doc_id"], ["doc_id"]).select("doc_id", F.explode("leaked").alias("leaked"))
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """All turns, numbered where a conversation repeats one."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    place = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("text"))
+    return rows.withColumn("seg", F.col("turn") * (1 << 24) + place)
 
 
 @register(PROTECTION)
 def protect_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as segments of a conversation, with one registry for all of its turns."""
-    turns = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    analyzed = D.analyze(turns, doc="conv_id", seg="turn")
-    return D.protect(analyzed, doc="conv_id", seg="turn").segments.select("conv_id", "turn", "protected")
+    analyzed = D.analyze(_turns(spark, sf), doc="conv_id", seg="seg")
+    return D.protect(analyzed, doc="conv_id", seg="seg").segments.select("conv_id", "turn", "protected")
 
 
-@register(PROTECTION)
+#: Every type gets a pseudonym, so that a text can be restored in full.
+REVERSIBLE = dict.fromkeys(TYPES, PSEUDONYMIZE)
+
+
+@register(PROTECTION, "SELECT conv_id, turn, md5(text) AS restored FROM conversations WHERE text IS NOT NULL")
+def conversation_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations protected with pseudonyms of one registry each, and restored from its table."""
+    done = D.protect(D.analyze(_turns(spark, sf), doc="conv_id", seg="seg"), REVERSIBLE, doc="conv_id", seg="seg")
+    turns = done.segments.where("protected is not null").select("conv_id", "turn", "seg", F.col("protected").alias("text"))
+    back = restore(turns, done.equivalences, ["conv_id", "seg"], ["conv_id"])
+    return back.select("conv_id", "turn", F.md5("restored").alias("restored"))
+
+
+@register(PROTECTION, "SELECT doc_id, md5(text) AS restored FROM documents WHERE text IS NOT NULL")
+def document_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document protected with pseudonyms, and restored: what was found went, and came back, at its place."""
+    done = D.protect(D.analyze(segments(spark, sf)), REVERSIBLE)
+    back = restore(done.segments.where("protected is not null").select("doc_id", F.col("protected").alias("text")), done.equivalences, ["doc_id"], ["doc_id"])
+    return back.select("doc_id", F.md5("restored").alias("restored"))
+
+
+@register(PROTECTION, """
+WITH t AS (SELECT '20' || lpad((c_custkey + 10000000)::VARCHAR, 8, '0') AS b FROM customer),
+n AS (SELECT count(*) AS n FROM t WHERE (11 - list_sum(list_transform(range(0, 10), lambda i: b[i + 1]::INTEGER * [5, 4, 3, 2, 7, 6, 5, 4, 3, 2][i + 1])) % 11) % 11 <> 10)
+SELECT idx::INTEGER AS idx, header, kind, type, confidence, CASE WHEN type IS NULL THEN 0 ELSE n END AS count, action FROM n, (VALUES (0, 'CUIT', 'columna', 'CUIT_CUIL', 'alta', 'seudonimizar'),
+  (1, 'Correo', 'columna', 'EMAIL', 'alta', 'anonimizar'), (2, 'Sueldo', 'columna', 'SALARIO', 'alta', 'anonimizar'), (3, 'Rubro', 'ninguno', NULL, NULL, 'mantener'), (4, 'Edad', 'columna', 'EDAD', 'alta', 'anonimizar')) v(idx, header, kind, type, confidence, action)""")
 def classify_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of a table made from customers: names, valid tax numbers, mails and amounts."""
     c = F.col("c_custkey")
@@ -86,14 +142,14 @@ def classify_columns(spark: SparkSession, sf: str) -> DataFrame:
 SELECT coalesce(lang, '-') AS lang, count(*) AS n_docs, sum(n)::BIGINT AS n_mails FROM (
   SELECT lang, len(regexp_extract_all(text, '{EMAIL_RE}')) AS n FROM documents) WHERE n > 0 GROUP BY 1""")
 def email_count_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _found(spark, sf, EMAIL_RE)
+    rows = _ruled(spark, sf, "EMAIL")
     return rows.groupBy(F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_mails"))
 
 
 @register(PROTECTION, rf"""
 SELECT doc_id, '***' || substr(m, strpos(m, '@')) AS masked FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL_RE}')) AS m FROM documents)""")
 def email_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(spark, sf, EMAIL_RE).select("doc_id", mask_email(F.col("value")).alias("masked"))
+    return _ruled(spark, sf, "EMAIL").select("doc_id", mask_email(F.col("value")).alias("masked"))
 
 
 @register(PROTECTION, r"""
@@ -106,15 +162,18 @@ def card_mask_luhn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(PROTECTION, rf"""
-SELECT m AS ip, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{V.IP}')) AS m FROM documents) GROUP BY 1""")
+WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:versi[oó]n\s*|\bv\s*)?[0-9.]+')) AS run FROM documents),
+m AS (SELECT doc_id, regexp_extract(run, '^({V.IP})(?:\.?$|\.\.)', 1) AS m FROM r)
+SELECT m AS ip, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM m WHERE m <> '' GROUP BY 1""")
 def ip_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(spark, sf, V.IP).groupBy(F.col("value").alias("ip")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return _ruled(spark, sf, "IP").groupBy(F.col("value").alias("ip")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @register(PROTECTION, rf"""
-SELECT doc_id, regexp_replace(m, '^[^:=]*[:=]\s*["'']?', '') AS secret FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{SECRET_RE.replace("'", "''")}')) AS m FROM documents)""")
+SELECT doc_id, m AS secret FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){SECRET_NAME}["'']?\s*[:=]\s*["'']?([^\s"'',;]{{6,}})', 1)) AS m FROM documents) WHERE NOT regexp_matches(m, '{PLACEHOLDER}')""")
 def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(spark, sf, SECRET_RE).select("doc_id", F.regexp_replace("value", r"^[^:=]*[:=]\s*[\"']?", "").alias("secret"))
+    """Values that are assigned to something named like a secret."""
+    return _ruled(spark, sf, "CREDENCIAL", 94).select("doc_id", F.col("value").alias("secret"))
 
 
 def _tax_numbers(keys: Column) -> Column:
@@ -259,7 +318,9 @@ def html_table_cells(spark: SparkSession, sf: str) -> DataFrame:
     return html_tables(pages, "o_orderkey").select("o_orderkey", "table_id", "row_id", F.array_join("cells", "|").alias("cells"))
 
 
-@register(PROTECTION)
+@register(PROTECTION, """
+WITH n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer), p AS (SELECT c_custkey, CASE WHEN n < 10 THEN '0' ELSE '' END || n::VARCHAR AS n FROM n)
+SELECT c_custkey AS _row, 'Empresa_' || n AS Empresa, '***@x.example.com' AS Correo, 'Llamar a Empresa_' || n || ', escribir a Email_' || n || ' hoy' AS Notas FROM p""")
 def protect_customer_table(spark: SparkSession, sf: str) -> DataFrame:
     """A table with a name column and free text that mentions the names: one numbering for both."""
     c = table(spark, sf, "customer")
@@ -272,12 +333,11 @@ def protect_customer_table(spark: SparkSession, sf: str) -> DataFrame:
 @register(PROTECTION, "SELECT ts::DATE AS day, event_type, count(*) AS events, sum(floor(value * 100 + 0.5)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL")
 def streaming_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The events table read as a stream, deduplicated and counted in windows with a watermark."""
-    from ..streaming.ingest import deduplicated, windowed_counts
+    from ..streaming.ingest import deduplicated, keep_latest, latest_counts, windowed_counts
 
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("value", F.floor(F.col("value") * 100 + 0.5))
-    name = f"veil_{uuid.uuid4().hex}"
-    counted = windowed_counts(deduplicated(stream), late=None)
-    query = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.to_date("start").alias("day"), "event_type", "events", F.col("total").cast("long").alias("cents"))
+    counts, path = windowed_counts(deduplicated(stream), late=None), f"{shared_dir(spark)}/veil-{uuid.uuid4().hex}"
+    keep_latest(counts, f"{path}/rows", f"{path}/state").awaitTermination()
+    latest = latest_counts(spark, f"{path}/rows", ["start", "event_type"], ["events", "total"], counts.schema)
+    return latest.select(F.to_date("start").alias("day"), "event_type", "events", F.col("total").cast("long").alias("cents"))

@@ -175,8 +175,10 @@ def upsert_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(REPORTS, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def anti_join_exclusion(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+    """Customers without an order, by names that are compared whatever the case and accents."""
+    name = lambda key: F.concat(F.lit("Peña "), F.col(key).cast("string"))
+    o = table(spark, sf, "orders").select(F.upper(name("o_custkey")).alias("name"))
+    return R.not_listed(table(spark, sf, "customer").select("c_custkey", name("c_custkey").alias("name")), o, "name").select("c_custkey")
 
 
 @register(REPORTS, """
@@ -186,15 +188,17 @@ def share_of_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(REPORTS, """
-WITH o AS (SELECT source, CASE WHEN toxic = 1 AND quality = 0 THEN 'tp' WHEN quality = 0 THEN 'fp' WHEN toxic = 1 THEN 'fn' ELSE 'tn' END AS outcome FROM labels JOIN documents USING (doc_id)),
-c AS (SELECT source, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM o GROUP BY source),
+WITH o AS (SELECT coalesce(source, '-') AS type, CASE WHEN toxic = 1 AND quality = 0 THEN 'tp' WHEN quality = 0 THEN 'fp' WHEN toxic = 1 THEN 'fn' ELSE 'tn' END AS outcome FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT type, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM o WHERE outcome <> 'tn' GROUP BY type),
 p AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS recall FROM c)
 SELECT *, CASE WHEN precision + recall = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM p""")
 def prf_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    guess, truth = F.col("quality") == 0, F.col("toxic") == 1
-    outcome = F.when(guess & truth, "tp").when(guess, "fp").when(truth, "fn").otherwise("tn")
-    return Q.metrics(rows.select("source", outcome.alias("outcome")), ["source"])
+    """Low quality as a guess at toxic texts: spans over whole texts, matched one to one, by source."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("-")).alias("source")), "doc_id")
+    span = F.array(F.struct(F.col("source").alias("type"), F.lit(0).alias("start"), F.lit(10).alias("end"), F.lit("").alias("value")))
+    found = lambda c: F.when(c, span).otherwise(F.filter(span, lambda _: F.lit(False)))
+    cases = rows.select(F.col("doc_id").alias("case_id"), found(F.col("toxic") == 1).alias("gold"), found(F.col("quality") == 0).alias("spans"))
+    return Q.metrics(Q.outcomes(cases))
 
 
 SWEEP = [0.02, 0.04, 0.06, 0.08]
@@ -218,16 +222,21 @@ def latency_upper_median(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(REPORTS, """
-SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL EXCEPT ALL SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 1""")
+WITH o AS (SELECT doc_id, CASE WHEN toxic = 1 AND quality = 0 THEN 'tp' WHEN quality = 0 THEN 'fp' WHEN toxic = 1 THEN 'fn' END AS outcome FROM labels),
+n AS (SELECT doc_id, CASE WHEN toxic = 1 AND lang = 'en' THEN 'tp' WHEN lang = 'en' THEN 'fp' WHEN toxic = 1 THEN 'fn' END AS outcome FROM labels JOIN documents USING (doc_id)),
+a AS (SELECT * FROM n WHERE outcome <> 'tp'), b AS (SELECT * FROM o WHERE outcome <> 'tp')
+SELECT doc_id, outcome, 'new' AS state FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT doc_id, outcome, 'gone' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def except_mistakes(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang").where("lang is not null")
-    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
-    return docs.exceptAll(docs.join(good, "doc_id").select("doc_id", "lang"))
+    """Mistakes of two detectors of toxic texts, by quality and by language: the new ones and those that are gone."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    truth = F.col("toxic") == 1
+    judged = lambda guess: rows.select("doc_id", F.when(guess & truth, "tp").when(guess, "fp").when(truth, "fn").alias("outcome"))
+    new, gone = Q.mistakes_between(judged(F.col("quality") == 0), judged(F.coalesce(F.col("lang") == "en", F.lit(False))))
+    return new.withColumn("state", F.lit("new")).unionByName(gone.withColumn("state", F.lit("gone")))
 
 
 @register(REPORTS, LONG + """SELECT user_id, string_agg(type, ',' ORDER BY list_position(['EMAIL', 'TELEFONO', 'DNI', 'TARJETA'], type)) AS types
 FROM (SELECT DISTINCT e.user_id, d.type FROM det_ d JOIN events_ e ON e.id = d.event_id) GROUP BY user_id""")
 def ordered_distinct_types(spark: SparkSession, sf: str) -> DataFrame:
-    order = F.array_position(F.array(*map(F.lit, ("EMAIL", "TELEFONO", "DNI", "TARJETA"))), F.col("type"))
     rows = detections(spark, sf).join(events(spark, sf).select(F.col("id").alias("event_id"), "user_id"), "event_id")
-    return rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(order.alias("o"), "type"))), lambda x: x["type"]), ",").alias("types"))
+    return rows.groupBy("user_id").agg(F.array_join(R.ordered_types(("EMAIL", "TELEFONO", "DNI", "TARJETA")), ",").alias("types"))

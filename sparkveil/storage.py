@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -13,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(spark, "_veil_dir", None):
         spark._veil_dir = tempfile.mkdtemp(prefix="veil-")
@@ -25,3 +27,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/veil-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def among(rows: DataFrame, known: DataFrame, column: str, bits: int = 1 << 25) -> DataFrame:
+    """Rows whose ``column`` occurs in that of ``known``, and a few others. What is known becomes a bitmap of at most
+    ``bits`` bits, whatever its number; this is broadcast, so that the other rows need not be shuffled."""
+    slot = F.pmod(F.xxhash64(column), F.lit(bits))
+    at = lambda c: F.call_function("bitmap_bit_position", c)
+    group = lambda c: F.call_function("bitmap_bucket_number", c)
+    maps = known.select(slot.alias("x")).groupBy(group(F.col("x")).alias("sv_g")).agg(F.call_function("bitmap_construct_agg", at(F.col("x"))).alias("sv_bits"))
+    byte = F.conv(F.hex(F.substring("sv_bits", (F.shiftright(at(slot), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (at(slot) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(maps), group(slot) == F.col("sv_g")).where(hit).select(*rows.columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -30,3 +31,20 @@ def append_detections(stream: DataFrame, path: str, checkpoint: str, once: bool
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def keep_latest(counts: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Writes the groups that each micro-batch changed, under its number; read them with ``latest_counts``. With a watermark
+    the state holds open windows only, and nothing passes through the driver."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def latest_counts(spark: SparkSession, path: str, by: list[str], values: list[str], schema: StructType) -> DataFrame:
+    """The last state of every group that ``keep_latest`` wrote; no rows if no batch came."""
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(path)
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*by, "x.*")
