@@ -6,7 +6,8 @@ open sequence takes the item that fits and whose demand has the largest dot prod
 weighed by each resource's share of all demand. When no item fits, the largest is cut to fill the room.
 
 Defined cases: a null text is empty and gives one piece, the end mark; rows with equal ids are separate texts; ties go
-to the earlier key, then the longer item; an empty table gives no rows; extra columns are ignored.
+to the earlier key, then the longer item; an empty table gives no rows; extra columns are ignored. Without a column of
+loss-bearing tokens every token bears loss; a null in it counts as all, and more than a text has as all.
 """
 
 from __future__ import annotations
@@ -78,15 +79,16 @@ def _encode(end_id: int, size: int, name: str, path: str | None):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                counts, crcs, rests = [], [], []
-                for text in part.column(2):
+                counts, crcs, rests, losses = [], [], [], []
+                for text, loss in zip(part.column(2), part.column(3), strict=True):
                     ids = np.append(tok.encode(text.as_py()), np.uint32(end_id)).astype("<u4", copy=False)
                     full = len(ids) // size
                     counts.append(len(ids))
+                    losses.append(len(ids) if loss.as_py() is None else max(0, min(loss.as_py(), len(ids))))
                     crcs.append([zlib.crc32(ids[k * size : (k + 1) * size].tobytes()) for k in range(full)])
                     rest = ids[full * size :]
                     rests.append((rest.astype("<u2") if tok.size <= 1 << 16 else rest).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], names=["bucket", "key", "n", "crcs", "rest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array(losses, pa.int64())], names=["bucket", "key", "n", "crcs", "rest", "loss"])
 
     return run
 
@@ -95,33 +97,39 @@ def _pack(limits: Limits, wide: bool):
     def run(table: pa.Table) -> pa.Table:
         key_type = table.schema.field("key").type
         # a fixed order, so reruns agree
-        rows = sorted(zip(table["bucket"].to_pylist(), table["key"].to_pylist(), table["n"].to_pylist(), table["crcs"].to_pylist(), table["rest"].to_pylist(), strict=True), key=lambda r: (r[1] is None, r[1] if r[1] is not None else 0, r[2], r[3], r[4]))
+        rows = sorted(zip(table["bucket"].to_pylist(), table["key"].to_pylist(), table["n"].to_pylist(), table["crcs"].to_pylist(), table["rest"].to_pylist(), table["loss"].to_pylist(), strict=True), key=lambda r: (r[1] is None, r[1] if r[1] is not None else 0, *r[2:]))
         base, out = rows[0][0] << 32, []
-        for _, key, n, crcs, _rest in rows:
+        bearing = lambda start, n, total, loss: max(0, start + n - max(start, total - loss))
+        for _, key, n, crcs, _rest, loss in rows:
             for k, crc in enumerate(crcs):
-                out.append((key, k * limits.tokens, limits.tokens, crc, n, base, 0))
+                out.append((key, k * limits.tokens, limits.tokens, crc, n, base, 0, bearing(k * limits.tokens, limits.tokens, n, loss)))
                 base += 1
-        items = [(key, n, len(crcs) * limits.tokens, np.frombuffer(rest, "<u4" if wide else "<u2").astype("<u4")) for _, key, n, crcs, rest in rows]
+        items = [(key, n, len(crcs) * limits.tokens, np.frombuffer(rest, "<u4" if wide else "<u2").astype("<u4"), loss) for _, key, n, crcs, rest, loss in rows]
         sizes = np.array([len(x[3]) for x in items], np.int64)
-        for seq in place(sizes, sizes, limits):
+        for seq in place(sizes, np.minimum(sizes, np.array([x[4] for x in items], np.int64)), limits):
             offset = 0
             for k, first, n in seq:
-                key, total, start, ids = items[k]
-                out.append((key, start + first, n, zlib.crc32(ids[first : first + n].tobytes()), total, base, offset))
+                key, total, start, ids, loss = items[k]
+                out.append((key, start + first, n, zlib.crc32(ids[first : first + n].tobytes()), total, base, offset, bearing(start + first, n, total, loss)))
                 offset += n
             base += 1
         columns = list(zip(*out, strict=True))
-        return pa.Table.from_arrays([pa.array(columns[0], key_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return pa.Table.from_arrays([pa.array(columns[0], key_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_length"])
 
     return run
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits(), end_id: int = 2, name: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:
-    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every token bears loss here; ``place``
-    serves data with other masks. Tokens travel as two bytes each, full pieces only as their checksum."""
+def pack(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits(), end_id: int = 2, name: str = "word_bpe_49k.json", path: str | None = None, loss: str | None = None,
+) -> DataFrame:
+    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_length (tokens of the piece that bear
+    loss). ``loss`` names a column with the number of a text's last tokens, the end mark included, that bear loss: in
+    instruction data those of the answer. Tokens travel as two bytes each, full pieces only as their checksum. Full pieces
+    of a long text hold a whole sequence, so ``limits.loss`` below ``limits.tokens`` is for texts of one sequence or less."""
     kind = docs.schema[key].dataType.simpleString()
     buckets = max(1, -(-docs.count() // BUCKET_ITEMS))
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(key), F.xxhash64(F.col(text))), F.lit(buckets)).alias("bucket"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    items = dealt.mapInArrow(_encode(end_id, limits.tokens, name, path), f"bucket long, key {kind}, n long, crcs array<long>, rest binary")
+    bearing = F.col(loss).cast("long") if loss else F.lit(None).cast("long")
+    dealt = docs.select(F.pmod(F.xxhash64(F.col(key), F.xxhash64(F.col(text))), F.lit(buckets)).alias("bucket"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"), bearing.alias("loss"))
+    items = dealt.mapInArrow(_encode(end_id, limits.tokens, name, path), f"bucket long, key {kind}, n long, crcs array<long>, rest binary, loss long")
     wide = word_tokenizer(name, path).size > 1 << 16
-    return items.groupBy("bucket").applyInArrow(_pack(limits, wide), f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return items.groupBy("bucket").applyInArrow(_pack(limits, wide), f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_length long")

@@ -64,5 +64,30 @@ def test_limits_hold_at_once():
     assert (done == tokens).all()
 
 
+def test_instruction_data_under_three_limits(spark, tok):
+    """Prompts bear no loss. By turns tokens, segments and loss-bearing tokens are what fills a sequence."""
+    rng = np.random.default_rng(5)
+    rows, bears = [], {}
+    for k in range(300):
+        prompt, answer = ("ask " * int(rng.integers(1, 40))).strip(), ("tell " * int(rng.integers(1, 30))).strip()
+        ids = plain_ids(tok, f"{prompt} {answer}")
+        bears[k] = (len(ids) + 1, len(plain_ids(tok, answer)) + 1)
+        rows.append((k, f"{prompt} {answer}", bears[k][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, answer long")
+    for limits, binding in ((packing.Limits(300, 1000, 10_000), 0), (packing.Limits(4000, 6, 10_000), 1), (packing.Limits(4000, 1000, 90), 2)):
+        got = packing.pack(docs, limits=limits, loss="answer").collect()
+        use = {}
+        for r in got:
+            n = use.setdefault(r.sequence_id, [0, 0, 0])
+            n[0], n[1], n[2] = n[0] + r.length, n[1] + 1, n[2] + r.loss_length
+        most = (limits.tokens, limits.segments, limits.loss)
+        assert all(a <= b for n in use.values() for a, b in zip(n, most, strict=True))
+        full = sorted((n[binding] / most[binding] for n in use.values()), reverse=True)
+        assert full[len(full) * 3 // 4] >= 0.95, binding
+        for k, (n, loss) in bears.items():
+            own = [r for r in got if r.key == k]
+            assert sum(r.length for r in own) == n and sum(r.loss_length for r in own) == loss
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
