@@ -3,10 +3,12 @@
 Each tree gives a vector a string of sign bits of random directions; a tree is the sorted array of its strings. A query
 descends to the longest prefix it shares with entries of each tree, then all trees ascend together, one bit at a time,
 until the entries below the common prefix number ``candidates`` over all trees, or ``SHARE`` for each distinct vector if
-that is more, so that the searched part doesn't shrink as a table grows. These are scored exactly, and the best of all
+that is more, so that the searched part doesn't shrink as a table grows. Of these entries, in each tree, those whose whole
+strings (the tree's and the next one's) differ from the query's in fewest bits are scored exactly: ``SCORED`` of the
+distinct vectors over all trees at most (or 8 for each neighbour asked for, in a tree, if that is more). The best of all
 trees are merged. The forest's roots are the prefixes of a few bits, so that an array is cut into shards; a shard
-that is much larger than planned is cut again by a hash. Equal vectors are one entry, with its least ids. A query whose
-roots hold fewer entries than it is due is scored against all entries, block by block.
+that is much larger than planned is cut again by a hash, and so are a shard's queries. Equal vectors are one entry, with
+its least ids. A query whose roots hold fewer entries than it is due is scored against all entries, block by block.
 
 To serve inner products, vectors get one more component that makes all norms of a band (a factor of the square root of
 two) equal, so that a long vector doesn't flatten the labels of the others; a query's is zero.
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-TREES, CANDIDATES, BITS = 14, 65_536, 24
+TREES, CANDIDATES, BITS = 14, 65_536, 60
 #: Candidates over all trees for each distinct vector, at least: 9 % of the table in a tree.
 SHARE = 1.28
-#: Vectors of a shard that one task handles at once.
-SHARD = 32_768
+#: Part of the distinct vectors that is scored for a query, over all trees, at most.
+SCORED = 0.045
+#: Vectors of a shard that one task handles at once, and its queries.
+SHARD, ASKING = 32_768, 8_192
 
 
 def _valid(v: Column) -> Column:
@@ -44,6 +48,12 @@ def _planes(dim: int, trees: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, dim)).standard_normal((trees, BITS, dim + 1))
 
 
+def _strings(bits: np.ndarray, trees: int) -> np.ndarray:
+    """Signs of all directions, a vector a row -> its string in each tree, as an integer."""
+    packed = np.packbits(bits.reshape(len(bits), trees, BITS), axis=2)
+    return (packed.view(">u8")[:, :, 0] >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def _labeller(trees: int, seed: int, roofs: dict[int, float]):
     """Entries -> their label in each tree, as data (with the rest to their band's largest squared norm) and as query."""
 
@@ -56,12 +66,10 @@ def _labeller(trees: int, seed: int, roofs: dict[int, float]):
                 x = np.array(part.column(1).to_pylist(), float)
                 roof = np.array([roofs[b] for b in part.column(2).to_pylist()])
                 rest = np.sqrt(np.maximum(0, roof - (x * x).sum(1)))
-                planes = _planes(int(dim), trees, seed)
-                weights = 1 << np.arange(BITS - 1, -1, -1)
-                flat = np.einsum("nd,tbd->tnb", x, planes[:, :, :-1])
-                data = (flat + rest[None, :, None] * planes[:, None, :, -1] > 0) @ weights
-                query = (flat > 0) @ weights
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.repeat(int(dim), len(rows)), pa.int32()), pa.array(list(data.T.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(query.T.astype(np.int32)), pa.list_(pa.int32()))], names=["cid", "dim", "data", "query"])
+                planes = _planes(int(dim), trees, seed).reshape(trees * BITS, -1)
+                flat = x @ planes[:, :-1].T
+                strings = [_strings(flat + rest[:, None] * planes[None, :, -1] > 0, trees), _strings(flat > 0, trees)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.repeat(int(dim), len(rows)), pa.int32()), *(pa.array(list(s), pa.list_(pa.int64())) for s in strings)], names=["cid", "dim", "data", "query"])
 
     return run
 
@@ -69,7 +77,7 @@ def _labeller(trees: int, seed: int, roofs: dict[int, float]):
 def _ranges(labels: np.ndarray, asked: np.ndarray, depth: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """Where the entries that share ``depth`` leading bits lie in a sorted array."""
     low = asked >> (BITS - depth) << (BITS - depth)
-    return np.searchsorted(labels, low), np.searchsorted(labels, low + (1 << (BITS - np.asarray(depth))))
+    return np.searchsorted(labels, low), np.searchsorted(labels, low + (np.int64(1) << (BITS - np.asarray(depth, np.int64))))
 
 
 def _counter(root: int):
@@ -86,8 +94,9 @@ def _counter(root: int):
     return run
 
 
-def _searcher(best: int):
-    """Entries of a shard and its queries with their depth -> the best candidates of each."""
+def _searcher(best: int, scored: int):
+    """Entries of a shard and its queries with their depth -> the best candidates of each, of the ``scored`` whose strings
+    are nearest."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -98,25 +107,31 @@ def _searcher(best: int):
             x, q = flat(left)[order], flat(right)
             cids, least, qids = left["cid"].to_numpy(zero_copy_only=False)[order], left["least"].to_numpy()[order], right["cid"].to_pylist()
             low, high = _ranges(labels[order], right["label"].to_numpy(), right["depth"].to_numpy())
+            mine, more = labels[order], left["more"].to_numpy()[order]
+            asked, asked_more, whole = right["label"].to_numpy(), right["more"].to_numpy(), right["tree"].to_numpy() < 0
             for k, qid in enumerate(qids):
                 a, b = int(low[k]), int(high[k])
                 if a == b:
                     continue
-                scores = x[a:b] @ q[k]
-                top = np.arange(b - a)
-                if b - a > best:
-                    edge = np.partition(scores, b - a - best)[b - a - best]
+                near = np.arange(a, b)
+                if b - a > scored and not whole[k]:
+                    apart = np.bitwise_count(mine[a:b] ^ asked[k]) + np.bitwise_count(more[a:b] ^ asked_more[k])
+                    near = a + np.argpartition(apart, scored - 1)[:scored]
+                scores = x[near] @ q[k]
+                top = np.arange(len(near))
+                if len(near) > best:
+                    edge = np.partition(scores, len(near) - best)[len(near) - best]
                     top = np.flatnonzero(scores >= edge)
-                top = top[np.lexsort((least[a:b][top], -scores[top]))][:best]
+                top = top[np.lexsort((least[near][top], -scores[top]))][:best]
                 out[0] += [qid] * len(top)
-                out[1] += cids[a:b][top].tolist()
+                out[1] += cids[near][top].tolist()
                 out[2] += scores[top].tolist()
         return pa.Table.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["qid", "cid", "score"])
 
     return run
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, candidates: int = CANDIDATES, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, candidates: int = CANDIDATES, scored: float = SCORED, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query row's ``k`` nearest other rows."""
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), is_query.alias("asks"), F.col(vector).cast("array<double>").alias("v")).where(_valid(F.col("v")))
     rows = rows.withColumn("cid", F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "v"))))
@@ -133,19 +148,25 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     candidates = max(candidates, math.ceil(SHARE * n), trees * (k + 1))
     root = max(0, min(BITS - 1, int(math.log2(max(1, trees * n / candidates))) - 1))
 
-    labelled = entries.select("cid", "v", "band").mapInArrow(_labeller(trees, seed, roofs), "cid string, dim int, data array<int>, query array<int>")
-    labelled = labelled.select("cid", "dim", F.posexplode(F.arrays_zip("data", "query")).alias("tree", "l")).select("cid", "dim", "tree", F.col("l.data").alias("data"), F.col("l.query").alias("query"))
-    labels = materialize(labelled)
-    shard = lambda c: F.shiftright(c, BITS - root)
-    sizes = labels.groupBy("dim", "tree", shard("data").alias("shard")).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("cuts"))
-    # A query's task sees one cut of a shard and a part of its queries.
+    per_tree = max(8 * (k + 1), math.ceil(scored * n / trees))
+
+    labelled = entries.select("cid", "v", "band").mapInArrow(_labeller(trees, seed, roofs), "cid string, dim int, data array<long>, query array<long>")
+    after = lambda c: F.concat(F.slice(c, 2, trees), F.slice(c, 1, 1))
+    zipped = F.posexplode(F.arrays_zip("data", "query", after("data").alias("data2"), after("query").alias("query2"))).alias("tree", "l")
+    labels = materialize(labelled.select("cid", "dim", zipped).select("cid", "dim", "tree", "l.*"))
+    shard = lambda c: F.shiftright(c, BITS - root).cast("int")
+    where = ["dim", "tree", "shard"]
     asks = entries.where("asks").select("cid")
-    data = labels.select("cid", "dim", "tree", F.col("data").alias("label"), shard("data").alias("shard")).join(sizes, ["dim", "tree", "shard"])
-    data = data.withColumn("cut", F.pmod(F.xxhash64("cid"), "cuts").cast("int"))
-    query = labels.join(asks, "cid", "left_semi").select("cid", "dim", "tree", F.col("query").alias("label"), shard("query").alias("shard")).join(sizes, ["dim", "tree", "shard"])
-    query = query.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
-    at = ["dim", "tree", "shard", "cut"]
-    query, data = materialize(query), materialize(data.drop("cuts"))
+    data = labels.select("cid", "dim", "tree", F.col("data").alias("label"), F.col("data2").alias("more"), shard("data").alias("shard"))
+    query = labels.join(asks, "cid", "left_semi").select("cid", "dim", "tree", F.col("query").alias("label"), F.col("query2").alias("more"), shard("query").alias("shard"))
+    # A task sees one cut of a shard's entries and one part of its queries.
+    parts_of = lambda df, most, name: df.groupBy(*where).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = materialize(parts_of(data, SHARD, "cuts").join(parts_of(query, ASKING, "parts"), where))
+    each, one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)), lambda c: F.pmod(F.xxhash64("cid"), c).cast("int")
+    data = data.join(sizes, where).withColumn("cut", one("cuts")).withColumn("part", each("parts"))
+    query = query.join(sizes, where).withColumn("cut", each("cuts")).withColumn("part", one("parts"))
+    at = [*where, "cut", "part"]
+    query, data = materialize(query.drop("cuts", "parts")), materialize(data.drop("cuts", "parts"))
     depths = [f"d{d}" for d in range(root, BITS + 1)]
     counted = data.groupBy(*at).cogroup(query.groupBy(*at)).applyInArrow(_counter(root), "cid string, " + ", ".join(f"{d} long" for d in depths))
     summed = counted.groupBy("cid").agg(*[F.sum(d).alias(d) for d in depths])
@@ -165,11 +186,12 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
         every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
         mine = lambda count: F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")
         zero = F.lit(0).cast("int")
-        whole = entries.select("cid", F.size("v").alias("dim"), F.lit(-1).alias("tree"), zero.alias("label"), every(parts).alias("shard"), mine(blocks).alias("cut"), "v", "least")
-        rest = short.select("cid", "dim", F.lit(-1).alias("tree"), zero.alias("label"), mine(parts).alias("shard"), every(blocks).alias("cut"), zero.alias("depth"), "v")
+        none = F.lit(0).cast("long")
+        whole = entries.select("cid", F.size("v").alias("dim"), F.lit(-1).alias("tree"), none.alias("label"), none.alias("more"), every(parts).alias("shard"), mine(blocks).alias("cut"), zero.alias("part"), "v", "least")
+        rest = short.select("cid", "dim", F.lit(-1).alias("tree"), none.alias("label"), none.alias("more"), mine(parts).alias("shard"), every(blocks).alias("cut"), zero.alias("part"), zero.alias("depth"), "v")
         held = held.select(*whole.columns).unionByName(whole)
         asked = asked.select(*rest.columns).unionByName(rest)
-    found = held.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(_searcher(k + 1), "qid string, cid string, score double")
+    found = held.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(_searcher(k + 1, per_tree), "qid string, cid string, score double")
     found = found.groupBy("qid", "cid").agg(F.max("score").alias("score")).join(entries.select("cid", "ids", "least"), "cid")
     top = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "least"))).where(F.col("r") <= k + 1)
     one = top.select("qid", "score", F.explode("ids").alias("id"))
