@@ -6,7 +6,9 @@ learnt from labelled texts by expectation maximisation over the same segmentatio
 length, each distinct word once per Python worker.
 
 Training takes at most about ``max_docs`` labelled documents, chosen by a hash of their text: that bound is a documented
-parameter. Scoring reads every whole text; words longer than ``LONGEST`` characters are scored in parts of that length.
+parameter; repeated texts count once, and words over ``LONGEST`` characters are learnt from in parts. Scoring reads every
+whole text and sums over all segmentations of every word, however long: short words by batches of one length, the others,
+such as texts in scripts without spaces, one by one with sums that are scaled as they grow.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled rows every text is; repeated
 rows are scored alike; an empty table gives no rows; ties go to the language first in code point order.
@@ -28,8 +30,8 @@ from .common import drop_materialized, materialize
 from .tokens import public_path
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Characters of a word scored at once, with the mark of its start; characters of the longest piece used.
-LONGEST, PIECE = 32, 12
+#: Characters of the longest words that are scored by batches, with the mark of their start.
+LONGEST = 32
 MAX_DOCS, ROUNDS, SMOOTHING = 6000, 3, 0.05
 #: Probability of a character that no piece covers, in every language; a power that keeps products in range.
 UNKNOWN, LIFT = 1e-7, 40.0
@@ -38,8 +40,13 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: str) -> Counter:
-    """Counts of a text's lower-case words, long ones in parts."""
-    counts = Counter(text.lower().split())
+    """Counts of a text's lower-case words."""
+    return Counter(text.lower().split())
+
+
+def parts_of(text: str) -> Counter:
+    """The same with long words in parts."""
+    counts = words_of(text)
     for w in [w for w in counts if len(w) > LONGEST - 1]:
         n = counts.pop(w)
         for k in range(0, len(w), LONGEST - 1):
@@ -56,10 +63,11 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.size = len(pieces)
-        usable = {p: i for i, p in enumerate(pieces) if 0 < len(p) <= PIECE and not (p.startswith("<") and p.endswith(">"))}
+        usable = {p: i for i, p in enumerate(pieces) if p and not (p.startswith("<") and p.endswith(">")) and MARK not in p[1:]}
+        self.pieces, self.longest = usable, max(map(len, usable))
         self.factor = np.uint64(0x9E3779B97F4A7C15)
         with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.array([1, *[self.factor] * (LONGEST + 1)], np.uint64), dtype=np.uint64)
+            self.powers = np.cumprod(np.array([1, *[self.factor] * (max(LONGEST, self.longest) + 1)], np.uint64), dtype=np.uint64)
             hashes = np.array([self._prefix(self._codes([p]))[0, -1] for p in usable], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(list(usable.values()), np.int32)[order]
@@ -80,7 +88,7 @@ class Lattice:
         with np.errstate(over="ignore"):
             prefix = self._prefix(self._codes(words))
             for j in range(1, prefix.shape[1]):
-                for i in range(max(0, j - PIECE), j):
+                for i in range(max(0, j - self.longest), j):
                     h = prefix[:, j] - prefix[:, i] * self.powers[j - i]
                     at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                     yield i, j, np.where(self.hashes[at] == h, self.ids[at], self.size if j - i == 1 else -1)
@@ -96,10 +104,33 @@ class Lattice:
             kept.append((i, j, ids))
         return alpha, kept
 
+    def _long(self, word: str, probs: np.ndarray) -> np.ndarray:
+        """The log-likelihoods of one word with its mark. Only the last sums are held, and brought back to one as they go."""
+        sizes = range(1, self.longest + 1)
+        lifted = [LIFT**n for n in range(self.longest + 1)]
+        last = [np.ones(probs.shape[1])]
+        logs = np.zeros(probs.shape[1])
+        for j in range(1, len(word) + 1):
+            now = np.zeros(probs.shape[1])
+            for n in sizes:
+                if n > len(last):
+                    break
+                piece = self.pieces.get(word[j - n : j], self.size if n == 1 else None)
+                if piece is not None:
+                    now = now + last[-n] * (probs[piece] * lifted[n])
+            last.append(now)
+            if j % 16 == 0:
+                last = [x / now for x in last[-self.longest :]]
+                logs += np.log(now)
+        return logs + np.log(last[-1]) - len(word) * np.log(LIFT)
+
     def log_likelihood(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """(words, languages); words may differ in length."""
         out = np.zeros((len(words), probs.shape[1]))
         for n, some in _by_length(words).items():
+            if n >= LONGEST:
+                out[some] = [self._long(MARK + words[i], probs) for i in some]
+                continue
             for k in range(0, len(some), 8192):
                 part = some[k : k + 8192]
                 alpha, _ = self.forward([MARK + words[i] for i in part], probs)
@@ -149,7 +180,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             by: dict[str, Counter] = {}
             for lang, text in zip(*(batch.column(c).slice(at, 500).to_pylist() for c in (0, 1)), strict=True):
-                by.setdefault(lang, Counter()).update(words_of(text or ""))
+                by.setdefault(lang, Counter()).update(parts_of(text or ""))
             rows = [(lang, w, n) for lang, c in by.items() for w, n in c.items()]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "word", "n"])
@@ -177,6 +208,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int
     n = known.count()
     if n > max_docs:
         known = known.where(F.pmod(F.xxhash64(F.lit(13), F.col(text)), F.lit(n)) < max_docs)
+    known = known.select(lang, text).distinct()
     counts = materialize(known.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     lat = lattice(path)
@@ -200,14 +232,17 @@ class Scorer:
     def __init__(self, lat: Lattice, probs: np.ndarray, most: int = 500_000):
         self.lat, self.probs, self.most = lat, _padded(probs), most
         self.place: dict[str, int] = {}
+        self.characters = 0
         self.rows = np.zeros((1024, probs.shape[1]))
 
     def learn(self, texts: list[Counter]) -> None:
-        if len(self.place) > self.most:
+        if len(self.place) > self.most or self.characters > 64 * self.most:
             self.place.clear()
+            self.characters = 0
         fresh = list({w for c in texts for w in c if w not in self.place})
         if not fresh:
             return
+        self.characters += sum(map(len, fresh))
         start = len(self.place)
         if start + len(fresh) > len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros((start + len(fresh), self.rows.shape[1]))])

@@ -31,9 +31,18 @@ def test_forward_sums_all_segmentations():
             p = np.ones(2)
             for a, b in zip(at, at[1:], strict=False):
                 piece = s[a:b]
-                p = p * (probs[ids[piece]] if piece in ids and b - a <= langid.PIECE else probs[-1] if b - a == 1 else 0)
+                p = p * (probs[ids[piece]] if piece in ids else probs[-1] if b - a == 1 else 0)
             total += p
         assert np.allclose(lat.log_likelihood([w], langid._padded(probs))[0], np.log(total))
+    long = "internationalization" * 9 + "x" * 40
+    table = langid._padded(probs)
+    whole = lat._long(langid.MARK + long, table)
+    alpha = [np.ones(2)]
+    s = langid.MARK + long
+    for j in range(1, len(s) + 1):
+        alpha.append(sum(alpha[i] * (probs[ids[s[i:j]]] if s[i:j] in ids else probs[-1] if j - i == 1 else 0) * 10.0 ** (j - i) for i in range(max(0, j - 40), j)))
+    assert np.allclose(whole, np.log(alpha[-1]) - len(s) * np.log(10.0)) and np.allclose(lat.log_likelihood([long], table)[0], whole)
+    assert np.allclose(lat._long(langid.MARK + "hello", table), lat.log_likelihood(["hello"], table)[0])
     expected = lat.expected(["the", "the"], np.array([2.0, 3.0]), langid._padded(probs[:, :1]))
     assert abs(sum(expected[i] * len(p) for p, i in ids.items()) - 5 * 4) < 1e-6
 
