@@ -5,8 +5,9 @@ The threshold comes from sums by (source, hash bucket): the bucket where the run
 by the next bits of the hash, and only that one. Nothing is sorted but the histograms.
 
 Defined cases: a null text has size 0 (taken 0); null is a source of its own, weighed last; rows with equal hashes
-(repeated ids) are taken alike; a document of size 0 is never taken; an empty table gives no rows; columns of the
-input whose names clash with those added stay as they are in ``mix_documents``.
+(repeated ids) are taken alike within their source; rows without an id are told apart by their text; a document of size 0
+is never taken; an empty table gives no rows; columns of the input whose names clash with those added stay as they are
+in ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, words
+from .common import fresh, materialize, words
 
 #: Bits of a document's hash, and of a histogram level.
 HASH_BITS, LEVEL_BITS = 52, 13
-#: Parts into which the rows of a source are dealt when they meet its limit.
-SALTS = 64
+#: Parts into which the rows of a source are dealt when they meet its limit, and sources whose limits are broadcast at most.
+SALTS, FEW_SOURCES = 64, 100_000
 
 
-def doc_hash(key: Column) -> Column:
-    """The first 52 bits of MD5, which other SQL engines compute alike."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def doc_hash(key: Column, text: Column) -> Column:
+    """The first 52 bits of MD5 of the id, or of the text if there is none; other SQL engines compute it alike."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), text, F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -57,9 +58,15 @@ def _boundary(rows: DataFrame, bucket: Column, budgets: DataFrame) -> DataFrame:
     return joined.groupBy("s", "budget").agg(F.min(F.struct("bucket", "upto", "n")).alias("b")).select("s", F.col("b.bucket").alias("bucket"), (F.col("budget") - F.col("b.upto") + F.col("b.n")).alias("budget"))
 
 
-def mix_plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per document: key, size, source_size, target, taken (size times the number of copies that the mix holds)."""
-    base = materialize(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), doc_hash(F.col(key)).alias("hash")))
+def _rows(docs: DataFrame, key: str, source: str, text: str, names: list[str]) -> DataFrame:
+    """``docs`` with source, size and hash under these names."""
+    t = F.col(text).cast("string")
+    return docs.withColumns(dict(zip(names, (F.col(source), F.size(words(t)).cast("long"), doc_hash(F.col(key), t)), strict=True)))
+
+
+def mix_limits(base: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Rows (source, size, hash) -> per source t_source, source_size, target, whole (copies of every document) and below (the
+    hash under which a document is taken once more)."""
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = materialize(targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
 
@@ -73,27 +80,49 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     # The documents with the boundary hash go in if the sum then lies nearer to the budget than without them.
     at = last.join(base, base["source"].eqNullSafe(last["s"]) & (base["hash"] == last["at"])).groupBy("s", "at", "budget").agg(F.sum("size").alias("n"))
     limits = at.select("s", F.when(F.col("n") - F.col("budget") < F.col("budget"), F.col("at") + 1).otherwise(F.col("at")).alias("below"))
-    limits = targets.join(limits, targets["source"].eqNullSafe(limits["s"]), "left").select(F.col("source").alias("t_source"), "source_size", "target", "whole", F.coalesce("below", F.when(F.col("budget") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))).alias("below"))
-    # A source may hold a large part of all rows: its limit is copied to SALTS places, and its rows dealt among them.
-    limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    mixed = base.join(limits, base["source"].eqNullSafe(limits["t_source"]) & (F.pmod(base["hash"], F.lit(SALTS)) == limits["salt"]))
+    return targets.join(limits, targets["source"].eqNullSafe(limits["s"]), "left").select(F.col("source").alias("t_source"), "source_size", "target", "whole", F.coalesce("below", F.when(F.col("budget") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))).alias("below"))
+
+
+def _limited(rows: DataFrame, source: str, hash_: str, limits: DataFrame) -> DataFrame:
+    """``rows`` beside their source's limits (the first column of ``limits`` is the source). Few limits are broadcast; else, as a source may hold a large part of all rows,
+    its limit is copied to ``SALTS`` places, and its rows dealt among them."""
+    limits = materialize(limits)
+    mine = limits.columns[0]
+    if limits.count() <= FEW_SOURCES:
+        return rows.join(F.broadcast(limits), rows[source].eqNullSafe(limits[mine]))
+    [salt] = fresh(rows, "sv_salt")
+    salted = limits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, rows[source].eqNullSafe(salted[mine]) & (F.pmod(rows[hash_], F.lit(SALTS)) == salted[salt]))
+
+
+def mix_plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """One row per document: key, size, source_size, target, taken (size times the number of copies that the mix holds).
+    ``options`` are those of ``mix_limits``."""
+    plain = docs.select(F.col(key).alias("key"), F.col(source).alias("sv_source"), F.col(text).alias("sv_text"))
+    base = materialize(_rows(plain, "key", "sv_source", "sv_text", ["source", "size", "hash"]).select("key", "source", "size", "hash"))
+    mixed = _limited(base, "source", "hash", mix_limits(base, **options))
     copies = F.col("whole") + (F.col("hash") < F.col("below")).cast("long")
-    return mixed.select("key", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "hash")
+    return mixed.select("key", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as the plan takes it, with the columns of ``docs``. Rows of one key get
-    the copies of that key."""
-    key = options.get("key", "doc_id")
-    plan = mix_plan(docs, **options).where("taken > 0").groupBy("key").agg(F.max("copies").cast("int").alias("copies")).select(F.col("key").alias("sv_key"), F.col("copies").alias("sv_copies"))
-    joined = docs.join(plan, docs[key].eqNullSafe(plan["sv_key"]))
-    return joined.withColumn("sv_copy", F.explode(F.sequence(F.lit(1), "sv_copies"))).select(*[docs[c] for c in docs.columns])
+def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mixed corpus: every row as often as the plan takes it, with the columns of ``docs``. The texts stay where they
+    are: only sizes and hashes are summed."""
+    names = fresh(docs, "sv_source", "sv_size", "sv_hash")
+    rows = _rows(docs, key, source, text, names)
+    base = materialize(rows.select(*[F.col(n).alias(c) for n, c in zip(names, ("source", "size", "hash"), strict=True)]))
+    added = [*fresh(rows, "sv_l_source", "sv_l_size", "sv_l_target", "sv_l_whole", "sv_l_below"), *fresh(rows, "sv_copies")]
+    limits = mix_limits(base, **options).toDF(*added[:5])
+    joined = _limited(rows, names[0], names[2], limits)
+    copies = F.when(F.col(names[1]) > 0, F.col(added[3]) + (F.col(names[2]) < F.col(added[4])).cast("long")).otherwise(0)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), copies))
+    return joined.where(copies > 0).select(*[F.col(c) for c in docs.columns], each.alias(added[5])).drop(added[5])
 
 
 ORACLE_OP4 = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 13))::BIGINT AS h
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 w AS (
