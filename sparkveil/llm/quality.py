@@ -1,7 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection, without user functions.
 
 Defined cases: a null or blank text has no words, so it fails the base rule; repeated rows are judged alike; an empty
-table gives no rows; extra columns stay. Two three-word windows count as equal if their chained 64-bit hashes are.
+table gives no rows; extra columns stay, but ``q``, ``base_failed`` and ``kept`` are added and replace columns of these
+names. Two three-word windows count as equal if their chained 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let, words
+from .common import WS, fresh, let, words
 
 #: Frequent function words of the languages that the rules serve; a parameter of ``quality_stats``.
 STOP_WORDS = (
@@ -66,8 +67,9 @@ def _repeat_words(hashes: Column) -> Column:
 def quality_stats(docs: DataFrame, text: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """``docs`` with a struct column ``q`` of counts. Three projections, no shuffle, no Python."""
     t = F.coalesce(F.col(text), F.lit(""))
-    parts = docs.withColumn("sv_w", words(F.col(text))).withColumn("sv_l", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WS)) != ""))
-    w, lines = F.col("sv_w"), F.col("sv_l")
+    nw, nl, nq, nh = fresh(docs, "sv_w", "sv_l", "sv_q", "sv_h")
+    parts = docs.withColumn(nw, words(F.col(text))).withColumn(nl, F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WS)) != ""))
+    w, lines = F.col(nw), F.col(nl)
     hashes = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[w[i + k] for k in range(1, WINDOW)]))
     q = {
         "n_words": F.size(w),
@@ -80,8 +82,8 @@ def quality_stats(docs: DataFrame, text: str = "text", stop_words: list[str] = S
         "n_bullet_lines": F.size(F.filter(lines, lambda x: F.ltrim(x).startswith("- ") | F.ltrim(x).startswith("* ") | F.ltrim(x).startswith("•"))),
         "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))),
     }
-    counted = parts.withColumn("sv_q", F.struct(*[v.cast("long").alias(k) for k, v in q.items()])).withColumn("sv_h", hashes)
-    return counted.withColumn("q", F.col("sv_q").withField("n_repeat_words", _repeat_words(F.col("sv_h")))).drop("sv_w", "sv_l", "sv_q", "sv_h")
+    counted = parts.withColumn(nq, F.struct(*[v.cast("long").alias(k) for k, v in q.items()])).withColumn(nh, hashes)
+    return counted.withColumn("q", F.col(nq).withField("n_repeat_words", _repeat_words(F.col(nh)))).drop(nw, nl, nq, nh)
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -39,7 +39,28 @@ def test_targets_and_taken(spark):
     assert sorted((r.key, r.taken) for r in got) == sorted((r.key, r.taken) for r in again)
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns
-    assert mixed.count() == sum(r.copies for r in got if r.taken)
+    assert mixed.count() == sum(r.taken // r.size for r in got if r.taken)
+
+
+def test_rows_without_or_with_equal_ids_are_decided_one_by_one(spark, monkeypatch):
+    rows = [(None, f"text {i} " * (i % 9 + 1), "a" if i % 3 else "b") for i in range(600)] + [(7, f"text {i}", "a" if i % 3 else "b") for i in range(40)]
+    names = "sv_source sv_size sv_hash sv_copies sv_copy sv_l_source t_source below"
+    docs = spark.createDataFrame([(*r, *range(8)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names.split()))
+    outs = []
+    for few in (100, 0):  # limits broadcast, or salted and joined
+        monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+        mixed = mixing.mix_documents(docs)
+        assert mixed.columns == docs.columns
+        outs.append(sorted(tuple(r) for r in mixed.collect() if r.doc_id is None) + sorted(tuple(r) for r in mixed.collect() if r.doc_id is not None))
+    assert outs[0] == outs[1]
+    words = {}
+    for r in mixed.collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    for s, target in fill(size).items():
+        assert abs(words[s] - target) <= 60, s
 
 
 def test_mix_of_nothing(spark):
@@ -69,6 +90,16 @@ def test_counts_match_a_plain_version(spark):
         assert r.base_failed == (q.n_words < 50 or 2 * q.n_repeat_words > q.n_words)
         assert not (r.base_failed and r.kept)
     assert quality.judge(docs.limit(0)).count() == 0
+    clash = quality.judge(docs.selectExpr("*", "1 as sv_w", "2 as sv_l", "3 as sv_q", "4 as sv_h", "5 as kept"))
+    assert clash.columns == ["doc_id", "text", "sv_w", "sv_l", "sv_q", "sv_h", "kept", "q", "base_failed"] and clash.where("sv_w = 1 and sv_h = 4 and not kept").count() == len(texts) + 1
+
+
+def test_very_long_texts(spark):
+    long = "the river and a hill of " * 40_000
+    row = quality.judge(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert row.q.n_words == 240_000 and row.base_failed
+    got = mixing.mix_plan(spark.createDataFrame([(1, long, "a"), (2, "short", "a")], "doc_id long, text string, source string")).collect()
+    assert {r.key: r.size for r in got} == {1: 240_000, 2: 1}
 
 
 def test_rules_keep_prose_and_drop_junk(spark):
