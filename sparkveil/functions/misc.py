@@ -34,3 +34,13 @@ def compact_number(n: Column) -> Column:
 
 def signed_percent(pct: Column) -> Column:
     return F.concat(F.when(pct > 0, "+").otherwise(""), F.floor(pct + 0.5).cast("string"), F.lit(" %"))
+
+
+def base32(data: Column) -> Column:
+    """Bytes as base32 without padding: five bytes at a time are ten hexadecimal digits, and eight of base 32."""
+    digits = F.hex(data)
+    whole = F.rpad(digits, (F.ceil(F.length(digits) / 10) * 10).cast("int"), F.lit("0"))
+    places = F.when(F.length(whole) > 0, F.sequence(F.lit(1), F.length(whole), F.lit(10))).otherwise(F.array().cast("array<int>"))
+    eight = lambda i: F.lpad(F.conv(F.substring(whole, i, F.lit(10)), 16, 32), 8, "0")
+    text = F.translate(F.array_join(F.transform(places, eight), ""), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    return F.left(text, F.ceil(F.length(digits) * 4 / 5).cast("int"))

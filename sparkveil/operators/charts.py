@@ -220,3 +220,14 @@ def compare_categories(df: DataFrame, column: str, a: str, b: str, date: str, me
 
 def is_id_header(header: str) -> bool:
     return re.search(ID_HEADER.replace("(?iu)", "(?i)"), header) is not None
+
+
+def describe_rows(summary: DataFrame, df: DataFrame, row: str, category: str | None = None, date: str | None = None) -> DataFrame:
+    """``numeric_summary`` with the category and date of the rows that hold the largest and the smallest value."""
+    none = F.lit(None).cast("string")
+    facts = df.select(F.col(row).alias("sv_row"), (F.trim(_cell(df, category)) if category else none).alias("c"), (date_of(df, date).cast("string") if date else none).alias("d"))
+    out = summary
+    for side in ("max", "min"):
+        own = facts.select(F.col("sv_row").alias(f"{side}_row"), F.col("c").alias(f"{side}_category"), F.col("d").alias(f"{side}_date"))
+        out = own.join(F.broadcast(out), f"{side}_row", "right")  # the summary is one row
+    return out

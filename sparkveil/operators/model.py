@@ -238,3 +238,39 @@ def sample_votes(sampled: DataFrame) -> DataFrame:
     totals = sampled.groupBy("column").agg(F.count("*").alias("total"))
     best = votes.groupBy("column").agg(F.max_by(F.struct("type", "votes"), F.struct("votes", "type")).alias("b")).join(totals, "column")
     return best.select("column", F.col("b.type").alias("type"), (F.col("b.votes") / F.col("total")).alias("ratio")).where(F.col("ratio") >= COLUMN_RATIO)
+
+
+def apply_verdicts(findings: list, plan: dict[str, str], votes: DataFrame, combined: DataFrame, filled: dict[str, int]) -> list:
+    """``findings`` after the model has read what ``plan_columns`` chose.
+
+    ``votes`` (column, type, ratio) come from ``sample_votes``: a column whose type was in doubt takes the model's, one
+    that was taken for nothing becomes a typed column of all its ``filled`` cells. ``combined`` (column, row, spans) are
+    the cells of text columns in which the model found something, with the rules' spans merged in: such a column is free
+    text with these counts. What reaches the driver is a row per column and type.
+    """
+    from dataclasses import replace
+
+    from ..functions.text import mask
+    from ..types import PSEUDONYMIZE, TABLE_ACTIONS
+
+    voted = {r["column"]: (r["type"], r["ratio"]) for r in votes.collect()}
+    spans = combined.select("column", "row", F.explode("spans").alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("row", F.col("s.start").alias("start"), mask(F.col("s.value")).alias("m"))))
+    near = spans.groupBy("column").agg(F.min("row").alias("at")).join(spans, "column").where(F.col("row") <= F.col("at") + 100)  # not every span of a column
+    firsts = near.groupBy("column").agg(F.transform(F.slice(ordered, 1, 3), lambda x: x["m"]).alias("examples"))
+    examples = {r["column"]: tuple(r["examples"]) for r in firsts.collect()}
+    counts: dict[str, dict[str, int]] = {}
+    for r in spans.groupBy("column", "s.type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").collect():
+        counts.setdefault(r["column"], {})[r["type"]] = r["n"]
+    out = []
+    for f in findings:
+        mode, column = plan.get(f.header), f.header
+        if mode == "texto" and column in counts:
+            own = counts[column]
+            f = replace(f, kind="texto", type=None, confidence="media", count=sum(own.values()), text_counts=own, examples=examples[column], action=PSEUDONYMIZE, reason="model_in_text")
+        elif mode == "muestra" and column in voted:
+            kind, ratio = voted[column]
+            count = f.count if f.kind == "columna" else filled.get(column, 0)
+            f = replace(f, kind="columna", type=kind, confidence="media", ratio=ratio, count=count, action=TABLE_ACTIONS[kind], reason="model_confirms" if f.kind == "columna" else "model")
+        out.append(f)
+    return out

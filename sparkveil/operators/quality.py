@@ -92,3 +92,11 @@ def upper_median(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     near = rows.join(low, by).groupBy(*by, "n", "largest", "low").agg(F.count_if(v <= F.col("low")).alias("le"), F.min(F.when(v > F.col("low"), v)).alias("next"))
     further = (F.col("n") % 2 == 0) & (F.col("le") * 2 == F.col("n"))
     return near.select(*by, F.when(further, F.col("next")).otherwise(F.col("low")).alias("median"), "largest")
+
+
+def training_statistics(cases: DataFrame, text: str = "text", gold: str = "gold") -> DataFrame:
+    """One row of a training set: cases, those without a span, mean words, and spans by type as a map."""
+    words = F.size(F.regexp_extract_all(F.col(text), F.lit(r"\\S+"), F.lit(0)))
+    base = cases.agg(F.count("*").alias("n_cases"), F.count_if(F.size(gold) == 0).alias("n_negative"), F.avg(words).alias("mean_words"))
+    kinds = cases.select(F.explode(gold).alias("s")).groupBy("s.type").agg(F.count("*").alias("n"))
+    return base.crossJoin(F.broadcast(kinds.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("by_type"))))  # one row

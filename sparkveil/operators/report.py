@@ -8,9 +8,10 @@ dimension tables are small and Spark broadcasts them by size.
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
@@ -200,3 +201,61 @@ def nested_report(events: DataFrame, det: DataFrame, areas: DataFrame, incidents
         out = one if out is None else out.crossJoin(one)
     body = F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), F.col(n)) for n in parts])
     return out.select(F.concat(F.lit("{"), body, F.lit(f',"min_group":{k}}}')).alias("report"))
+
+
+def employees(users: DataFrame, areas: DataFrame, org: object, role: str = "empleado") -> DataFrame:
+    """The employees of an organisation with their area, if any; active ones first, then by name."""
+    named = areas.select(F.col("id").alias("area_id"), F.col("name").alias("area"))
+    own = users.where((F.col("org_id") == org) & (F.col("role") == role))
+    return own.join(named, "area_id", "left").select("id", "name", "area", "active").orderBy(F.desc("active"), "name", "id")
+
+
+def whoami(users: DataFrame, orgs: DataFrame, areas: DataFrame, user: object | None = None) -> DataFrame:
+    """A user (or every user) with organisation and area; users without an organisation don't appear."""
+    some = users if user is None else users.where(F.col("id") == user)
+    named = some.join(orgs.select(F.col("id").alias("org_id"), F.col("name").alias("org")), "org_id")
+    return named.join(areas.select(F.col("id").alias("area_id"), F.col("name").alias("area")), "area_id", "left").select("id", "name", "org", "area")
+
+
+def partial_months(by_month: DataFrame, first: date, last: date, month: str = "month") -> DataFrame:
+    """``by_month`` (months as yyyy-MM) with ``partial``: the period begins after the month's first day or ends before its last."""
+    start = F.to_date(F.concat(month, F.lit("-01")))
+    lo, hi = F.lit(first), F.lit(last)
+    return by_month.withColumn("partial", ((F.trunc(lo, "month") == start) & (lo > start)) | ((F.trunc(hi, "month") == start) & (hi < F.last_day(start))))
+
+
+class NotAllowed(PermissionError):
+    """``code`` is that of SQL: 28000 for an unknown user, 42501 for one without the right."""
+
+    def __init__(self, code: str, text: str):
+        super().__init__(text)
+        self.code = code
+
+
+def require(users: DataFrame, user: object, roles: tuple[str, ...] = (), verified: bool = True) -> dict:
+    """The active user of that id, for a report to be built for; raises ``NotAllowed`` before any plan is made."""
+    found = users.where((F.col("id") == user) & F.col("active")).limit(1).collect()
+    if not found:
+        raise NotAllowed("28000", "no active user")
+    if roles and found[0]["role"] not in roles:
+        raise NotAllowed("42501", f"only for {', '.join(roles)}")
+    if roles and not verified:
+        raise NotAllowed("42501", "a second factor is asked for")
+    return found[0].asDict()
+
+
+def audit(spark: SparkSession, path: str, user: object, action: str, detail: dict | None = None) -> None:
+    """Appends one row (user_id, action, detail as JSON, ts) to the log of reads and changes."""
+    row = spark.range(1).select(F.lit(user).alias("user_id"), F.lit(action).alias("action"), F.lit(json.dumps(detail or {}, ensure_ascii=False)).alias("detail"), F.current_timestamp().alias("ts"))
+    row.write.mode("append").parquet(path)
+
+
+def detections_of(events: DataFrame, column: str = "detections", event: str = "event_id") -> DataFrame:
+    """Events with their detections as a JSON array -> (event_id, type, action, amount); no array, no rows."""
+    kind = "array<struct<type:string,action:string,amount:bigint>>"
+    return events.select(F.col(event).alias("event_id"), F.inline(F.from_json(F.col(column), kind)))
+
+
+def same_values(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two one-column tables hold the same values, each as often."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

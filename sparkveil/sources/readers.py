@@ -249,3 +249,18 @@ def read_equivalences(spark: SparkSession, path: str) -> DataFrame:
     group = F.col(f"`{low['grupo']}`") if "grupo" in low else F.lit(None).cast("string")
     out = df.select(F.trim(f"`{low['seudonimo']}`").alias("pseudonym"), F.col(f"`{original}`").alias("original"), group.alias("grp"))
     return out.where((F.coalesce("pseudonym", F.lit("")) != "") & (F.coalesce("original", F.lit("")) != ""))
+
+
+def read_envelope(spark: SparkSession, path: str, password: str, schema: str = "seudonimo string, original string, grupo string") -> DataFrame:
+    """The rows of an encrypted JSON envelope (kdf.iteraciones, kdf.sal, cifrado.iv, datos; bytes in base64): one AES-256-GCM
+    message under a key of PBKDF2-SHA256. A wrong password or a changed file raises an error when the rows are read."""
+    from .writers import _key
+
+    kinds = "version int, kdf struct<iteraciones:int,sal:string>, cifrado struct<iv:string>, datos string"
+    file = spark.read.text(path, wholetext=True).select(F.from_json("value", kinds).alias("f")).select("f.*")
+    head = file.select("kdf.iteraciones", F.unbase64("kdf.sal").alias("salt")).first()
+    if head is None or head["salt"] is None:
+        raise ValueError(f"no encrypted envelope in {path}")
+    key = F.lit(_key(password, bytes(head["salt"]), head["iteraciones"]))
+    plain = F.aes_decrypt(F.concat(F.unbase64("cifrado.iv"), F.unbase64("datos")), key, F.lit("GCM")).cast("string")
+    return file.select(F.inline(F.from_json(plain, "array<struct<" + ",".join(":".join(c.split()) for c in schema.split(", ")) + ">>")))

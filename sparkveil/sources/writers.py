@@ -95,3 +95,37 @@ def decrypt_rows(encrypted: DataFrame, password: str, schema: str) -> DataFrame:
     key: Column = F.lit(_key(password, bytes.fromhex(head["salt"]), head["iterations"]))
     plain = F.aes_decrypt(F.unbase64("data"), key, F.lit("GCM")).cast("string")
     return encrypted.select(F.from_json(plain, schema).alias("x")).select("x.*")
+
+
+#: Rows of an envelope, at most: it is one message, made by one task.
+ENVELOPE_ROWS = 100_000
+
+
+def write_envelope(table: DataFrame, path: str, password: str, format_name: str, iterations: int = ITERATIONS) -> None:
+    """A small table (seudonimo, original, grupo) as one encrypted JSON envelope, which ``read_envelope`` reads; larger ones
+    go by ``encrypt_rows``."""
+    if table.limit(ENVELOPE_ROWS + 1).count() > ENVELOPE_ROWS:
+        raise ValueError(f"over {ENVELOPE_ROWS} rows: use encrypt_rows")
+    salt, iv = os.urandom(16), os.urandom(12)
+    rows = table.agg(F.to_json(F.collect_list(F.struct("*")), {"ignoreNullFields": "false"}).alias("rows"))
+    sealed = F.aes_encrypt("rows", F.lit(_key(password, salt, iterations)), F.lit("GCM"), F.lit("DEFAULT"), F.lit(iv))
+    text = lambda x: F.lit(x)
+    b64 = lambda x: F.base64(F.lit(x))
+    kdf = F.struct(text("PBKDF2").alias("nombre"), text("SHA-256").alias("hash"), F.lit(iterations).alias("iteraciones"), b64(salt).alias("sal"))
+    cipher = F.struct(text("AES-GCM").alias("nombre"), b64(iv).alias("iv"))
+    data = F.base64(F.substring(sealed, 13, 1 << 30))  # behind the nonce
+    file = F.struct(text(format_name).alias("formato"), F.lit(1).alias("version"), kdf.alias("kdf"), cipher.alias("cifrado"), data.alias("datos"))
+    rows.select(F.regexp_replace(F.to_json(file), r"\\\\[rn]+", "").alias("value")).coalesce(1).write.text(path)
+
+
+def training_examples(cases: DataFrame, labels: list[str], text: str = "text", gold: str = "gold") -> DataFrame:
+    """Annotated cases as JSON rows for training an entity model: tokenized_text, ner (first word, last word, label),
+    ner_labels. Words are runs of letters and digits, or single other characters; a span covers the words it touches."""
+    word = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
+    from ..operators.spans import clean, matches
+
+    found = cases.withColumn("sv_words", matches(clean(F.col(text)), word))
+    touched = lambda s: F.filter(F.transform("sv_words", lambda w, i: F.when((w["at"] < s["end"]) & (s["start"] < w["at"] + F.length(w["m"])), i)), lambda i: i.isNotNull())
+    ner = F.transform(F.filter(gold, lambda s: F.size(touched(s)) > 0), lambda s: F.struct(F.array_min(touched(s)).alias("first"), F.array_max(touched(s)).alias("last"), s["type"].alias("label")))
+    out = F.struct(F.transform("sv_words", lambda w: w["m"]).alias("tokenized_text"), ner.alias("ner"), F.array(*map(F.lit, labels)).alias("ner_labels"))
+    return found.select(F.to_json(out).alias("value"))
