@@ -250,7 +250,7 @@ def audit(spark: SparkSession, path: str, user: object, action: str, detail: dic
     row.write.mode("append").parquet(path)
 
 
-def detections_of(events: DataFrame, column: str = "detections", event: str = "event_id") -> DataFrame:
+def parse_detections(events: DataFrame, column: str = "detections", event: str = "event_id") -> DataFrame:
     """Events with their detections as a JSON array -> (event_id, type, action, amount); no array, no rows."""
     kind = "array<struct<type:string,action:string,amount:bigint>>"
     return events.select(F.col(event).alias("event_id"), F.inline(F.from_json(F.col(column), kind)))

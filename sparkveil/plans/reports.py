@@ -240,3 +240,32 @@ FROM (SELECT DISTINCT e.user_id, d.type FROM det_ d JOIN events_ e ON e.id = d.e
 def ordered_distinct_types(spark: SparkSession, sf: str) -> DataFrame:
     rows = detections(spark, sf).join(events(spark, sf).select(F.col("id").alias("event_id"), "user_id"), "event_id")
     return rows.groupBy("user_id").agg(F.array_join(R.ordered_types(("EMAIL", "TELEFONO", "DNI", "TARJETA")), ",").alias("types"))
+
+
+SEED_SQL = """SELECT a.code, n.i AS number, a.code || '-' || lpad(CAST(n.i AS STRING), 3, '0') AS login, r.r_name AS region
+FROM (VALUES (0, 'VEN', 7), (1, 'RRHH', 5), (2, 'FIN', 5), (3, 'MKT', 3), (4, 'SIS', 2)) AS a(idx, code, people)
+JOIN region r ON r.r_regionkey = a.idx, LATERAL (SELECT explode(sequence(1, a.people)) AS i) AS n"""
+
+
+@register(REPORTS, """
+SELECT a.code, n.i::INTEGER AS number, a.code || '-' || lpad(n.i::VARCHAR, 3, '0') AS login, r.r_name AS region
+FROM (VALUES (0, 'VEN', 7), (1, 'RRHH', 5), (2, 'FIN', 5), (3, 'MKT', 3), (4, 'SIS', 2)) AS a(idx, code, people)
+JOIN region r ON r.r_regionkey = a.idx, LATERAL (SELECT unnest(range(1, a.people + 1)) AS i) AS n""")
+def seed_people(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts of each area from a list of values, a series and a lateral join."""
+    return spark.sql(SEED_SQL.replace("JOIN region r", "JOIN {region} r"), region=table(spark, sf, "region"))
+
+
+@register(REPORTS, """
+SELECT o_orderkey AS event_id, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [] ELSE ['DNI', 'EMAIL'] END) AS type, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [] ELSE ['eliminar', 'mantener'] END) AS action,
+  unnest(CASE WHEN o_orderkey % 3 = 0 THEN [] ELSE [o_custkey, o_orderkey % 9] END)::BIGINT AS amount FROM orders""")
+def json_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """Detections that arrive as a JSON array beside their event."""
+    o = table(spark, sf, "orders")
+    text = F.format_string('[{"type": "DNI", "action": "eliminar", "amount": %d}, {"type": "EMAIL", "action": "mantener", "amount": %d}]', "o_custkey", F.col("o_orderkey") % 9)
+    return R.parse_detections(o.select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("[]")).otherwise(text).alias("detections")))
+
+
+@register(REPORTS, BASE_SQL.replace("@LAST", str(LAST)) + """SELECT u.id, u.name, a.name AS area, u.active FROM users u LEFT JOIN areas a ON a.id = u.area_id WHERE u.org_id = 1""")
+def employee_list(spark: SparkSession, sf: str) -> DataFrame:
+    return R.employees(users(spark, sf).withColumn("role", F.lit("empleado")), areas(spark, sf), 1)

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-
 def _fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).lower()
 
@@ -25,7 +25,18 @@ class Registry:
     """One conversation's numbering; ``rows`` is all its state: [prefix, key, pseudonym, words]."""
 
     def __init__(self, rows: list | None = None):
-        self.rows = rows or []
+        self.rows, self.by_key, self.by_word, self.sizes = [], {}, {}, {}
+        for r in rows or []:
+            self._add(r)
+
+    def _add(self, row: list) -> None:
+        prefix, key, pseudonym, words = row
+        self.rows.append(row)
+        self.by_key.setdefault((prefix, key), pseudonym)
+        self.sizes[prefix] = self.sizes.get(prefix, 0) + 1
+        if len(words) > 1:
+            for w in set(words):
+                self.by_word.setdefault((prefix, w), []).append(pseudonym)
 
     @staticmethod
     def key(kind: str, raw: str) -> str:
@@ -38,15 +49,14 @@ class Registry:
 
     def name(self, prefix: str, kind: str, raw: str) -> str:
         key = self.key(kind, raw)
-        own = [r for r in self.rows if r[0] == prefix]
-        found = next((r[2] for r in own if r[1] == key), None)
+        found = self.by_key.get((prefix, key))
         words = re.findall(r"[^\W\d_]+", _fold(raw)) if kind == "NOMBRE_PERSONA" else []
         if found is None and len(words) == 1 and len(words[0]) >= 4:
-            full = [r[2] for r in own if len(r[3]) > 1 and words[0] in r[3]]
+            full = self.by_word.get((prefix, words[0]), [])
             found = full[0] if len(full) == 1 else None
         if found is None:
-            found = f"{prefix}_{len(own) + 1:02d}"
-            self.rows.append([prefix, key, found, words])
+            found = f"{prefix}_{self.sizes.get(prefix, 0) + 1:02d}"
+            self._add([prefix, key, found, words])
         return found
 
 
@@ -133,3 +143,54 @@ def replay_guard(steps: DataFrame) -> DataFrame:
 
     kind = steps.schema["key"].dataType.simpleString()
     return steps.groupBy("key").applyInPandasWithState(run, f"key {kind}, step long, accepted boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def rate_limit_bounded(hits: DataFrame, most: int, seconds: float, most_keys: int = 10_000, shards: int = 8) -> DataFrame:
+    """A stream (key, ts) -> (key, ts, allowed) with a bounded state: keys are dealt into shards, each of which holds its
+    part of ``most_keys``. Windows that have ended are swept; a new key that finds its shard full is refused."""
+    room = max(1, most_keys // shards)
+
+    def run(shard: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (a, n) for k, a, n in json.loads(state.get[0])} if state.exists else {}
+        rows, out = pd.concat(list(batches)).sort_values("ts"), []
+        for key, t in zip(rows["key"], rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, strict=True):
+            if key not in held and len(held) >= room:
+                held = {k: (a, n) for k, (a, n) in held.items() if t < a + seconds}
+            if key not in held and len(held) >= room:
+                out.append(False)
+                continue
+            start, used = held.get(key, (t, 0))
+            if t >= start + seconds:
+                start, used = t, 0
+            held[key] = (start, used + 1)
+            out.append(used + 1 <= most)
+        state.update((json.dumps([[k, a, n] for k, (a, n) in held.items()]),))
+        yield pd.DataFrame({"key": rows["key"].to_numpy(), "ts": rows["ts"].to_numpy(), "allowed": out})
+
+    kind = hits.schema["key"].dataType.simpleString()
+    dealt = hits.withColumn("sv_shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return dealt.groupBy("sv_shard").applyInPandasWithState(run, f"key {kind}, ts timestamp, allowed boolean", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def revoked_tokens(events: DataFrame, ttl_seconds: float) -> DataFrame:
+    """A stream (token, ts, revoke: boolean) -> (token, ts, valid) of the uses: a token is refused from its revocation on,
+    until it would have ended anyway; then its state goes."""
+
+    def run(token: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since = state.get[0] if state.exists else None
+        rows, out = pd.concat(list(batches)).sort_values("ts"), []
+        for ts, t, revoke in zip(rows["ts"], rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, rows["revoke"], strict=True):
+            if since is not None and t >= since + ttl_seconds:
+                since = None
+            if revoke:
+                since = t if since is None else since
+            else:
+                out.append((token[0], ts, since is None))
+        if since is not None:
+            state.update((since,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["token", "ts", "valid"])
+
+    kind = events.schema["token"].dataType.simpleString()
+    return events.groupBy("token").applyInPandasWithState(run, f"token {kind}, ts timestamp, valid boolean", "since double", "append", GroupStateTimeout.NoTimeout)

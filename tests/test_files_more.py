@@ -122,7 +122,7 @@ def test_months_json_arrays_and_sets(spark):
     flags = lambda a, b: [r.partial for r in R.partial_months(months, a, b).orderBy("month").collect()]
     assert flags(date(2025, 1, 1), date(2025, 3, 31)) == [False] * 3 and flags(date(2025, 1, 2), date(2025, 3, 30)) == [True, False, True]
     ev = spark.createDataFrame([(1, '[{"type": "DNI", "action": "eliminar", "amount": 3}, {"type": "IP", "action": "mantener", "amount": 1}]'), (2, None), (3, "[]")], "event_id int, detections string")
-    assert sorted(tuple(r) for r in R.detections_of(ev).collect()) == [(1, "DNI", "eliminar", 3), (1, "IP", "mantener", 1)]
+    assert sorted(tuple(r) for r in R.parse_detections(ev).collect()) == [(1, "DNI", "eliminar", 3), (1, "IP", "mantener", 1)]
     assert R.same_values(months, months) and not R.same_values(months, months.limit(1))
 
 
@@ -146,3 +146,13 @@ def test_verdicts_of_a_model_change_findings(spark):
     out = model.apply_verdicts(found, plan, votes, cells, {"x": 42})
     assert [(f.kind, f.type, f.confidence, f.count, f.action) for f in out] == [("columna", "RAZON_SOCIAL", "media", 10, "seudonimizar"), ("columna", "DIRECCION", "media", 42, "eliminar"), ("texto", None, "media", 3, "seudonimizar"), ("ninguno", None, None, 0, "mantener")]
     assert out[2].text_counts == {"NOMBRE_PERSONA": 2, "DNI": 1} and len(out[2].examples) == 3
+
+
+def test_generated_tables_are_the_same_on_every_run(spark):
+    from sparkveil.sources import generate as G
+
+    ev = G.usage_events(spark, 20, 30, date(2025, 3, 31))
+    assert sorted(map(tuple, ev.collect())) == sorted(map(tuple, G.usage_events(spark, 20, 30, date(2025, 3, 31)).repartition(5).collect()))
+    assert all(r.day.weekday() < 5 and 9 <= r.hour < 18 for r in ev.collect()) and 0.3 < ev.where("sensitive").count() / ev.count() < 0.5
+    det = G.usage_detections(ev)
+    assert det.groupBy("event_id", "type").count().where("count > 1").count() == 0 and det.select("event_id").distinct().count() == ev.where("sensitive").count()

@@ -130,3 +130,28 @@ def test_steps_are_not_replayed(spark, tmp_path):
     df = spark.createDataFrame([("u", 5), ("u", 5), ("u", 4), ("u", 6)], "key string, step long")
     got = run_stream(spark, df, tmp_path, "steps", state.replay_guard).collect()
     assert sorted((r.step, r.accepted) for r in got) == [(4, False), (5, False), (5, True), (6, True)]
+
+
+def test_a_full_limiter_refuses_new_keys(spark, tmp_path):
+    at = lambda s: datetime(2025, 1, 1, 0, 0, s)
+    df = spark.createDataFrame([("a", at(1)), ("b", at(2)), ("c", at(3)), ("a", at(4)), ("c", at(12)), ("c", at(13))], "key string, ts timestamp")
+    got = {(r.key, r.ts.second): r.allowed for r in run_stream(spark, df, tmp_path, "bounded", lambda s: state.rate_limit_bounded(s, 1, 10, most_keys=2, shards=1)).collect()}
+    assert got == {("a", 1): True, ("b", 2): True, ("c", 3): False, ("a", 4): False, ("c", 12): True, ("c", 13): False}
+
+
+def test_revoked_tokens_are_refused_until_they_end(spark, tmp_path):
+    at = lambda s: datetime(2025, 1, 1, 0, 0, s)
+    df = spark.createDataFrame([("t", at(1), False), ("t", at(2), True), ("t", at(3), False), ("t", at(30), False), ("u", at(3), False)], "token string, ts timestamp, revoke boolean")
+    got = {(r.token, r.ts.second): r.valid for r in run_stream(spark, df, tmp_path, "revoked", lambda s: state.revoked_tokens(s, 20)).collect()}
+    assert got == {("t", 1): True, ("t", 3): False, ("t", 30): True, ("u", 3): True}
+
+
+def test_latest_counts_of_changed_groups(spark, tmp_path):
+    rows = [(k, "ab"[k % 2], datetime(2025, 1, 1 + k % 3, 1), 1.0) for k in range(30)]
+    df = spark.createDataFrame(rows, "event_id int, event_type string, ts timestamp, value double")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = ingest.windowed_counts(ingest.deduplicated(stream, late="30 days"), late=None)
+    ingest.keep_latest(counts, str(tmp_path / "rows"), str(tmp_path / "cp")).awaitTermination()
+    got = ingest.latest_counts(spark, str(tmp_path / "rows"), ["start", "event_type"], ["events", "total"], counts.schema)
+    assert sorted((r.start.day, r.event_type, r.events) for r in got.collect()) == sorted((d, t, 5) for d in (1, 2, 3) for t in "ab")
