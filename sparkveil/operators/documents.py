@@ -205,8 +205,6 @@ def originals(analyzed: DataFrame, policy: dict[str, str] | None = None, scope:
 
 #: Code points of the pieces by which secrets are filed.
 _PIECE = 4
-#: Bits of the filter of pieces: 4 MB, whatever the number of secrets.
-_PIECE_BITS = 1 << 25
 
 
 def leaks(cleaned: DataFrame, secrets: DataFrame, keys: list[str], scope: list[str] = [], text: str = "protected", secret: str = "original") -> DataFrame:
@@ -225,6 +223,6 @@ def leaks(cleaned: DataFrame, secrets: DataFrame, keys: list[str], scope: list[s
     filed = materialize(filed)
     carried = list(dict.fromkeys([*keys, *scope]))
     held = cleaned.where(F.length(text) >= _PIECE).select(*carried, F.explode(pieces(F.col(text))).alias("sv_piece"))
-    met = among(held, filed, "sv_piece", _PIECE_BITS).join(filed, [*scope, "sv_piece"]).groupBy(*keys).agg(F.collect_set("sv_secret").alias("sv_some"))
+    met = among(held, filed, "sv_piece").join(filed, [*scope, "sv_piece"]).groupBy(*keys).agg(F.collect_set("sv_secret").alias("sv_some"))
     found = cleaned.join(met, keys).withColumn("leaked", F.array_sort(F.filter("sv_some", lambda x: F.col(text).contains(x))))
     return found.where(F.size("leaked") > 0).select(*keys, "leaked")
