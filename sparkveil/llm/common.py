@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ..storage import drop_materialized, materialize, shared_dir
+from ..storage import among as among_column
+from ..storage import marked as marked_column
+
+__all__ = ["WS", "WS_RE", "among", "drop_materialized", "fresh", "let", "marked", "materialize", "shared_dir", "table", "words"]
+
 #: The six ASCII white-space characters that end a word.
 WS = " \t\n\x0b\f\r"
 #: The same as a Java regular expression.
@@ -21,54 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if found:
-        return found
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not getattr(spark, "_sparkveil_dir", None):
-        spark._sparkveil_dir = tempfile.mkdtemp(prefix="sparkveil-")
-    return spark._sparkveil_dir
-
-
-@contextmanager
-def _no_shuffle_files_after(spark: SparkSession) -> Iterator[None]:
-    """Within, Spark deletes the shuffle files of an execution when it has ended, not when the driver collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: lineage is cut, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sv-{uuid.uuid4().hex}"
-    with _no_shuffle_files_after(spark):
-        df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sparkveil_path = path
-    return out
-
-
-def drop_materialized(*frames: DataFrame) -> None:
-    """Delete the files behind frames made by ``materialize`` that no later plan reads."""
-    for df in frames:
-        path = df._sparkveil_path
-        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     """The white-space separated words of a text; none of a null one."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))
@@ -87,22 +40,11 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-#: Bits of the filters by which rows without a partner are left where they are: 4 MB at most, whatever the input.
-FILTER_BITS = 1 << 25
-
-
 def marked(rows: DataFrame, ids: DataFrame, mark: str) -> DataFrame:
-    """``rows`` with a column that is true where their ``h`` is among ``ids`` (h), and for a few others. The ids become a
-    bitmap of fixed size, which is broadcast, so that only marked rows need be shuffled afterwards."""
-    slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-    at = lambda c: F.call_function("bitmap_bit_position", c)
-    group = lambda c: F.call_function("bitmap_bucket_number", c)
-    maps = ids.select(slot.alias("x")).groupBy(group(F.col("x")).alias("g_")).agg(F.call_function("bitmap_construct_agg", at(F.col("x"))).alias("bits_"))
-    byte = F.conv(F.hex(F.substring("bits_", (F.shiftright(at(slot), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, (at(slot) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return rows.join(F.broadcast(maps), group(slot) == F.col("g_"), "left").select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(mark))
+    """``rows`` with a column that is true where their ``h`` is among ``ids`` (h), and for a few others."""
+    return marked_column(rows, ids, "h", mark)
 
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose ``h`` is among ``ids`` (h), and a few others."""
-    return marked(rows, ids, "among_").where("among_").drop("among_")
+    return among_column(rows, ids, "h")
