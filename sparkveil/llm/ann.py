@@ -4,7 +4,7 @@ Each tree gives a vector a string of sign bits of random directions; a tree is t
 descends to the longest prefix it shares with entries of each tree, then all trees ascend together, one bit at a time,
 until the entries below the common prefix number ``candidates`` over all trees, or ``SHARE`` for each distinct vector if
 that is more, so that the searched part doesn't shrink as a table grows. Of these entries, in each tree, those whose whole
-strings (the tree's and the next one's) differ from the query's in fewest bits are scored exactly: ``SCORED`` of the
+strings (the tree's and those of the next two) differ from the query's in fewest bits are scored exactly: ``SCORED`` of the
 distinct vectors over all trees at most (or 8 for each neighbour asked for, in a tree, if that is more). The best of all
 trees are merged. The forest's roots are the prefixes of a few bits, so that an array is cut into shards; a shard
 that is much larger than planned is cut again by a hash, and so are a shard's queries. Equal vectors are one entry, with
@@ -35,6 +35,8 @@ TREES, CANDIDATES, BITS = 14, 65_536, 60
 SHARE = 1.28
 #: Part of the distinct vectors that is scored for a query, over all trees, at most.
 SCORED = 0.045
+#: Columns of the strings that are compared.
+STRINGS = ("label", "more1", "more2")
 #: Vectors of a shard that one task handles at once, and its queries.
 SHARD, ASKING = 32_768, 8_192
 
@@ -107,15 +109,16 @@ def _searcher(best: int, scored: int):
             x, q = flat(left)[order], flat(right)
             cids, least, qids = left["cid"].to_numpy(zero_copy_only=False)[order], left["least"].to_numpy()[order], right["cid"].to_pylist()
             low, high = _ranges(labels[order], right["label"].to_numpy(), right["depth"].to_numpy())
-            mine, more = labels[order], left["more"].to_numpy()[order]
-            asked, asked_more, whole = right["label"].to_numpy(), right["more"].to_numpy(), right["tree"].to_numpy() < 0
+            strings = lambda t: [t[c].to_numpy() for c in STRINGS]
+            mine, asked = [c[order] for c in strings(left)], strings(right)
+            whole = right["tree"].to_numpy() < 0
             for k, qid in enumerate(qids):
                 a, b = int(low[k]), int(high[k])
                 if a == b:
                     continue
                 near = np.arange(a, b)
                 if b - a > scored and not whole[k]:
-                    apart = np.bitwise_count(mine[a:b] ^ asked[k]) + np.bitwise_count(more[a:b] ^ asked_more[k])
+                    apart = sum(np.bitwise_count(m[a:b] ^ q_[k]) for m, q_ in zip(mine, asked, strict=True))
                     near = a + np.argpartition(apart, scored - 1)[:scored]
                 scores = x[near] @ q[k]
                 top = np.arange(len(near))
@@ -151,14 +154,14 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     per_tree = max(8 * (k + 1), math.ceil(scored * n / trees))
 
     labelled = entries.select("cid", "v", "band").mapInArrow(_labeller(trees, seed, roofs), "cid string, dim int, data array<long>, query array<long>")
-    after = lambda c: F.concat(F.slice(c, 2, trees), F.slice(c, 1, 1))
-    zipped = F.posexplode(F.arrays_zip("data", "query", after("data").alias("data2"), after("query").alias("query2"))).alias("tree", "l")
+    after = lambda c, n: F.concat(F.slice(c, n % trees + 1, trees), F.slice(c, 1, n % trees)).alias(f"{c}{n}")
+    zipped = F.posexplode(F.arrays_zip("data", "query", *(after(c, n) for c in ("data", "query") for n in (1, 2)))).alias("tree", "l")
     labels = materialize(labelled.select("cid", "dim", zipped).select("cid", "dim", "tree", "l.*"))
     shard = lambda c: F.shiftright(c, BITS - root).cast("int")
     where = ["dim", "tree", "shard"]
     asks = entries.where("asks").select("cid")
-    data = labels.select("cid", "dim", "tree", F.col("data").alias("label"), F.col("data2").alias("more"), shard("data").alias("shard"))
-    query = labels.join(asks, "cid", "left_semi").select("cid", "dim", "tree", F.col("query").alias("label"), F.col("query2").alias("more"), shard("query").alias("shard"))
+    data = labels.select("cid", "dim", "tree", F.col("data").alias("label"), F.col("data1").alias("more1"), F.col("data2").alias("more2"), shard("data").alias("shard"))
+    query = labels.join(asks, "cid", "left_semi").select("cid", "dim", "tree", F.col("query").alias("label"), F.col("query1").alias("more1"), F.col("query2").alias("more2"), shard("query").alias("shard"))
     # A task sees one cut of a shard's entries and one part of its queries.
     parts_of = lambda df, most, name: df.groupBy(*where).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     sizes = materialize(parts_of(data, SHARD, "cuts").join(parts_of(query, ASKING, "parts"), where))
@@ -187,8 +190,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
         mine = lambda count: F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")
         zero = F.lit(0).cast("int")
         none = F.lit(0).cast("long")
-        whole = entries.select("cid", F.size("v").alias("dim"), F.lit(-1).alias("tree"), none.alias("label"), none.alias("more"), every(parts).alias("shard"), mine(blocks).alias("cut"), zero.alias("part"), "v", "least")
-        rest = short.select("cid", "dim", F.lit(-1).alias("tree"), none.alias("label"), none.alias("more"), mine(parts).alias("shard"), every(blocks).alias("cut"), zero.alias("part"), zero.alias("depth"), "v")
+        whole = entries.select("cid", F.size("v").alias("dim"), F.lit(-1).alias("tree"), *(none.alias(c) for c in STRINGS), every(parts).alias("shard"), mine(blocks).alias("cut"), zero.alias("part"), "v", "least")
+        rest = short.select("cid", "dim", F.lit(-1).alias("tree"), *(none.alias(c) for c in STRINGS), mine(parts).alias("shard"), every(blocks).alias("cut"), zero.alias("part"), zero.alias("depth"), "v")
         held = held.select(*whole.columns).unionByName(whole)
         asked = asked.select(*rest.columns).unionByName(rest)
     found = held.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(_searcher(k + 1, per_tree), "qid string, cid string, score double")
