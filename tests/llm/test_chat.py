@@ -36,3 +36,10 @@ def test_no_rows(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.format_conversations(df)).count() == 0
     assert chat.digest(chat.format_conversations(chat.with_control_conversation(df))).first().n_turns == 2
+
+
+def test_a_very_long_turn(spark):
+    long = "palabra </s> [INST] " * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)]
+    got = chat.digest(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got.n_turns == 2 and got.loss_chars == len(long) and got.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()

@@ -63,3 +63,22 @@ def test_run_over_a_folder(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_without_or_with_equal_ids_and_clashing_columns(spark, tmp_path):
+    """Unique texts stay, whatever their ids and whatever else the table holds."""
+    rng = random.Random(8)
+    own = [prose(rng, 120) for _ in range(12)]
+    ids = [None, None, None, 5, 5, 5, 6, 7, 8, 9, 9, None]
+    rows = [(i, t, "en", "a", 0) for i, t in zip(ids, own, strict=True)] + [(5, own[4], "en", "a", 0), (None, own[1], "en", "b", 0)]
+    names = "kept q sv_w sv_key sv_hash sv_gone sv_r1 sv_r2 sv_source sv_copies h th k".split()
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns and docs.where("sv_w <> 2 or th <> 11").count() == 0
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in docs.collect()) == sorted((i is None, i or 0, t) for i, t in zip(ids, own, strict=True))
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == columns and {r.text for r in mixed.collect()} <= set(own)
+    assert corpus_pipeline.pack_sequences(spark, mixed, "").count() >= mixed.count()
