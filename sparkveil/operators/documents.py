@@ -71,7 +71,7 @@ def term_spans(texts: DataFrame, terms: DataFrame, keys: list[str], scope: list[
     words_of = lambda c: F.array_distinct(F.split(F.lower(strip_accents(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+"))
     if not scope and first.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
         one = first.agg(F.collect_list(F.struct("ord", "value", "type", "word")).alias("sv_filed"))  # one row, of a checked size
-        held = texts.select(*keys, F.col(text).alias("sv_text")).crossJoin(F.broadcast(one)).withColumn("sv_words", words_of(F.col("sv_text")))
+        held = spread(texts.select(*keys, F.col(text).alias("sv_text"))).crossJoin(F.broadcast(one)).withColumn("sv_words", words_of(F.col("sv_text")))
         mine = F.filter("sv_filed", lambda t: F.array_contains("sv_words", t["word"]))
         some = F.array_sort(F.transform(mine, lambda t: F.struct(t["ord"].alias("ord"), t["value"].alias("value"), t["type"].alias("type"))))
         held = held.where(F.arrays_overlap("sv_words", F.transform("sv_filed", lambda t: t["word"])))

@@ -82,9 +82,8 @@ def look_back(text: Column, start: Column, width: int = LOOK_BACK) -> Column:
 
 def find_terms(text: Column, terms: Column) -> Column:
     """Whole-word occurrences of ``terms`` (array<struct<value,type>>) whatever the case and accents, term by term."""
-    folded = F.lower(strip_accents(clean(text)))
 
-    def of(term: Column) -> Column:
+    def of(term: Column, folded: Column) -> Column:
         needle = F.lower(F.translate(strip_accents(F.trim(term["value"])), MARKS, ""))
         pieces = F.split(folded, F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
 
@@ -107,4 +106,5 @@ def find_terms(text: Column, terms: Column) -> Column:
 
         return F.when(F.length(needle) >= 2, let(pieces, places)).otherwise(F.array().cast(SPANS))
 
-    return F.coalesce(F.flatten(F.transform(terms, of)), F.array().cast(SPANS))
+    found = let(F.lower(strip_accents(clean(text))), lambda folded: F.flatten(F.transform(terms, lambda t: of(t, folded))))
+    return F.coalesce(found, F.array().cast(SPANS))
