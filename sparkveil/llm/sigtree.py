@@ -11,7 +11,7 @@ make a tree. Three steps keep the work near the number of sets:
 
 1. Sets that agree in their two first tokens meet with their whole tokens and are linked, which contracts most groups.
 2. Trees of bitmaps under all top nodes whose sets aren't linked yet tell which sets have a possible partner.
-3. These sets meet once more, under the same top nodes, with their whole tokens.
+3. These sets meet once more, by pairs or under the same top nodes, with their whole tokens.
 
 Links are exact: a pair is linked when its tokens (64-bit hashes of shingles) say so, and only links that join two
 components are looked at. Equal sets are one entry.
@@ -37,6 +37,8 @@ from .simhash import _shingles, _words
 SHINGLE, PERCENT = 3, 90
 #: Bits of a bitmap, sets below a node, members of a block.
 BITS, FAN, BLOCK = 1024, 8, 256
+#: Possible pairs for each set of a top node up to which each becomes a group of its own.
+PAIRS = 4
 #: So many of the tokens that most sets have among their first come last in the order: this changes the cost alone.
 FREQUENT, FREQUENT_FROM = 65_536, 32
 
@@ -171,7 +173,8 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _possible_members(percent: int):
-    """(g, rid, n, root, home, sig), sorted by g -> (g, rid) of sets with a possible partner."""
+    """(g, rid, n, root, home, sig), sorted by g -> (g, rid) of sets with a possible partner: a group for each pair, so that a
+    pair under many top nodes is one, or the top node's own where there are more than ``PAIRS`` pairs for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list] = ([], [])
@@ -181,7 +184,13 @@ def _possible_members(percent: int):
             rid, n, root = (t[c].to_numpy() for c in ("rid", "n", "root"))
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(len(n), -1)
             x, y = Tree(sig, n, root, t["home"].to_numpy(zero_copy_only=False).astype(bool)).pairs(percent)
-            if len(x):
+            if 0 < len(x) <= PAIRS * len(n):
+                a, b = np.minimum(rid[x], rid[y]), np.maximum(rid[x], rid[y])
+                with np.errstate(over="ignore"):
+                    pair = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+                out[0].append(np.tile((pair ^ (pair >> np.uint64(31))).view(np.int64), 2))
+                out[1].append(np.concatenate((a, b)))
+            elif len(x):
                 found = np.unique(np.concatenate((rid[x], rid[y])))
                 out[0].append(np.full(len(found), t["g"][0].as_py()))
                 out[1].append(found)
@@ -290,9 +299,9 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     tops = materialize(tops.where("home and low < high").select("g", "c"))
     standing = marked(places("n", "sig").withColumn("h", F.col("g")), tops.select(F.col("g").alias("h")), "alive").where("alive").drop("h", "alive")
     standing = _blocks(standing.hint("merge").join(tops, "g")).select("g", "rid", "n", "root", "home", "sig")
-    possible = materialize(_grouped(standing, _possible_members(percent), "g long, rid long"))
+    possible = materialize(_grouped(standing, _possible_members(percent), "g long, rid long").distinct())
 
-    # 3: the same top nodes, for sets with a possible partner.
+    # 3: sets with a possible partner, by pairs or under the same top nodes.
     again = possible.hint("merge").join(known.select("rid", "root"), "rid").select("g", "rid", "root")
     edges = materialize(edges.union(_linked(again, sets, percent)))
     drop_materialized(known, tops, possible)

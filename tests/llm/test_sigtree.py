@@ -61,6 +61,7 @@ def test_equals_all_pairs(spark, seed, percent):
 
 def test_blocks_and_frequent_tokens_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(sigtree, "BLOCK", 5)
+    monkeypatch.setattr(sigtree, "PAIRS", 0.2)
     rng = random.Random(3)
     rows = corpus(5)
     head = " ".join(f"h{k}" for k in range(50))  # one passage in a third of all rows, with other words behind
