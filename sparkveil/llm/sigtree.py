@@ -9,7 +9,8 @@ two sets that are similar enough share one of their first ``n - need + 1`` token
 in two adjacent ones. A top node is such a token with such a class, and a large one is cut into blocks of which every two
 make a tree. Three steps keep the work near the number of sets:
 
-1. Sets that agree in their two first tokens meet with their whole tokens and are linked, which contracts most groups.
+1. Sets that agree in the two first tokens of one of some other orders meet with their whole tokens and are linked, which
+   contracts nearly all groups.
 2. Trees of bitmaps under all top nodes whose sets aren't linked yet tell which sets have a possible partner.
 3. These sets meet once more, by pairs or under the same top nodes, with their whole tokens.
 
@@ -36,9 +37,11 @@ from .simhash import _shingles, _words
 
 SHINGLE, PERCENT = 3, 90
 #: Bits of a bitmap, sets below a node, members of a block.
-BITS, FAN, BLOCK = 1024, 8, 256
+BITS, FAN, BLOCK = 2048, 8, 256
 #: Possible pairs for each set of a top node up to which each becomes a group of its own.
 PAIRS = 4
+#: Other orders by which sets meet first.
+ORDERS = 4
 #: So many of the tokens that most sets have among their first come last in the order: this changes the cost alone.
 FREQUENT, FREQUENT_FROM = 65_536, 32
 
@@ -83,26 +86,32 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 
 def _heads(percent: int, frequent: np.ndarray):
-    """(rid, n, set) -> the first tokens in the order, the size class and the bitmap."""
+    """(rid, n, set) -> the first tokens in the order, the size class, the bitmap, and hashes of the first tokens in other
+    orders."""
+    odd = np.arange(1, ORDERS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                heads, maps = [], []
+                heads, maps, meet = [], [], []
                 n = part.column(1).to_numpy()
                 for raw, size in zip(part.column(2), n, strict=True):
                     tokens = np.frombuffer(raw.as_buffer(), np.uint64)
                     if len(frequent):
                         late = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
                         ordered = np.concatenate((tokens[~late], tokens[late]))
+                        early = tokens[~late] if (~late).sum() > 1 else tokens
                     else:
-                        ordered = tokens
+                        ordered = early = tokens
+                    with np.errstate(over="ignore"):
+                        first = np.sort(np.partition(early[None, :] * odd, min(1, len(early) - 1), axis=1)[:, :2], axis=1)
+                        meet.append((first[:, 0] * odd[0] ^ first[:, -1]).view(np.int64))
                     heads.append(ordered[: size - need(int(size), percent) + 1].view(np.int64))
                     maps.append(bitmap(tokens).tobytes())
                 steps = size_classes(int(n.max(initial=1)), percent)
                 band = np.searchsorted(steps, n, side="right") - 1
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(heads, pa.list_(pa.int64())), pa.array(band.astype(np.int32)), pa.array(maps, pa.binary())], names=["rid", "n", "head", "band", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(heads, pa.list_(pa.int64())), pa.array(band.astype(np.int32)), pa.array(maps, pa.binary()), pa.array(meet, pa.list_(pa.int64()))], names=["rid", "n", "head", "band", "sig", "meet"])
 
     return run
 
@@ -173,8 +182,10 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _possible_members(percent: int):
-    """(g, rid, n, root, home, sig), sorted by g -> (g, rid) of sets with a possible partner: a group for each pair, so that a
-    pair under many top nodes is one, or the top node's own where there are more than ``PAIRS`` pairs for each set."""
+    """(g, rid, n, root, home, sig), sorted by g -> (g, rid) of sets with a possible partner: a group for each pair, or
+    for all of the top node's sets that have one if there are more than ``PAIRS`` pairs for each set. Groups of the same
+    sets under several top nodes have one name."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list] = ([], [])
@@ -192,7 +203,7 @@ def _possible_members(percent: int):
                 out[1].append(np.concatenate((a, b)))
             elif len(x):
                 found = np.unique(np.concatenate((rid[x], rid[y])))
-                out[0].append(np.full(len(found), t["g"][0].as_py()))
+                out[0].append(np.full(len(found), np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64)))
                 out[1].append(found)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1]))], names=["g", "rid"])
@@ -270,7 +281,7 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     # Each distinct set stands once, for its least row.
     once = materialize(rows.where("n > 0").groupBy("h").agg(F.min("rid").alias("rid"), F.min("key").alias("least")))
     sets = rows.where("n > 0").select("rid", "n", "set")
-    with_heads = lambda late: sets.mapInArrow(_heads(percent, late), "rid long, n long, head array<long>, band int, sig binary").hint("merge").join(once.select("rid"), "rid")
+    with_heads = lambda late: sets.mapInArrow(_heads(percent, late), "rid long, n long, head array<long>, band int, sig binary, meet array<long>").hint("merge").join(once.select("rid"), "rid")
     heads = materialize(with_heads(np.zeros(0, np.uint64)))
     counted = heads.select(F.explode("head").alias("t")).groupBy("t").count().where(F.col("count") >= frequent_from)
     late = np.sort(np.array([r["t"] for r in counted.orderBy(F.desc("count"), "t").limit(FREQUENT).collect()], np.int64).view(np.uint64))
@@ -278,9 +289,10 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
         drop_materialized(heads)
         heads = materialize(with_heads(late))
 
-    # 1: sets that agree in their first tokens, in blocks that the least of them joins.
-    first = heads.select("rid", F.xxhash64(F.slice("head", 1, 2)).alias("g"))
-    hubs = first.groupBy("g").agg(F.count("*").alias("c"), F.min("rid").alias("hub")).where("c > 1")
+    # 1: sets that agree in first tokens, in blocks that the least of them joins. Of groups of equal sets one is enough.
+    first = heads.select("rid", F.explode("meet").alias("g"))
+    hubs = first.groupBy("g").agg(F.count("*").alias("c"), F.min("rid").alias("hub"), F.bit_xor(F.xxhash64("rid")).alias("who")).where("c > 1")
+    hubs = hubs.groupBy("c", "hub", "who").agg(F.min("g").alias("g")).drop("who")
     cut = F.pmod(F.xxhash64(F.lit(3), "rid"), F.ceil(F.col("c") / BLOCK)).cast("int")
     hubs = materialize(hubs)
     members = among(first.withColumn("h", F.col("g")), hubs.select(F.col("g").alias("h"))).drop("h").hint("merge").join(hubs, "g").where("rid <> hub").select("g", "rid", cut.alias("cut"))
@@ -292,11 +304,12 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     known = materialize(heads.hint("merge").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", "head", "band", "sig", F.coalesce("root", "rid").alias("root")))
     drop_materialized(heads)
 
-    # 2: top nodes are a token and a size class; sets of the next class visit.
+    # 2: top nodes are a token and a size class; sets of the next class visit. Of top nodes of the same sets one is enough.
     at_home = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("home")))).alias("v")
     places = lambda *more: known.select("rid", "root", "head", *more, at_home).select("rid", "root", *more, "v.band", "v.home", F.explode("head").alias("t")).select(F.xxhash64("t", "band").alias("g"), "rid", "root", "home", *more)
-    tops = places().groupBy("g").agg(F.count("*").alias("c"), F.bool_or("home").alias("home"), F.min("root").alias("low"), F.max("root").alias("high"))
-    tops = materialize(tops.where("home and low < high").select("g", "c"))
+    who = F.bit_xor(F.xxhash64("rid", "home")).alias("who")
+    tops = places().groupBy("g").agg(F.count("*").alias("c"), F.bool_or("home").alias("home"), F.min("root").alias("low"), F.max("root").alias("high"), who)
+    tops = materialize(tops.where("home and low < high").groupBy("c", "low", "high", "who").agg(F.min("g").alias("g")).select("g", "c"))
     standing = marked(places("n", "sig").withColumn("h", F.col("g")), tops.select(F.col("g").alias("h")), "alive").where("alive").drop("h", "alive")
     standing = _blocks(standing.hint("merge").join(tops, "g")).select("g", "rid", "n", "root", "home", "sig")
     possible = materialize(_grouped(standing, _possible_members(percent), "g long, rid long").distinct())
@@ -304,12 +317,12 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     # 3: sets with a possible partner, by pairs or under the same top nodes.
     again = possible.hint("merge").join(known.select("rid", "root"), "rid").select("g", "rid", "root")
     edges = materialize(edges.union(_linked(again, sets, percent)))
-    drop_materialized(known, tops, possible)
+    named = materialize(rows.select("key", "n", "h"))
+    drop_materialized(known, tops, possible, rows)
     roots = components(edges)
-    named = materialize(once.hint("merge").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("h", "least", F.coalesce("root", "rid").alias("root")))
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(groups, "root").select("h", "component_id")
-    found = rows.select("key", "n", "h").hint("merge").join(of, "h", "left")
+    of = materialize(once.hint("merge").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("h", "least", F.coalesce("root", "rid").alias("root")))
+    groups = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = named.hint("merge").join(of.join(groups, "root").select("h", "component_id"), "h", "left")
     return found.select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
 
