@@ -32,7 +32,7 @@ from .common import drop_materialized, materialize
 
 LEAST, LONGEST, COVER, TOP, SCALE, UNKNOWN = 100, 5, 100, 2000, 1000, "und"
 #: Words that a task counts at once, and the most bits of a filter.
-CHUNK, FILTER_BITS = 1 << 21, 1 << 27
+CHUNK, FILTER_BITS = 1 << 20, 1 << 27
 #: What ends a piece of text.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +94,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
                     found.extend(map(words.__getitem__, some))
                     found.append(-1)
             if found:
-                ids.append(np.array(found, np.int64))
+                ids.append(np.array(found, np.int32))
                 lang.append((langs[name], len(found)))
                 held += len(found)
             if held >= CHUNK:
