@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, counts, langid, lines, mixing, packing, phrases, quality, sigtree, simhash, suffix
+from . import ann, chat, counts, langid, lines, mixing, negatives, packing, phrases, quality, sigtree, simhash, suffix
 from .common import materialize, shared_dir, table
 
 
@@ -79,6 +79,11 @@ def op12_prefix_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_prefix_forest, op3_vector_packing, op4_hash_mix, op5_quality_rules, op6_segment_lines, op7_chat_format, op8_langid_marginal, op9_token_rollup, op10_suffix_buckets, op11_signature_trees, op12_prefix_growth)}
+def op13_pca_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
 
-ORACLE_SQL: dict[str, str] = {"op4_hash_mix": mixing.ORACLE_OP4, "op5_quality_rules": quality.ORACLE_OP5, "op7_chat_format": chat.ORACLE_OP7, "op11_signature_trees": sigtree.ORACLE_OP11, "op12_prefix_growth": phrases.ORACLE_OP12}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_prefix_forest, op3_vector_packing, op4_hash_mix, op5_quality_rules, op6_segment_lines, op7_chat_format, op8_langid_marginal, op9_token_rollup, op10_suffix_buckets, op11_signature_trees, op12_prefix_growth, op13_pca_negatives)}
+
+ORACLE_SQL: dict[str, str] = {"op4_hash_mix": mixing.ORACLE_OP4, "op5_quality_rules": quality.ORACLE_OP5, "op7_chat_format": chat.ORACLE_OP7, "op11_signature_trees": sigtree.ORACLE_OP11, "op12_prefix_growth": phrases.ORACLE_OP12, "op13_pca_negatives": negatives.ORACLE_OP13}
