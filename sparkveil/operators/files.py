@@ -3,7 +3,8 @@
 Tables (csv, tsv, json lists) are classified and protected column by column; workbooks sheet by sheet; texts, nested JSON
 and the tables of documents as segments. Paths are what Spark can read and write; the driver opens no file itself.
 
-Defined cases: an unknown extension is an error; a sheet or table without rows below its header is left out; blank files
+Defined cases: an unknown extension is an error, and so is a PDF file without text (``no_text``, ``encrypted``, ``broken``); a
+sheet or table without rows below its header is left out; blank files
 give empty results.
 """
 
@@ -15,12 +16,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import office as Of
 from ..sources import readers as R
 from ..sources import writers as Wr
 from . import documents as D
 from . import table as T
 
-TABLES, DOCUMENTS = ("csv", "tsv", "json", "xlsx", "xlsm"), ("txt", "md", "docx")
+WORKBOOKS = ("xlsx", "xlsm", "ods")
+TABLES, DOCUMENTS = ("csv", "tsv", "json", *WORKBOOKS), ("txt", "md", "docx", "pdf")
 
 
 @dataclass
@@ -62,7 +65,7 @@ def review_file(spark: SparkSession, path: str) -> Review:
     if kind in ("csv", "tsv"):
         review.delimiter = R.sniff_delimiter(spark, path)
         review.sheets = {"": R.read_csv(spark, path, review.delimiter)}
-    elif kind in ("xlsx", "xlsm"):
+    elif kind in WORKBOOKS:
         review.sheets = sheets_of(spark, path)
     elif kind == "json" and _is_list(spark, path):
         review.sheets = {"": R.read_json_table(spark, path)}
@@ -89,6 +92,11 @@ def _segments(spark: SparkSession, path: str, kind: str) -> DataFrame:
         body = docs.select(F.lit(path).alias("doc_id"), F.lit(-1).cast("long").alias("seg_id"), "text", none.alias("hint"))
         tables = R.html_tables(docs.select(F.lit(path).alias("doc_id"), "html"), "doc_id", least_columns=2, least_rows=3)  # a header and two rows
         return body.unionByName(D.table_segments(tables, "doc_id").select("doc_id", "seg_id", "text", "hint"))
+    if kind == "pdf":
+        pages = R.read_pdfs(spark, path)
+        if found := pages.where("error is not null").select("error").first():
+            raise ValueError(f"{found['error']}: {path}")
+        return pages.select(F.lit(path).alias("doc_id"), F.lit(0).cast("long").alias("seg_id"), "text")
     return R.read_texts(spark, path).select(F.lit(path).alias("doc_id"), F.lit(0).cast("long").alias("seg_id"), "text")
 
 
@@ -126,16 +134,18 @@ def protect_file(review: Review, policy: dict[str, str] | None = None) -> Protec
 
 
 def write_file(review: Review, done: ProtectedFile, path: str) -> None:
-    """Writes the protected copy under a folder: tables as delimited text (a sheet each), lists as JSON rows, JSON documents
-    with their leaves put back, texts as text."""
-    for sheet, part in done.parts.items():
-        to = f"{path}/{re.sub('[^A-Za-z0-9_-]+', '_', sheet)}" if sheet else path
+    """Writes the protected copy under a folder: a table as delimited text, a workbook as one .xlsx file of the same sheets,
+    lists as JSON rows, JSON documents with their leaves put back, texts as text."""
+    if review.kind in WORKBOOKS:
+        Of.write_workbook(done.parts, f"{path}/{re.sub(r'^.*/|[.][^.]*$', '', review.path)}.xlsx")
+        return
+    for part in done.parts.values():
         if review.analyzed is None and review.kind == "json":
-            Wr.json_rows(part.orderBy("_row")).write.text(to)
+            Wr.json_rows(part.orderBy("_row")).write.text(path)
         elif review.analyzed is None:
-            Wr.write_csv(part, to, review.delimiter)
+            Wr.write_csv(part, path, review.delimiter)
         elif review.kind == "json":
             raw = part.sparkSession.read.text(review.path, wholetext=True).select(F.lit(review.path).alias("doc_id"), F.col("value").alias("json"))
-            Wr.rebuild_json(raw, part, "doc_id").select(F.col("json").alias("value")).write.text(to)
+            Wr.rebuild_json(raw, part, "doc_id").select(F.col("json").alias("value")).write.text(path)
         else:
-            Wr.write_texts(part.orderBy("seg_id"), to)
+            Wr.write_texts(part.orderBy("seg_id"), path)

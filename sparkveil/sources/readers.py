@@ -18,8 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
+from .office import read_workbooks
+from .pdf import read_pdfs
+
+__all__ = ["read_pdfs", "read_workbooks"]
+
 #: Accepted extensions and the largest file, in MB. Fixed values.
-EXTENSIONS, MAX_MB = ("csv", "tsv", "xlsx", "xlsm", "json", "docx", "txt", "md"), 50
+EXTENSIONS, MAX_MB = ("csv", "tsv", "xlsx", "xlsm", "ods", "json", "docx", "pdf", "txt", "md"), 50
 DELIMITERS = (",", ";", "\t", "|")
 BLANK_HEADER = "Columna {}"
 
@@ -175,48 +180,9 @@ def html_tables(df: DataFrame, key: str, html: str = "html", least_columns: int
     return sized.where((F.col("sv_n") >= least_rows) & (F.col("sv_w") >= least_columns)).drop("sv_n", "sv_w")
 
 
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _WORDML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def _sheets(data: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row number, cells) of a workbook; raw values, dates as day counts."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"):
-            target = targets[sheet.get(_REL)].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for k, row in enumerate(root.iter(f"{_SHEET}row")):
-                cells: dict[int, str | None] = {}
-                for c in row.iter(f"{_SHEET}c"):
-                    letters = re.match("[A-Z]+", c.get("r", "")) if c.get("r") else None
-                    at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters[0]))) - 1 if letters else len(cells)
-                    value = c.findtext(f"{_SHEET}v")
-                    if c.get("t") == "s" and value is not None:
-                        value = shared[int(value)]
-                    elif c.get("t") == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
-                    cells[at] = value
-                if any((v or "").strip() for v in cells.values()):
-                    yield sheet.get("name"), k, [cells.get(i) for i in range(max(cells) + 1)]
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row_id, cells) of all rows of .xlsx files; the first row of a sheet is its header."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, data in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(p, *r) for r in _sheets(bytes(data))], columns=["path", "sheet", "row_id", "cells"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet string, row_id int, cells array<string>")
-
-
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, html): the paragraphs of .docx files, and their tables as HTML for ``html_tables``."""
 

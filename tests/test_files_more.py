@@ -50,7 +50,7 @@ def test_text_and_json_files(spark, tmp_path):
     files.write_file(review, files.protect_file(review), str(tmp_path / "l"))
     assert parts(tmp_path / "l").splitlines() == ['{"email":"***@mail.example.com","n":"1"}', '{"email":"***@mail.example.com","n":"2"}']
     with pytest.raises(ValueError, match="not a known kind"):
-        files.review_file(spark, str(tmp_path / "x.pdf"))
+        files.review_file(spark, str(tmp_path / "x.exe"))
 
 
 def test_sheets_of_a_workbook(spark, tmp_path):
