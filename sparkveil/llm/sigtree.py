@@ -11,7 +11,8 @@ make a tree. Three steps keep the work near the number of sets:
 
 1. Sets that agree in the two first tokens of one of some other orders meet with their whole tokens and are linked, which
    contracts nearly all groups.
-2. Trees of bitmaps under all top nodes whose sets aren't linked yet tell which sets have a possible partner.
+2. Trees of bitmaps under all top nodes whose sets aren't linked yet tell which sets have a possible partner; those that
+   have one meet again with bitmaps that follow their sizes.
 3. These sets meet once more, by pairs or under the same top nodes, with their whole tokens.
 
 Links are exact: a pair is linked when its tokens (64-bit hashes of shingles) say so, and only links that join two
@@ -79,12 +80,25 @@ def _sets(width: int):
     return run
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    seen = np.zeros(BITS, bool)
-    seen[(tokens >> np.uint64(7)) % np.uint64(BITS)] = True
+def bitmap(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+    seen = np.zeros(bits, bool)
+    seen[(tokens >> np.uint64(7)) % np.uint64(bits)] = True
     return np.packbits(seen).view(np.uint64)
 
 
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps, whose sizes are powers of two, at the size of the smallest, one a row."""
+    words = min(map(len, maps)) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, words), axis=0) for m in maps])
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, n, set) -> (rid, n, sig): bitmaps of at least two bits a token."""
+    for batch in batches:
+        maps = [bitmap(np.frombuffer(raw.as_buffer(), np.uint64), max(BITS, 1 << (2 * n - 1).bit_length())).tobytes() for raw, n in zip(batch.column(2), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["rid", "n", "sig"])
+
+
 def _heads(percent: int, frequent: np.ndarray):
     """(rid, n, set) -> the first tokens in the order, the size class, the bitmap, and hashes of the first tokens in other
     orders."""
@@ -193,8 +207,7 @@ def _possible_members(percent: int):
             if t.num_rows < 2:
                 continue
             rid, n, root = (t[c].to_numpy() for c in ("rid", "n", "root"))
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(len(n), -1)
-            x, y = Tree(sig, n, root, t["home"].to_numpy(zero_copy_only=False).astype(bool)).pairs(percent)
+            x, y = Tree(folded(t["sig"].to_pylist()), n, root, t["home"].to_numpy(zero_copy_only=False).astype(bool)).pairs(percent)
             if 0 < len(x) <= PAIRS * len(n):
                 a, b = np.minimum(rid[x], rid[y]), np.maximum(rid[x], rid[y])
                 with np.errstate(over="ignore"):
@@ -312,13 +325,17 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     tops = materialize(tops.where("home and low < high").groupBy("c", "low", "high", "who").agg(F.min("g").alias("g")).select("g", "c"))
     standing = marked(places("n", "sig").withColumn("h", F.col("g")), tops.select(F.col("g").alias("h")), "alive").where("alive").drop("h", "alive")
     standing = _blocks(standing.hint("merge").join(tops, "g")).select("g", "rid", "n", "root", "home", "sig")
+    rooted = lambda groups: groups.hint("merge").join(known.select("rid", "root"), "rid").select("g", "rid", "root")
     possible = materialize(_grouped(standing, _possible_members(percent), "g long, rid long").distinct())
+    # Long texts fill such bitmaps, so what has a partner is looked at again with bitmaps of its own size.
+    wide = among(sets.withColumn("h", F.col("rid")), possible.select(F.col("rid").alias("h"))).select("rid", "n", "set").mapInArrow(_wide, "rid long, n long, sig binary")
+    again = rooted(possible).hint("merge").join(wide, "rid").select("g", "rid", "n", "root", F.lit(True).alias("home"), "sig")
+    narrow, possible = possible, materialize(_grouped(again, _possible_members(percent), "g long, rid long").distinct())
 
     # 3: sets with a possible partner, by pairs or under the same top nodes.
-    again = possible.hint("merge").join(known.select("rid", "root"), "rid").select("g", "rid", "root")
-    edges = materialize(edges.union(_linked(again, sets, percent)))
+    edges = materialize(edges.union(_linked(rooted(possible), sets, percent)))
     named = materialize(rows.select("key", "n", "h"))
-    drop_materialized(known, tops, possible, rows)
+    drop_materialized(known, tops, narrow, possible, rows)
     roots = components(edges)
     of = materialize(once.hint("merge").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("h", "least", F.coalesce("root", "rid").alias("root")))
     groups = of.groupBy("root").agg(F.min("least").alias("component_id"))
