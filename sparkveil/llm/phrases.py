@@ -3,10 +3,11 @@
 A phrase is a row of words within a piece of text. What is frequent enough grows to the right: the occurrence pointers of a
 frequent word are projected onto the words behind it as long as the next two and three words together are frequent as well
 (bitmaps of a size that follows their number, up to 16 MB, say so; a bit that lets more through costs work, not rightness).
-Each pointer's window, up to five words, is counted where it is found, so a phrase in a third of all texts is few rows.
-The projections of each language and first word are then sorted by the words behind it, and one task walks each depth
-first: a prefix's count is the sum over its run, and the run of a longer prefix lies in it. Prefixes are dealt out by
-ranges, so one that is too large for a task goes on in the next, and the counts of those at a cut are added.
+Each pointer's window, up to five words, is counted where it is found, so a phrase in a third of all texts is few windows.
+Windows travel as sorted runs. The projections of each language and first word are put in the order of the words behind
+it, and one task walks each depth first: a prefix's count is the sum over its windows, and those of a longer prefix lie
+among them. Prefixes are dealt out by ranges, so one that is too large for a task goes on in another, and the counts of
+those at a cut are added.
 
 A phrase of two words or more is scored by its weakest cut into two parts: floor(scale * f(phrase) * n / (f(left) *
 f(right))), n being all words of the language. It goes if a longer phrase around it is as frequent (``cover`` percent).
@@ -18,6 +19,7 @@ them; an empty table gives no rows; a word holds any characters but space and ta
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,8 @@ from .common import drop_materialized, materialize
 LEAST, LONGEST, COVER, TOP, SCALE, UNKNOWN = 100, 5, 100, 2000, 1000, "und"
 #: Words that a task counts at once, and the most bits of a filter.
 CHUNK, FILTER_BITS = 1 << 20, 1 << 27
+#: Windows of a range, every how many'th window of a run is a sample, and the most samples and ranges that there are.
+RANGE, SAMPLED, MOST_SAMPLES, MOST_RANGES = 100_000, 1000, 200_000, 100_000
 #: What ends a piece of text.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -137,8 +141,8 @@ def _escaped(word: bytes) -> bytes:
 
 
 def _projector(longest: int, frequent: list[Broadcast]):
-    """Texts -> (path, c): windows that begin at frequent words and grow while two and three words together are frequent;
-    a path is the language and the words, and the language alone counts all words."""
+    """Texts -> (n, some, run), one a chunk: its sorted windows (path, c), packed, their number and some paths. Windows begin
+    at frequent words and grow while two and three words together are frequent; a path is the language and the words, and the language alone counts all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
@@ -157,55 +161,107 @@ def _projector(longest: int, frequent: list[Broadcast]):
                 for i in at[first].tolist():
                     paths.append(b"\x00".join([langs[chunk.lang[i]], *[words[w] for w in chunk.ids[i : i + k]]]))
                 counts.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(np.concatenate(counts).astype(np.int64))], names=["path", "c"])
+            run_ = pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(np.concatenate(counts).astype(np.int64))], names=["path", "c"]).sort_by("path")
+            some = run_.column(0).take(pa.array(np.arange(0, len(paths), SAMPLED)))
+            yield pa.RecordBatch.from_arrays([pa.array([len(paths)]), pa.array([some.to_pylist()], pa.list_(pa.binary())), pa.array([_packed(run_)], pa.binary())], names=["n", "some", "run"])
 
     return run
 
 
-def _grower(least: int):
-    """Sorted (path, c) -> (path, c) of each prefix that is frequent, or may go on in the task before or behind."""
+def _packed(run: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, run.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_batch(run)
+    return sink.getvalue().to_pybytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list[bytes] = []
-        counts: list[int] = []
-        edge: list[bool] = []
-        out: tuple[list, list] = ([], [])
-        first = True
-
-        def back(depth: int, last: bool = False) -> None:
-            while len(now) > depth:
-                if counts[-1] >= least or edge[-1] or last:
-                    out[0].append(b"\x00".join(now))
-                    out[1].append(counts[-1])
-                c = counts.pop()
-                if counts:
-                    counts[-1] += c
-                now.pop()
-                edge.pop()
 
+def _unpacked(raw: pa.BinaryScalar) -> pa.Table:
+    with pa.ipc.open_stream(raw.as_buffer()) as stream:
+        return stream.read_all()
+
+
+def _cutter(bounds: list[bytes]):
+    """Sorted runs -> (part, run): the pieces of each range of paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                steps = path.split(b"\x00")
-                same = 0
-                for a, b in zip(now, steps):  # noqa: B905  the shorter one ends it
-                    if a != b:
-                        break
-                    same += 1
-                back(same)
-                for step in steps[same:]:
-                    now.append(step)
-                    counts.append(0)
-                    edge.append(first)
+            for raw in batch.column(0):
+                whole = _unpacked(raw).combine_chunks().to_batches()[0]
+                paths = whole.column(0).to_pylist()
+                cuts = [0, *(bisect_left(paths, b) for b in bounds), len(paths)]
+                parts = [k for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([_packed(whole.slice(cuts[k], cuts[k + 1] - cuts[k])) for k in parts], pa.binary())], names=["part", "run"])
+
+    return run
+
+
+def _walk(windows: list[tuple[bytes, int]], least: int) -> tuple[list[bytes], list[int]]:
+    """Sorted windows and counts of a range -> prefixes and counts, depth first: those that are frequent, and those of the
+    first and last window, which may go on outside of the range."""
+    now: list[bytes] = []
+    counts: list[int] = []
+    edge: list[bool] = []
+    out: tuple[list, list] = ([], [])
+
+    def back(depth: int, last: bool = False) -> None:
+        while len(now) > depth:
+            if counts[-1] >= least or edge[-1] or last:
+                out[0].append(b"\x00".join(now))
+                out[1].append(counts[-1])
+            c = counts.pop()
+            if counts:
                 counts[-1] += c
-                first = False
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64())], names=["path", "c"])
-            out = ([], [])
-        back(0, last=True)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64())], names=["path", "c"])
+            now.pop()
+            edge.pop()
+
+    for k, (path, c) in enumerate(windows):
+        steps = path.split(b"\x00")
+        same = 0
+        for a, b in zip(now, steps):  # noqa: B905  the shorter one ends it
+            if a != b:
+                break
+            same += 1
+        back(same)
+        for step in steps[same:]:
+            now.append(step)
+            counts.append(0)
+            edge.append(k == 0)
+        counts[-1] += c
+    back(0, last=True)
+    return out
+
+
+def _grower(least: int):
+    """(part, run), sorted by part -> (path, c) of each prefix that is frequent, or may go on in another part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        at = None
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != at and held:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(_walk(sorted(held.items()), least), (pa.binary(), pa.int64()), strict=True)], names=["path", "c"])
+                    held = {}
+                at = part
+                piece = _unpacked(raw)
+                for path, c in zip(piece["path"].to_pylist(), piece["c"].to_pylist(), strict=True):
+                    held[path] = held.get(path, 0) + c
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(_walk(sorted(held.items()), least), (pa.binary(), pa.int64()), strict=True)], names=["path", "c"])
 
     return run
 
 
+def _bounds(runs: DataFrame, size: int) -> list[bytes]:
+    """Paths that cut all windows into ranges of about ``size``, from the samples of each run; where these are many, from
+    those that a hash picks, so that the driver sees a bounded number."""
+    total, known = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("some")), F.lit(0))).first()
+    spread = max(1, known // MOST_SAMPLES)
+    some = runs.select(F.explode("some").alias("path")).where(F.pmod(F.xxhash64("path"), F.lit(spread)) == 0)
+    found = sorted(bytes(r["path"]) for r in some.collect())
+    ranges = min(-(-total // size), MOST_RANGES)
+    return sorted({found[k * len(found) // ranges] for k in range(1, ranges)}) if found else []
+
+
 def _filter(found: DataFrame) -> Broadcast:
     """A bitmap of frequent hashes (g): 64 bits for each, rounded up to a power of two, ``FILTER_BITS`` at most."""
     bits = 1 << 15
@@ -231,8 +287,9 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", le
     counted = materialize(frequent((3,), filters[1]))
     filters.append(_filter(counted.select("g")))
     drop_materialized(counted)
-    projected = materialize(texts.mapInArrow(_projector(longest, filters), "path binary, c long"))
-    grown = projected.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_grower(least), "path binary, c long")
+    projected = materialize(texts.mapInArrow(_projector(longest, filters), "n long, some array<binary>, run binary"))
+    pieces = projected.select("run").mapInArrow(_cutter(_bounds(projected, RANGE)), "part int, run binary")
+    grown = pieces.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_grower(least), "path binary, c long")
     out = materialize(grown.groupBy("path").agg(F.sum("c").alias("c")))
     drop_materialized(projected)
     for f in filters:

@@ -55,7 +55,8 @@ def test_equals_plain_counting(spark, cover):
 
 
 def test_prefixes_cut_between_tasks_are_added(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "CHUNK", 50)
+    for name, value in (("CHUNK", 50), ("RANGE", 40), ("SAMPLED", 3), ("MOST_SAMPLES", 60)):
+        monkeypatch.setattr(phrases, name, value)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
