@@ -2,7 +2,7 @@
 
 Reading unpacks one file in a task, row by row. Writing builds the XML of each row with Spark expressions; tasks write the
 rows of their range as parts beside the target, and the commit puts the parts into one zip, so nothing but the names of
-parts passes through the driver's memory.
+parts passes through the driver's memory. A table too large for one file becomes a folder of workbooks, one or more a task.
 
 Defined cases: days come out as ``YYYY-MM-DD`` (a time of day alone stays a number), truth values as ``true`` and ``false``;
 blank rows are left out; repeated cells and rows of .ods are written out, but never the blank ones at the end; characters
@@ -247,20 +247,39 @@ def _cell(df: DataFrame, name: str) -> Column:
     return F.coalesce(out, F.lit("<c/>"))
 
 
+def _row(cells: list[Column]) -> Column:
+    return F.concat(F.lit("<row>"), *cells, F.lit("</row>")).alias("xml")
+
+
+def _head(spark: SparkSession, names: list[str]) -> DataFrame:
+    """One row: that of the column names."""
+    head = spark.range(1).select(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(names)])
+    return head.select(_row([_cell(head, c) for c in head.columns]))
+
+
+def write_workbook_parts(df: DataFrame, path: str, sheet: str = DEFAULT_SHEET) -> None:
+    """A table of any size as a folder of workbooks with one sheet each: every task writes its own rows, in their order, and
+    begins another file where a sheet is full. ``read_workbooks`` reads the folder."""
+    if len(df.columns) > MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} columns")
+    df.sparkSession.dataSource.register(WorkbookSource)
+    head = _head(df.sparkSession, df.columns).first()["xml"]
+    rows = df.select(F.lit(0).alias("sheet"), _row([_cell(df, c) for c in df.columns]))
+    rows.write.format(WorkbookSource.name()).option("sheets", json.dumps(sheet_names([sheet]))).option("head", head).mode("append").save(path)
+
+
 def write_workbook(tables: dict[str, DataFrame], path: str, order: str = "_row") -> None:
     """Tables as the sheets of one .xlsx file, with their column names in the first row and rows in the order of ``order``
     (which is left out; without it rows are in reading order)."""
     from .readers import add_row_number
 
-    rows = None
+    row, rows = _row, None
     for k, (name, df) in enumerate(zip(sheet_names(list(tables)), tables.values(), strict=True)):
         shown = [c for c in df.columns if c != order]
         if len(shown) > MOST_COLUMNS:
             raise ValueError(f"over {MOST_COLUMNS} columns in sheet {name}")
         df = df if order in df.columns else add_row_number(df, order)
-        row = lambda cells: F.concat(F.lit("<row>"), *cells, F.lit("</row>")).alias("xml")
-        head = df.sparkSession.range(1).select(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(shown)])
-        head = head.select(F.lit(k).alias("sheet"), F.lit(None).cast("long").alias("at"), row([_cell(head, c) for c in head.columns]))
+        head = _head(df.sparkSession, shown).select(F.lit(k).alias("sheet"), F.lit(None).cast("long").alias("at"), "xml")
         body = df.select(F.lit(k).alias("sheet"), F.col(f"`{order}`").cast("long").alias("at"), row([_cell(df, c) for c in shown]))
         rows = head.union(body) if rows is None else rows.union(head).union(body)
     if rows is None:
@@ -285,12 +304,12 @@ class WorkbookSource(DataSource):
         return "sparkveil_xlsx"
 
     def writer(self, schema: StructType, overwrite: bool) -> WorkbookWriter:
-        return WorkbookWriter(self.options["path"], json.loads(self.options["sheets"]))
+        return WorkbookWriter(self.options["path"], json.loads(self.options["sheets"]), self.options.get("head"))
 
 
 class WorkbookWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, names: list[str]) -> None:
-        self.path, self.names = path, names
+    def __init__(self, path: str, names: list[str], head: str | None = None) -> None:
+        self.path, self.names, self.head = path, names, head  # with a head, a folder of workbooks that begin with it
         self.parts = f"{path}.parts-{uuid.uuid4().hex}"
 
     def _files(self) -> tuple[pa.fs.FileSystem, str, str]:
@@ -312,34 +331,35 @@ class WorkbookWriter(DataSourceArrowWriter):
         files: list[tuple[int, int, str]] = []
         out: IO[bytes] | None = None
         pack = zlib.compressobj(1)
+
+        def end() -> None:
+            if out:
+                out.write(pack.flush())
+                out.close()
+
         try:
             for batch in iterator:
-                sheets, xml = batch.column(0).to_numpy(), batch.column(1)
-                for k in sorted(set(sheets.tolist())):
-                    mine = xml.filter(pa.array(sheets == k))
-                    if not files or files[-1][0] != k:
-                        if out:
-                            out.write(pack.flush())
-                            out.close()
-                        name = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}-{k}"
+                for k, xml in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if not files or files[-1][0] != k or self.head and files[-1][1] == MOST_ROWS:
+                        end()
+                        name = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}-{len(files)}"
                         out, pack = system.open_output_stream(name), zlib.compressobj(1)
                         files.append((k, 0, name))
-                    files[-1] = (k, files[-1][1] + len(mine), files[-1][2])
-                    for row in mine:
-                        out.write(pack.compress(row.as_py().encode()))
+                        if self.head:
+                            out.write(pack.compress(self.head.encode()))
+                            files[-1] = (k, 1, name)
+                    out.write(pack.compress(xml.as_py().encode()))
+                    files[-1] = (k, files[-1][1] + 1, files[-1][2])
         finally:
-            if out:
-                out.write(pack.flush())
-                out.close()
+            end()
+        if self.head:  # whole workbooks, which the commit only moves
+            for _, _, part in files:
+                self._assemble(system, [(0, 0, part)], f"{part}.xlsx")
+                system.delete_file(part)
         return Parts(task.partitionId(), files)
 
-    def commit(self, messages: list[Parts | None]) -> None:
-        system, place, folder = self._files()
-        parts = [f for m in sorted((m for m in messages if m), key=lambda m: m.partition) for f in m.files]
-        for k, name in enumerate(self.names):
-            if sum(n for s, n, _ in parts if s == k) > MOST_ROWS:
-                raise ValueError(f"over {MOST_ROWS} rows in sheet {name}")
-        with system.open_output_stream(f"{folder}/book") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+    def _assemble(self, system: pa.fs.FileSystem, parts: list[tuple[int, int, str]], target: str) -> None:
+        with system.open_output_stream(target) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
             for name, text in _frame(self.names):
                 z.writestr(name, text)
             for k in range(len(self.names)):
@@ -351,7 +371,20 @@ class WorkbookWriter(DataSourceArrowWriter):
                             while some := f.read(1 << 20):
                                 sheet.write(unpack.decompress(some))
                     sheet.write(b"</sheetData></worksheet>")
-        system.move(f"{folder}/book", place)
+
+    def commit(self, messages: list[Parts | None]) -> None:
+        system, place, folder = self._files()
+        parts = [f for m in sorted((m for m in messages if m), key=lambda m: m.partition) for f in m.files]
+        if self.head:
+            system.create_dir(place)
+            for n, (_, _, part) in enumerate(parts):
+                system.move(f"{part}.xlsx", f"{place}/part-{n:05}-{self.parts[-8:]}.xlsx")
+        else:
+            for k, name in enumerate(self.names):
+                if sum(n for s, n, _ in parts if s == k) > MOST_ROWS:
+                    raise ValueError(f"over {MOST_ROWS} rows in sheet {name}")
+            self._assemble(system, parts, f"{folder}/book")
+            system.move(f"{folder}/book", place)
         system.delete_dir(folder)
 
     def abort(self, messages: list[Parts | None]) -> None:

@@ -446,10 +446,14 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, page int, text string, error string")
 
 
-def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pages, text, error) of PDF files: the pages' texts in order, with a blank line between them."""
-    pages = pdf_pages(spark.read.format("binaryFile").load(path))
+def join_pages(pages: DataFrame) -> DataFrame:
+    """Pages -> (path, pages, text, error): the pages' texts in order, with a blank line between them."""
     whole = F.btrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n"), F.lit(" \t\r\n"))
     files = pages.groupBy("path").agg(F.count_if(F.col("error").isNull()).cast("int").alias("pages"), whole.alias("text"), F.first("error", ignorenulls=True).alias("error"))
     error = F.coalesce("error", F.when(F.length("text") < LEAST_TEXT, "no_text"))
     return files.select("path", "pages", F.when(error.isNull(), F.col("text")).alias("text"), error.alias("error"))
+
+
+def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pages, text, error) of PDF files."""
+    return join_pages(pdf_pages(spark.read.format("binaryFile").load(path)))

@@ -192,3 +192,12 @@ def test_a_pdf_is_reviewed_and_protected(spark, tmp_path):
     assert files.file_totals(review) == {"EMAIL": 1}
     files.write_file(review, files.protect_file(review), str(tmp_path / "out"))
     assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).strip() == "Escribir a ***@mail.example.com\nhoy sin falta"
+
+
+def test_a_folder_of_workbooks(spark, tmp_path, monkeypatch):
+    O.write_workbook_parts(spark.range(100).repartition(3).select("id", F.concat(F.lit("v"), "id").alias("v")), str(tmp_path / "f"))
+    O.write_workbook_parts(spark.range(100, 103).select("id", F.lit("w").alias("v")).coalesce(1), str(tmp_path / "f"))
+    assert len(list((tmp_path / "f").iterdir())) == 4 and [p.name for p in tmp_path.iterdir()] == ["f"]
+    got = O.read_workbooks(spark, str(tmp_path / "f")).collect()
+    assert sum(r.cells == ["id", "v"] and r.row_id == 0 for r in got) == 4
+    assert sorted(int(r.cells[0]) for r in got if r.row_id) == list(range(103))
