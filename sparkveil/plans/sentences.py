@@ -101,7 +101,35 @@ TEMPLATES: list[list[str | Value]] = [
         Value("NOMBRE_PERSONA", "concat('Milagros', '')", "'Persona_01'", "baja"), ", ", Value("SALARIO", "concat('$ ', 200000 + k % 700000)", _band("200000 + k % 700000"), "baja"), ", ",
         Value("EMAIL", "concat('m', k, '@mail.example.com')", "'***@mail.example.com'"),
     ],
+    # Where a word before or behind, a digit or a name forbids what the shape allows.
     ["factura 12345678 por un total de ", "12345678 pesos, modelo AB123CD y versión 1.2.3.4"],
+    ["el remito 4111111111111111 no se paga"],
+    ["tarjeta 4111111111111112 sin dígito válido"],
+    ["CUIT 20-12345678-9 mal escrito"],
+    ["CBU 2850590940090418135202 con error"],
+    ["versión 10.0.0.254 publicada"],
+    ["son 12.345.678 unidades y presenta 23456789 pesos"],
+    ["expediente 12345678 del año 2024"],
+    ["la reunión es el 3 de mayo de 2024 o el 15/08/2025"],
+    ["nacido el 45/13/1785 según dice"],
+    ["el código AAB123456 no existe"],
+    ["el pedido 11 4321-8765 sale hoy"],
+    ["tel 4321 interno"],
+    ["total de $ 950.000 con impuestos"],
+    ["sueldo 2025 en discusión"],
+    ["gana 1500 empleados por año"],
+    ["hace 34 años que existe y la edad: 240"],
+    ["por Avenida Libertador sin número"],
+    ["la sociedad SA cerró"],
+    ["password = changeme"],
+    ["no usa alias conocido hoy"],
+    ["https://host/a@b sin correo"],
+    ["Afiliación sindical: no consta"],
+    ["Milagros que pasan en diciembre"],
+    ["la calle San Martín y la plaza Santa Rosa"],
+    ["soy contador, no soy de acá"],
+    ["viene desde Rosario hasta Mercedes"],
+    ["el colegio Ricardo abre"],
 ]
 
 

@@ -43,6 +43,17 @@ MORE = [
     "religión: ninguna",
     "api_key=[[CREDENCIAL|Zx81kq99]]",
     "token: xxxx",
+    "llamar al [[TELEFONO|11 4567-8901]] 2 veces o al [[TELEFONO|+54 9 (351) 455-6677]].",
+    "[[NOMBRE_PERSONA|Juan]] vive en [[DIRECCION|Calle San Martín 455]] o cerca",
+    "interno +54 (0351) 15 455-6677 88 es demasiado largo",
+    "tel [[TELEFONO|4567-8901]] y cel [[TELEFONO|4567 8902]]",
+    "remuneración: [[SALARIO|2.300.000 pesos]] o [[SALARIO|USD 2.500,50]]",
+    "sueldo de 1.23.456 mal escrito",
+    "vive en [[DIRECCION|Pje. de los Andes N° 12]] y [[DIRECCION|Calle 9 de Julio 455]].",
+    "Avenida larga y sin nombres 455",
+    "para la empresa [[RAZON_SOCIAL|Hijos de Pedro e Hijas S. A.]] y para [[RAZON_SOCIAL|Uno Dos Tres Cuatro Cinco SRL]]",
+    "nació el [[FECHA_NACIMIENTO|01-02-1999]] o el [[FECHA_NACIMIENTO|1 de Febrero del 1999]]",
+    "presenta [[DNI|23.456.789]] y 2.34.567.89 y 23456789,50",
 ]
 
 UNSEEN = [
