@@ -34,7 +34,7 @@ from .common import drop_materialized, materialize
 
 LEAST, LONGEST, COVER, TOP, SCALE, UNKNOWN = 100, 5, 100, 2000, 1000, "und"
 #: Words that a task counts at once, and the most bits of a filter.
-CHUNK, FILTER_BITS = 1 << 20, 1 << 27
+CHUNK, FILTER_BITS = 1 << 19, 1 << 27
 #: Windows of a range, every how many'th window of a run is a sample, and the most samples and ranges that there are.
 RANGE, SAMPLED, MOST_SAMPLES, MOST_RANGES = 100_000, 1000, 200_000, 100_000
 #: What ends a piece of text.
