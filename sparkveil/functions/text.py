@@ -35,7 +35,8 @@ MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 def strip_accents(s: Column) -> Column:
     """Precomposed letters become their base letter; lengths and offsets stay."""
-    return F.translate(s, *_accents())
+    plain = F.length(s) == F.octet_length(s)  # translating goes letter by letter
+    return F.when(plain, s).otherwise(F.translate(s, *_accents()))
 
 
 def fold(s: Column) -> Column:

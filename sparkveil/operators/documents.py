@@ -24,7 +24,7 @@ from . import words as W
 from .headers import HEADER_ONLY, header_hint
 from .pseudonyms import assign
 from .scan import scan, spread
-from .spans import find_terms, merge_spans, replace_spans
+from .spans import find_listed, find_terms, merge_spans, replace_spans
 from .values import looks_like_person
 
 NOT_NUMERIC = ("NOMBRE_PERSONA", "RAZON_SOCIAL", "DIRECCION", "DATO_SENSIBLE")
@@ -59,8 +59,8 @@ def term_spans(texts: DataFrame, terms: DataFrame, keys: list[str], scope: list[
     """Dictionary search as a join: (keys..., sv_terms) of the rows that may hold a term (value, type, ord; scope... if any).
 
     Each term is filed under its word that fewest terms share; a text's distinct words meet the terms filed under them,
-    and only these are searched in it. Up to ``FEW_TERMS`` terms without a scope travel to the texts as one map, which
-    shuffles nothing. Otherwise words that no term is filed under are left out by a bitmap of fixed size before the
+    and only these are searched in it. Up to ``FEW_TERMS`` terms without a scope are one expression, which shuffles nothing and
+    reads a text once. Otherwise words that no term is filed under are left out by a bitmap of fixed size before the
     others are shuffled, and so is a text that holds none.
     """
     needle = terms.select(*scope, "value", "type", "ord", folded_term(F.col("value")).alias("needle")).where(F.length("needle") >= 2)
@@ -70,12 +70,10 @@ def term_spans(texts: DataFrame, terms: DataFrame, keys: list[str], scope: list[
     first = materialize(first)
     words_of = lambda c: F.array_distinct(F.split(F.lower(strip_accents(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+"))
     if not scope and first.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-        one = first.agg(F.collect_list(F.struct("ord", "value", "type", "word")).alias("sv_filed"))  # one row, of a checked size
-        held = spread(texts.select(*keys, F.col(text).alias("sv_text"))).crossJoin(F.broadcast(one)).withColumn("sv_words", words_of(F.col("sv_text")))
-        mine = F.filter("sv_filed", lambda t: F.array_contains("sv_words", t["word"]))
-        some = F.array_sort(F.transform(mine, lambda t: F.struct(t["ord"].alias("ord"), t["value"].alias("value"), t["type"].alias("type"))))
-        held = held.where(F.arrays_overlap("sv_words", F.transform("sv_filed", lambda t: t["word"])))
-        return held.select(*keys, find_terms(F.col("sv_text"), some).alias("sv_terms"))
+        in_order = needle.select("ord", "needle", "type").orderBy("ord", "needle", "type").collect()  # of a checked number
+        listed = [(k, r["needle"], r["type"]) for k, r in enumerate(in_order)]
+        found = spread(texts.select(*keys, F.col(text).alias("sv_text"))).select(*keys, find_listed(F.col("sv_text"), listed).alias("sv_terms"))
+        return found.where(F.size("sv_terms") > 0)
     carried = list(dict.fromkeys([*keys, *scope]))
     tokens = among(texts.select(*carried, F.explode(words_of(F.col(text))).alias("word")), first, "word")
     met = materialize(tokens.join(first, [*scope, "word"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "value", "type"))).alias("sv_some")))

@@ -7,10 +7,13 @@ no match costs one pass of the expression.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKS, let, strip_accents
+from ..functions.text import MARKS, fold_text, let, strip_accents
 from ..types import SPANS
 
 OPEN, CLOSE = "\x01", "\x02"
@@ -20,7 +23,8 @@ LOOK_BACK = 40
 
 def clean(text: Column) -> Column:
     """``text`` without the two control characters; offsets stay."""
-    return F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
+    marked = text.contains(OPEN) | text.contains(CLOSE)  # translating goes letter by letter, and next to no text needs it
+    return F.coalesce(F.when(marked, F.translate(text, OPEN + CLOSE, "  ")).otherwise(text), F.lit(""))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -39,6 +43,37 @@ def matches(text: Column, pattern: str) -> Column:
     return let(parts, gather)
 
 
+#: Matches that are placed one after another; more are placed by blocks, so that arrays are copied within a block only.
+BLOCK = 128
+
+
+def many_matches(text: Column, pattern: str) -> Column:
+    """``matches`` for texts of very many: its work follows their number."""
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN, -1)
+    none = F.array().cast("array<struct<at:int,m:string>>")
+
+    def gather(p: Column) -> Column:
+        n = F.size(p) - 1
+        blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        own = lambda b: F.slice(p, b * BLOCK + 2, F.lit(BLOCK))
+        total = lambda x, size: F.aggregate(x, F.lit(0), lambda acc, v: acc + size(v))
+
+        def placed(sums: Column) -> Column:
+            def of(b: Column) -> Column:
+                def step(acc: Column, part: Column) -> Column:
+                    found = F.struct(acc["pos"].alias("at"), F.substring_index(part, CLOSE, 1).alias("m"))
+                    return F.struct((acc["pos"] + F.length(part) - 1).alias("pos"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+                start = F.length(p[0]) + total(F.slice(sums, F.lit(1), b), lambda v: v)
+                return F.aggregate(own(b), F.struct(start.alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+
+            return F.flatten(F.transform(blocks, of))
+
+        return let(F.transform(blocks, lambda b: total(own(b), lambda v: F.length(v) - 1)), placed)
+
+    return let(parts, gather)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -80,6 +115,58 @@ def look_back(text: Column, start: Column, width: int = LOOK_BACK) -> Column:
     return F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width)))
 
 
+@lru_cache(maxsize=1)
+def _variants() -> dict[str, str]:
+    """Letter -> the characters that fold to it, by rule from the Unicode tables."""
+    out: dict[str, str] = {}
+    for code in range(0x41, 0x2000):
+        c = chr(code)
+        if c.isalpha() and len(folded := fold_text(c)) == 1:
+            out[folded] = out.get(folded, "") + c
+    return out
+
+
+def _lettered(needles: Iterable[str]) -> str:
+    """An expression for any of the folded needles, however they are accented and written, that looks at each letter once;
+    the longest needle wins."""
+    heads: dict[str, list[str]] = {}
+    for n in needles:
+        if n:
+            heads.setdefault(n[0], []).append(n[1:])
+    one = lambda c: f"[{v}]" if len(v := _variants().get(c, c)) > 1 else "\\" + c if c.isascii() and not c.isalnum() else c
+    some = "|".join(one(c) + _lettered(rest) for c, rest in sorted(heads.items()))
+    return "" if not heads else f"(?:{some}|)" if "" in needles else f"(?:{some})" if len(heads) > 1 else some
+
+
+def layers(needles: list[str]) -> list[list[str]]:
+    """The needles dealt into few lists in which none can overlap another one or itself."""
+
+    def meet(a: str, b: str) -> bool:
+        """Whether ``b`` may begin inside of ``a``."""
+        return any(b.startswith(a[k : k + len(b)]) for k in range(1, len(a))) or a != b and (b in a or a in b)
+
+    out: list[list[str]] = []
+    for n in needles:
+        home = next((x for x in out if not any(meet(n, o) or meet(o, n) for o in x)), None)
+        home.append(n) if home is not None else out.append([n])
+    return out
+
+
+def find_listed(text: Column, terms: list[tuple[int, str, str]]) -> Column:
+    """Whole-word occurrences of a short list of terms (ord, needle, type; needles are folded), by ``ord`` and place. A text is
+    read once for each layer of needles, mostly once, whatever their number; nothing but the matches is folded."""
+    listed = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(n).alias("needle"), F.lit(t).alias("type")) for o, n, t in terms])
+    edge = r"[\p{L}\p{N}]"
+
+    def spans(x: Column) -> Column:
+        folded = F.lower(F.translate(strip_accents(x["m"]), MARKS, ""))
+        span = lambda t: F.struct(t["type"].alias("type"), x["at"].alias("start"), (x["at"] + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.lit("alta").alias("confidence"), F.lit("termino").alias("source"))
+        return F.transform(F.filter(listed, lambda t: t["needle"] == folded), lambda t: F.struct(t["ord"].alias("ord"), x["at"].alias("at"), span(t).alias("s")))
+
+    hits = [F.flatten(F.transform(many_matches(clean(text), f"(?<!{edge})(?:{_lettered(some)})(?!{edge})"), spans)) for some in layers(sorted({n for _, n, _ in terms}))]
+    return F.transform(F.array_sort(F.concat(*hits)), lambda h: h["s"]).cast(SPANS) if hits else F.array().cast(SPANS)
+
+
 def find_terms(text: Column, terms: Column) -> Column:
     """Whole-word occurrences of ``terms`` (array<struct<value,type>>) whatever the case and accents, term by term."""
 

@@ -1,6 +1,7 @@
 """Pseudonyms, documents, dictionary search, restoring, tables and models."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from sparkveil.operators import model as M
 from sparkveil.operators import table as T
 from sparkveil.operators.pseudonyms import assign, number_rows
 from sparkveil.operators.restore import restore
-from sparkveil.operators.spans import find_terms
+from sparkveil.operators.spans import find_terms, layers
 from sparkveil.streaming.state import Registry
 
 
@@ -178,3 +179,31 @@ def test_rules_and_model_are_combined(spark):
     df = spark.createDataFrame(rows, f"id int, a {span}, b {span}")
     got = {r.id: [(s.value, s.source) for s in r.x] for r in df.select("id", M.combine_spans(F.lit(""), F.col("a"), F.col("b")).alias("x")).collect()}
     assert got == {1: [("María Laura Gómez", "ia")], 2: [("12345678", "r")], 3: []}
+
+
+def test_listed_terms_equal_terms_one_by_one(spark):
+    rng = random.Random(3)
+    pieces = ["Ana", "ÁNA", "ana gómez", "Gómez", "gomez paz", "paz", "a", "a a", "x-1", "(x)", "ñandú", "Straße", " ", ".", "\n", "banana", "1", "ba"]
+    texts = [(k, "".join(rng.choice(pieces) + rng.choice(["", " ", "  ", ","]) for _ in range(rng.randint(0, 30)))) for k in range(200)] + [(900, None), (901, ""), (902, "\x01ana\x02 ana")]
+    values = ["Ana", "ana gomez", "GÓMEZ", "Gómez Paz", "x-1", "(x)", "ñandu", "paz", "straße", "z", " "]
+    terms = [(v, "NOMBRE_PERSONA" if k % 2 else "DIRECCION", k) for k, v in enumerate(values)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    listed = spark.createDataFrame([*terms, ("ana", "DNI", 50)], "value string, type string, ord long")
+    array = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(t).alias("type")) for v, t, _ in [*terms, ("ana", "DNI", 50)]])
+    want = {r.id: [tuple(s) for s in r.x] for r in df.select("id", find_terms(F.col("text"), array).alias("x")).collect() if r.x}
+    got = {r.id: [tuple(s) for s in r.sv_terms] for r in D.term_spans(df, listed, ["id"]).collect()}
+    assert got == want and sum(map(len, got.values())) > 300
+
+
+def test_very_many_matches_of_a_term(spark):
+    text = "uno Dós, tres " * 100_000
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    terms = spark.createDataFrame([("dos", "DNI", 0), ("tres", "DNI", 1)], "value string, type string, ord long")
+    began = time.time()
+    row = D.term_spans(df, terms, ["id"]).select(F.size("sv_terms").alias("n"), F.aggregate("sv_terms", F.lit(0).cast("long"), lambda a, s: a + s["start"]).alias("sum")).first()
+    assert row["n"] == 200_000 and row["sum"] == sum(14 * k + 4 + 14 * k + 9 for k in range(100_000)) and time.time() - began < 60
+
+
+def test_needles_that_overlap_are_in_layers_of_their_own():
+    assert layers(["ana", "ana gomez", "paz"]) == [["ana", "paz"], ["ana gomez"]]
+    assert layers(["a b", "b c"]) == [["a b"], ["b c"]] and layers(["x", "y"]) == [["x", "y"]]
