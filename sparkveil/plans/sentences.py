@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.validators import ACCOUNT_WEIGHTS, CUIT_WEIGHTS
 from ..operators import documents as D
-from ..operators.scan import scan
+from ..operators.scan import scan, spread
 from ..storage import materialize
 from .base import Query, register, table
 
@@ -169,7 +169,8 @@ def _protected_sql() -> str:
 @register(SENTENCES, _found_sql())
 def scan_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """What the scanner finds: every rule, with places and confidence."""
-    found = scan(sentences(spark, sf)).select("doc_id", F.explode("spans").alias("s"))
+    # written once: Spark infers a filter of rows with spans, and would push all of the scanner into it
+    found = materialize(scan(spread(sentences(spark, sf))).select("doc_id", "spans")).select("doc_id", F.explode("spans").alias("s"))
     return found.select("doc_id", *[F.col(f"s.{c}").alias(c) for c in ("type", "start", "value", "confidence")])
 
 
