@@ -3,7 +3,8 @@
 A change is a signed row: an insert adds a document's count, a delete takes it back, a revised count does both. A batch
 of changes is summed by source, language and tokenizer version and committed as one folder of deltas under its number.
 Committing a number again does nothing once its folder is complete, and replaces what an interrupted attempt left, so
-batches may be retried. Totals add up what is committed; ``compact`` folds it into one base.
+batches may be retried. Totals add up what is committed; ``compact`` folds it into one base, which knows its batches by
+number, so that one that comes late still counts.
 
 Defined cases: null sources and languages are groups of their own; a null or empty text counts 0 tokens and 1 document;
 repeated rows count each; a delete of what was never inserted makes a negative count; empty batches commit as empty;
@@ -75,18 +76,25 @@ class Rollup:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))]
         return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=") and self._fs.exists(self._at(f"{self.path}/{n}/_SUCCESS")))
 
+    def _base(self) -> tuple[int | None, set[int]]:
+        """The last base, and the numbers of the batches that it holds."""
+        bases = self._done("base")
+        if not bases:
+            return None, set()
+        return bases[-1], {r["number"] for r in self.spark.read.schema("number long").parquet(f"{self.path}/held={bases[-1]}").collect()}
+
     def commit(self, number: int, changes: DataFrame) -> bool:
-        """False if that batch is committed already."""
-        if number in self._done("batch") or any(number <= b for b in self._done("base")):
+        """False if that batch is committed already, by itself or within a base. A batch that comes after a base of later
+        numbers was made counts like any other."""
+        if number in self._base()[1] or number in self._done("batch"):
             return False
         deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
         return True
 
     def _parts(self, upto: int | None = None) -> list[str]:
-        bases = self._done("base")
-        base = bases[-1] if bases else None
+        base, held = self._base()
         found = [f"{self.path}/base={base}"] if base is not None else []
-        return found + [f"{self.path}/batch={b}" for b in self._done("batch") if (base is None or b > base) and (upto is None or b <= upto)]
+        return found + [f"{self.path}/batch={b}" for b in self._done("batch") if b not in held and (upto is None or b <= upto)]
 
     def _sum(self, parts: list[str]) -> DataFrame:
         if not parts:
@@ -98,9 +106,28 @@ class Rollup:
         return self._sum(self._parts())
 
     def compact(self, upto: int) -> None:
-        """One base of all batches to ``upto``, which must all be committed: a later batch of such a number is refused."""
-        self._sum(self._parts(upto)).write.mode("overwrite").parquet(f"{self.path}/base={upto}")
+        """One base of the batches that are committed so far, to the number ``upto``. The base says which these are before it
+        counts as complete, so an interrupted attempt changes nothing."""
+        base, held = self._base()
+        now = 0 if base is None else base + 1
+        numbers = sorted(held | {b for b in self._done("batch") if b <= upto})
+        self.spark.createDataFrame([(n,) for n in numbers], "number long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/held={now}")
+        self._sum(self._parts(upto)).write.mode("overwrite").parquet(f"{self.path}/base={now}")
+
+    def vacuum(self) -> None:
+        """Delete what the last base replaces: batches that it holds and earlier bases. Totals read before may need them."""
+        base, held = self._base()
+        gone = [f"batch={b}" for b in self._done("batch") if b in held] + [f"{k}={b}" for b in self._done("base") if base is not None and b < base for k in ("base", "held")]
+        for name in gone:
+            self._fs.delete(self._at(f"{self.path}/{name}"), True)
 
 
 def part_of(key: Column, parts: int) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
+
+
+ORACLE_WORDS = r"""
+SELECT source, coalesce(lang, 'und') AS lang, 'words/1' AS version, count(*)::BIGINT AS n_docs,
+       sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens
+FROM documents GROUP BY ALL
+"""

@@ -205,10 +205,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int
     """Languages and the probabilities (pieces + 1, languages). What reaches the driver is bounded by vocabulary times
     languages."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = known.count()
-    if n > max_docs:
-        known = known.where(F.pmod(F.xxhash64(F.lit(13), F.col(text)), F.lit(n)) < max_docs)
-    known = known.select(lang, text).distinct()
+    # The bound is shared by the languages: a rare one is learned from all its texts. A text counts once, however often it is there.
+    texts = [(r[0], r[1]) for r in known.groupBy(F.col(lang)).agg(F.approx_count_distinct(F.xxhash64(text)).alias("n")).orderBy("n", lang).collect()]
+    share, left = {}, max_docs
+    for k, (name, n) in enumerate(texts):
+        share[name] = min(1.0, left / (len(texts) - k) / max(n, 1))
+        left -= min(n, left // (len(texts) - k))
+    parts = known.sparkSession.createDataFrame([(name, int(x * (1 << 30))) for name, x in share.items()], "sv_lang string, sv_part long")
+    drawn = F.pmod(F.xxhash64(F.lit(13), F.col(text)), F.lit(1 << 30)) < F.col("sv_part")
+    known = known.select(F.col(lang), F.col(text)).join(parts, F.col(lang) == F.col("sv_lang")).where(drawn).select(lang, text).distinct()
     counts = materialize(known.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     lat = lattice(path)

@@ -1,6 +1,6 @@
 """Packing texts into training sequences: vector bin packing with the dot-product heuristic.
 
-A text of more than one sequence gives full pieces; its rest is an item with three demands: tokens, one segment, and
+A text of more than one sequence gives full pieces, as far as the limit of loss-bearing tokens allows; its rest is an item with three demands: tokens, one segment, and
 loss-bearing tokens. Items are dealt into buckets by a hash of their key, a bounded number to each; in a bucket the
 open sequence takes the item that fits and whose demand has the largest dot product with the room that is left,
 weighed by each resource's share of all demand. When no item fits, the largest is cut to fill the room.
@@ -73,7 +73,9 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits = Limits()) -> li
     return out
 
 
-def _encode(end_id: int, size: int, name: str, path: str | None):
+def _encode(end_id: int, limits: Limits, name: str, path: str | None):
+    size = limits.tokens
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(name, path)
         for batch in batches:
@@ -82,9 +84,11 @@ def _encode(end_id: int, size: int, name: str, path: str | None):
                 counts, crcs, rests, losses = [], [], [], []
                 for text, loss in zip(part.column(2), part.column(3), strict=True):
                     ids = np.append(tok.encode(text.as_py()), np.uint32(end_id)).astype("<u4", copy=False)
-                    full = len(ids) // size
+                    bears = len(ids) if loss.as_py() is None else max(0, min(loss.as_py(), len(ids)))
+                    # a full piece of tokens that bear loss must not exceed that limit; ``place`` cuts what would
+                    full = (len(ids) if limits.loss >= size else len(ids) - bears) // size
                     counts.append(len(ids))
-                    losses.append(len(ids) if loss.as_py() is None else max(0, min(loss.as_py(), len(ids))))
+                    losses.append(bears)
                     crcs.append([zlib.crc32(ids[k * size : (k + 1) * size].tobytes()) for k in range(full)])
                     rest = ids[full * size :]
                     rests.append((rest.astype("<u2") if tok.size <= 1 << 16 else rest).tobytes())
@@ -124,12 +128,12 @@ def pack(
 ) -> DataFrame:
     """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_length (tokens of the piece that bear
     loss). ``loss`` names a column with the number of a text's last tokens, the end mark included, that bear loss: in
-    instruction data those of the answer. Tokens travel as two bytes each, full pieces only as their checksum. Full pieces
-    of a long text hold a whole sequence, so ``limits.loss`` below ``limits.tokens`` is for texts of one sequence or less."""
+    instruction data those of the answer. Tokens travel as two bytes each, full pieces only as their checksum. Every
+    sequence keeps all three limits, whatever a text's length."""
     kind = docs.schema[key].dataType.simpleString()
     buckets = max(1, -(-docs.count() // BUCKET_ITEMS))
     bearing = F.col(loss).cast("long") if loss else F.lit(None).cast("long")
     dealt = docs.select(F.pmod(F.xxhash64(F.col(key), F.xxhash64(F.col(text))), F.lit(buckets)).alias("bucket"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"), bearing.alias("loss"))
-    items = dealt.mapInArrow(_encode(end_id, limits.tokens, name, path), f"bucket long, key {kind}, n long, crcs array<long>, rest binary, loss long")
+    items = dealt.mapInArrow(_encode(end_id, limits, name, path), f"bucket long, key {kind}, n long, crcs array<long>, rest binary, loss long")
     wide = word_tokenizer(name, path).size > 1 << 16
     return items.groupBy("bucket").applyInArrow(_pack(limits, wide), f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_length long")

@@ -67,6 +67,11 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll.totals()
 
 
+def rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of op9 for the version that counts words."""
+    return op9_token_rollup(spark, sf_dir).where("version = 'words/1'")
+
+
 def op10_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
@@ -84,6 +89,6 @@ def op13_pca_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_prefix_forest, op3_vector_packing, op4_hash_mix, op5_quality_rules, op6_segment_lines, op7_chat_format, op8_langid_marginal, op9_token_rollup, op10_suffix_buckets, op11_signature_trees, op12_prefix_growth, op13_pca_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_prefix_forest, op3_vector_packing, op4_hash_mix, op5_quality_rules, op6_segment_lines, op7_chat_format, op8_langid_marginal, op9_token_rollup, rollup_words, op10_suffix_buckets, op11_signature_trees, op12_prefix_growth, op13_pca_negatives)}
 
-ORACLE_SQL: dict[str, str] = {"op4_hash_mix": mixing.ORACLE_OP4, "op5_quality_rules": quality.ORACLE_OP5, "op7_chat_format": chat.ORACLE_OP7, "op11_signature_trees": sigtree.ORACLE_OP11, "op12_prefix_growth": phrases.ORACLE_OP12, "op13_pca_negatives": negatives.ORACLE_OP13}
+ORACLE_SQL: dict[str, str] = {"op4_hash_mix": mixing.ORACLE_OP4, "op5_quality_rules": quality.ORACLE_OP5, "op7_chat_format": chat.ORACLE_OP7, "rollup_words": counts.ORACLE_WORDS, "op11_signature_trees": sigtree.ORACLE_OP11, "op12_prefix_growth": phrases.ORACLE_OP12, "op13_pca_negatives": negatives.ORACLE_OP13}

@@ -103,3 +103,39 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     roll.compact(4)
     assert sum(v[0] for v in totals().values()) == sum(1 for r in every if r.key >= 10)
     assert roll.commit(5, counts.inserts(counted.limit(0)))
+
+
+def test_a_batch_that_comes_after_its_base_counts(spark, tmp_path):
+    roll = counts.Rollup(spark, str(tmp_path / "roll"))
+    batch = lambda n: counts.inserts(spark.createDataFrame([("s", "en", "v", n)], "source string, lang string, version string, n_tokens long"))
+    tokens = lambda: roll.totals().first()["n_tokens"]
+    assert roll.commit(0, batch(5)) and roll.commit(2, batch(7))
+    roll.compact(2)
+    assert roll.commit(1, batch(100)) and tokens() == 112
+    assert not roll.commit(1, batch(100)) and not roll.commit(0, batch(1)) and not roll.commit(2, batch(1)) and tokens() == 112
+    roll.compact(9)
+    roll.vacuum()
+    assert tokens() == 112 and not roll.commit(1, batch(100)) and sorted(p.name for p in (tmp_path / "roll").iterdir()) == ["base=1", "held=1"]
+    assert roll.commit(9, batch(1)) and tokens() == 113
+    roll.compact(3)
+    assert tokens() == 113 and roll.commit(4, batch(1)) and tokens() == 114
+
+
+def test_words_rollup_equals_sql(spark):
+    import duckdb
+
+    from sparkveil.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = registry.QUERIES["rollup_words"](spark, sf).select("source", "lang", "version", "n_docs", "n_tokens").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(counts.ORACLE_WORDS).fetchall(), key=str)
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(6)
+    rows = [(text(rng, "aa", 4), "aa") for _ in range(3000)] + [(text(rng, "bb", 12), "bb") for _ in range(3)] + [("one common text", "aa")] * 3000
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    langs, probs = langid.train(docs, max_docs=60, rounds=1)
+    assert langs == ["aa", "bb"] and probs.shape[1] == 2

@@ -89,5 +89,23 @@ def test_instruction_data_under_three_limits(spark, tok):
             assert sum(r.length for r in own) == n and sum(r.loss_length for r in own) == loss
 
 
+def test_a_text_longer_than_a_sequence_keeps_the_limit_of_loss(spark, tok):
+    rows = [(1, "tell " * 9000, None), (2, "ask " * 5000 + "tell " * 3000, 3001), (3, "ask " * 9000, 0), (4, "tell", 1), (5, "ask " * 300, 5)]
+    docs = spark.createDataFrame([(k, t.strip(), n) for k, t, n in rows], "doc_id long, text string, answer long")
+    limits = packing.Limits(4096, 1024, 1024)
+    got = packing.pack(docs, limits=limits, loss="answer").collect()
+    use = {}
+    for r in got:
+        n = use.setdefault(r.sequence_id, [0, 0, 0])
+        n[0], n[1], n[2] = n[0] + r.length, n[1] + 1, n[2] + r.loss_length
+    assert all(n[0] <= 4096 and n[1] <= 1024 and n[2] <= 1024 for n in use.values())
+    for k, t, n in rows:
+        ids = [*plain_ids(tok, t.strip()), 2]
+        own = sorted((r for r in got if r.key == k), key=lambda r: r.start)
+        assert [r.start for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))] and sum(r.length for r in own) == len(ids)
+        assert sum(r.loss_length for r in own) == (len(ids) if n is None else n)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own)
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
