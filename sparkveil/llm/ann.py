@@ -5,12 +5,15 @@ descends to the longest prefix it shares with entries of each tree, then all tre
 until the entries below the common prefix number ``candidates`` over all trees, or ``SHARE`` for each distinct vector if
 that is more, so that the searched part doesn't shrink as a table grows. Of these entries, in each tree, those whose whole
 strings (the tree's and those of the next two) differ from the query's in fewest bits are scored exactly: ``SCORED`` of the
-distinct vectors over all trees at most (or 8 for each neighbour asked for, in a tree, if that is more). The best of all
-trees are merged. The forest's roots are the prefixes of a few bits, so that an array is cut into shards; a shard
+distinct vectors over all trees at most (or 8 for each neighbour asked for, in a tree, if that is more). Where the strings
+can't tell entries apart, since they lie in a group that is tight as seen from the middle of all, all of them are scored.
+The best of all trees are merged. The forest's roots are the prefixes of a few bits, so that an array is cut into shards; a shard
 that is much larger than planned is cut again by a hash, and so are a shard's queries. Equal vectors are one entry, with
 its least ids. A query whose roots hold fewer entries than it is due is scored against all entries, block by block.
 
-To serve inner products, vectors get one more component that makes all norms of a band (a factor of the square root of
+Strings are made of vectors less the mean of all, which changes no order of inner products, and along that mean vectors are
+stretched, and queries shortened, to the spread of the other directions, which changes no product: queries that all lie
+around the mean then differ in their strings. To serve inner products, vectors get one more component that makes all norms of a band (a factor of the square root of
 two) equal, so that a long vector doesn't flatten the labels of the others; a query's is zero.
 
 Defined cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do rows
@@ -21,6 +24,7 @@ compared; ties go to the smaller id; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-TREES, CANDIDATES, BITS = 14, 65_536, 60
+TREES, BITS = 14, 60
+#: Entries over all trees that a query compares at least, for each neighbour asked for.
+CANDIDATES = 112
 #: Candidates over all trees for each distinct vector, at least: 9 % of the table in a tree.
 SHARE = 1.28
 #: Part of the distinct vectors that is scored for a query, over all trees, at most.
 SCORED = 0.045
+#: Bits by which distances to a query's strings vary at least (standard deviation) where strings tell entries apart: of 180
+#: bits by chance alone they vary by 6.7.
+APART = 5.0
 #: Columns of the strings that are compared.
 STRINGS = ("label", "more1", "more2")
 #: Vectors of a shard that one task handles at once, and its queries.
@@ -56,7 +65,7 @@ def _strings(bits: np.ndarray, trees: int) -> np.ndarray:
     return (packed.view(">u8")[:, :, 0] >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _labeller(trees: int, seed: int, roofs: dict[int, float]):
+def _labeller(trees: int, seed: int, roofs: dict[int, float], frames: dict[int, Frame]):
     """Entries -> their label in each tree, as data (with the rest to their band's largest squared norm) and as query."""
 
     def run(batches):
@@ -67,10 +76,10 @@ def _labeller(trees: int, seed: int, roofs: dict[int, float]):
                 part = batch.take(pa.array(rows))
                 x = np.array(part.column(1).to_pylist(), float)
                 roof = np.array([roofs[b] for b in part.column(2).to_pylist()])
-                rest = np.sqrt(np.maximum(0, roof - (x * x).sum(1)))
+                y, q = frames[int(dim)].of_data(x), frames[int(dim)].of_query(x)
+                rest = np.sqrt(np.maximum(0, roof - (y * y).sum(1)))
                 planes = _planes(int(dim), trees, seed).reshape(trees * BITS, -1)
-                flat = x @ planes[:, :-1].T
-                strings = [_strings(flat + rest[:, None] * planes[None, :, -1] > 0, trees), _strings(flat > 0, trees)]
+                strings = [_strings(y @ planes[:, :-1].T + rest[:, None] * planes[None, :, -1] > 0, trees), _strings(q @ planes[:, :-1].T > 0, trees)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.repeat(int(dim), len(rows)), pa.int32()), *(pa.array(list(s), pa.list_(pa.int64())) for s in strings)], names=["cid", "dim", "data", "query"])
 
     return run
@@ -119,7 +128,8 @@ def _searcher(best: int, scored: int):
                 near = np.arange(a, b)
                 if b - a > scored and not whole[k]:
                     apart = sum(np.bitwise_count(m[a:b] ^ q_[k]) for m, q_ in zip(mine, asked, strict=True))
-                    near = a + np.argpartition(apart, scored - 1)[:scored]
+                    if apart.std() >= APART:
+                        near = a + np.argpartition(apart, scored - 1)[:scored]
                 scores = x[near] @ q[k]
                 top = np.arange(len(near))
                 if len(near) > best:
@@ -134,7 +144,77 @@ def _searcher(best: int, scored: int):
     return run
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, candidates: int = CANDIDATES, scored: float = SCORED, seed: int = 7) -> DataFrame:
+def _sums(batches):
+    """Vectors -> (dim, k, s, n): the sum of each component by vector length."""
+    sums: dict[int, tuple[np.ndarray, int]] = {}
+    for batch in batches:
+        sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes).tolist():
+            x = batch.column(0).filter(pa.array(sizes == dim)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            s, n = sums.get(dim, (0.0, 0))
+            sums[dim] = (s + x.sum(0), n + len(x))
+    for dim, (s, n) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(dim, dim, np.int32)), pa.array(np.arange(dim, dtype=np.int32)), pa.array(s), pa.array(np.full(dim, n, np.int64))], names=["dim", "k", "s", "n"])
+
+
+def means_of(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Vector length -> mean, zero where it is beyond numbers; ``vectors`` has one column, of arrays."""
+    out: dict[int, list] = {}
+    for r in vectors.mapInArrow(_sums, "dim int, k int, s double, n long").groupBy("dim", "k").agg((F.sum("s") / F.sum("n")).alias("m")).orderBy("dim", "k").collect():
+        out.setdefault(r["dim"], []).append(r["m"])
+    return {dim: np.nan_to_num(np.array(m), nan=0.0, posinf=0.0, neginf=0.0) for dim, m in out.items()}
+
+
+@dataclass
+class Frame:
+    """The mean of vectors of one length, its direction, and by how much vectors are stretched along it."""
+
+    mean: np.ndarray
+    along: np.ndarray
+    stretch: float = 1.0
+
+    def of_data(self, x: np.ndarray) -> np.ndarray:
+        y = x - self.mean
+        return y + (self.stretch - 1) * np.outer(y @ self.along, self.along)
+
+    def of_query(self, x: np.ndarray) -> np.ndarray:
+        return x + (1 / self.stretch - 1) * np.outer(x @ self.along, self.along)
+
+    def norm2(self, v: Column) -> Column:
+        """Of a vector's ``of_data``."""
+        y = F.zip_with(v, F.array(*map(F.lit, self.mean.tolist())), lambda x, c: x - c)
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+        side = total(F.zip_with(y, F.array(*map(F.lit, self.along.tolist())), lambda x, c: x * c))
+        return total(F.transform(y, lambda x: x * x)) + (self.stretch**2 - 1) * side * side
+
+
+def frames_of(vectors: DataFrame) -> dict[int, Frame]:
+    """By vector length; ``vectors`` has one column, of arrays."""
+    out = {}
+    for dim, mean in means_of(vectors).items():
+        size = float(np.sqrt((mean * mean).sum()))
+        out[dim] = Frame(mean, mean / size if 0 < size < np.inf else np.zeros(dim))
+    for r in vectors.mapInArrow(_spreads(out), "dim int, side double, whole double").groupBy("dim").agg(F.sum("side").alias("side"), F.sum("whole").alias("whole")).collect():
+        rest = (r["whole"] - r["side"]) / max(1, r["dim"] - 1)
+        if r["side"] > 0 and 0 < rest < np.inf:
+            out[r["dim"]].stretch = float(np.clip(np.sqrt(rest / r["side"]), 1e-3, 1e3))
+    return out
+
+
+def _spreads(frames: dict[int, Frame]):
+    """Vectors -> (dim, side, whole): squares along the mean, and of all."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes).tolist():
+                y = batch.column(0).filter(pa.array(sizes == dim)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) - frames[dim].mean
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([float(((y @ frames[dim].along) ** 2).sum())]), pa.array([float((y * y).sum())])], names=["dim", "side", "whole"])
+
+    return run
+
+
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, candidates: int | None = None, scored: float = SCORED, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query row's ``k`` nearest other rows."""
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), is_query.alias("asks"), F.col(vector).cast("array<double>").alias("v")).where(_valid(F.col("v")))
     rows = rows.withColumn("cid", F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "v"))))
@@ -143,17 +223,19 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     ranked = rows.select("cid", "id", F.row_number().over(W.partitionBy("cid").orderBy("id")).alias("r")).where(F.col("r") <= k + 1)
     members = ranked.groupBy("cid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = rows.groupBy("cid").agg(F.first("v").alias("v"), F.max("asks").alias("asks"))
-    entries = entries.join(members, "cid").withColumn("least", F.col("ids")[0]).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    entries = materialize(entries.join(members, "cid").withColumn("least", F.col("ids")[0]))
+    frames = frames_of(entries.select("v"))
+    entries = entries.withColumn("norm2", F.coalesce(*[F.when(F.size("v") == d, f.norm2(F.col("v"))) for d, f in frames.items()], F.lit(0.0)))
     entries = materialize(entries.withColumn("band", F.coalesce(F.floor(F.log2("norm2")), F.lit(-(1 << 11))).cast("int")))
     bands = entries.groupBy("band").agg(F.count("*").alias("n"), F.max("norm2").alias("roof")).collect()  # some 2,000 at most
     n, roofs = sum(b["n"] for b in bands), {b["band"]: b["roof"] for b in bands}
     # A tree holds an entry once, so trees * (k + 1) candidates are k and the query itself at least.
-    candidates = max(candidates, math.ceil(SHARE * n), trees * (k + 1))
+    candidates = max(CANDIDATES * (k + 1) if candidates is None else candidates, math.ceil(SHARE * n), trees * (k + 1))
     root = max(0, min(BITS - 1, int(math.log2(max(1, trees * n / candidates))) - 1))
 
     per_tree = max(8 * (k + 1), math.ceil(scored * n / trees))
 
-    labelled = entries.select("cid", "v", "band").mapInArrow(_labeller(trees, seed, roofs), "cid string, dim int, data array<long>, query array<long>")
+    labelled = entries.select("cid", "v", "band").mapInArrow(_labeller(trees, seed, roofs, frames), "cid string, dim int, data array<long>, query array<long>")
     after = lambda c, n: F.concat(F.slice(c, n % trees + 1, trees), F.slice(c, 1, n % trees)).alias(f"{c}{n}")
     zipped = F.posexplode(F.arrays_zip("data", "query", *(after(c, n) for c in ("data", "query") for n in (1, 2)))).alias("tree", "l")
     labels = materialize(labelled.select("cid", "dim", zipped).select("cid", "dim", "tree", "l.*"))
