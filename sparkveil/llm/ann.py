@@ -194,22 +194,27 @@ def frames_of(vectors: DataFrame) -> dict[int, Frame]:
     for dim, mean in means_of(vectors).items():
         size = float(np.sqrt((mean * mean).sum()))
         out[dim] = Frame(mean, mean / size if 0 < size < np.inf else np.zeros(dim))
-    for r in vectors.mapInArrow(_spreads(out), "dim int, side double, whole double").groupBy("dim").agg(F.sum("side").alias("side"), F.sum("whole").alias("whole")).collect():
-        rest = (r["whole"] - r["side"]) / max(1, r["dim"] - 1)
-        if r["side"] > 0 and 0 < rest < np.inf:
-            out[r["dim"]].stretch = float(np.clip(np.sqrt(rest / r["side"]), 1e-3, 1e3))
+    # By quartiles, which few vectors far off don't move.
+    quarter = F.percentile_approx("side", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000).alias("side")
+    for r in vectors.mapInArrow(_spreads(out), "dim int, side double, rest double").groupBy("dim").agg(quarter, F.percentile_approx("rest", 0.5, 1000).alias("rest")).collect():
+        low, middle, high = r["side"]
+        if np.isfinite(middle) and low < high and 0 < r["rest"] < np.inf:
+            frame = out[r["dim"]]
+            frame.mean = frame.mean + middle * frame.along
+            frame.stretch = float(np.clip(np.sqrt(r["rest"]) * 1.349 / (high - low), 1e-3, 1e3))  # of a normal spread
     return out
 
 
 def _spreads(frames: dict[int, Frame]):
-    """Vectors -> (dim, side, whole): squares along the mean, and of all."""
+    """Vectors -> (dim, side, rest): the component along the mean, and the mean square of the other directions."""
 
     def run(batches):
         for batch in batches:
             sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes).tolist():
                 y = batch.column(0).filter(pa.array(sizes == dim)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) - frames[dim].mean
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([float(((y @ frames[dim].along) ** 2).sum())]), pa.array([float((y * y).sum())])], names=["dim", "side", "whole"])
+                side = y @ frames[dim].along
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), dim, np.int32)), pa.array(side), pa.array(((y * y).sum(1) - side**2) / max(1, dim - 1))], names=["dim", "side", "rest"])
 
     return run
 
