@@ -17,7 +17,7 @@ from ..operators.pseudonyms import assign
 from ..operators.restore import restore
 from ..operators.scan import PLACEHOLDER, SECRET_NAME, base_patterns, scan_for
 from ..operators.spans import matches
-from ..sources.readers import html_tables, json_leaves
+from ..sources.readers import html_tables, html_text, json_leaves
 from ..storage import materialize, shared_dir
 from ..types import PSEUDONYMIZE, TYPES
 from .base import Query, register, table
@@ -319,6 +319,18 @@ def html_table_cells(spark: SparkSession, sf: str) -> DataFrame:
     return html_tables(pages, "o_orderkey").select("o_orderkey", "table_id", "row_id", F.array_join("cells", "|").alias("cells"))
 
 
+@register(PROTECTION, r"""
+WITH h AS (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h, regexp_extract(html, '(?is)<a href="[^"]*">(.*?)</a>', 1) AS a FROM pages),
+t AS (SELECT page_id, unnest([h, a]) AS x, unnest([0, 1]) AS part FROM h),
+d AS (SELECT page_id, part, regexp_replace(x, '<[^>]+>', '', 'g') AS x FROM t)
+SELECT page_id, part, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM d""")
+def page_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """The headings and first links of all pages as text: tags gone, entities decoded."""
+    pages = table(spark, sf, "pages")
+    parts = [F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.regexp_extract("html", r'(?is)<a href="[^"]*">(.*?)</a>', 1)]
+    return pages.select("page_id", F.posexplode(F.array(*parts)).alias("part", "x")).select("page_id", "part", html_text(F.col("x")).alias("text"))
+
+
 @register(PROTECTION, """
 WITH n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer), p AS (SELECT c_custkey, CASE WHEN n < 10 THEN '0' ELSE '' END || n::VARCHAR AS n FROM n)
 SELECT c_custkey AS _row, 'Empresa_' || n AS Empresa, '***@x.example.com' AS Correo, 'Llamar a Empresa_' || n || ', escribir a Email_' || n || ' hoy' AS Notas FROM p""")

@@ -43,3 +43,11 @@ def test_entry_points_hold_without_the_subpackage():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_public_calls():
+    import sparkveil
+
+    assert all(callable(getattr(sparkveil, name)) for name in sparkveil.__all__) and "scan" in sparkveil.__all__
+    with pytest.raises(AttributeError):
+        sparkveil.nothing  # noqa: B018
