@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.office import read_workbooks, write_workbook_parts
 from ..sources.pdf import join_pages, pdf_pages
+from ..sources.readers import read_csv
+from ..sources.writers import write_csv
 from ..storage import materialize, shared_dir
 from .base import Query, register, table
 
@@ -28,6 +30,18 @@ def workbook_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select(F.col("key").cast("long").alias("o_orderkey"), "day", F.col("price").cast("double").alias("price"), "priority", (F.col("done") == "true").alias("done"), "code")
 
 
+@register(FILES, """
+SELECT doc_id, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, ''))::INTEGER AS n, lang FROM documents""")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as delimited files, whose texts hold line breaks, quotes and delimiters, read back by records."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    path = f"{shared_dir(spark)}/veil-{uuid.uuid4().hex}"
+    write_csv(docs.repartition(spark.sparkContext.defaultParallelism), path, ";")
+    back = read_csv(spark, path, ";")
+    text = F.coalesce("text", F.lit(""))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_md5"), F.length(text).alias("n"), "lang")
+
+
 #: Lines of a page.
 PAGE_LINES = 40
 

@@ -6,6 +6,7 @@ unpacks them inside tasks. Paths may be anything that Spark can read; the driver
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
+from .delimited import SNIFFED, delimiter_of, numbered, read_records
 from .office import read_workbooks
 from .pdf import read_pdfs
 
@@ -25,7 +27,6 @@ __all__ = ["read_pdfs", "read_workbooks"]
 
 #: Accepted extensions and the largest file, in MB. Fixed values.
 EXTENSIONS, MAX_MB = ("csv", "tsv", "xlsx", "xlsm", "ods", "json", "docx", "pdf", "txt", "md"), 50
-DELIMITERS = (",", ";", "\t", "|")
 BLANK_HEADER = "Columna {}"
 
 
@@ -62,11 +63,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that splits the first lines most evenly."""
-    lines = [r[0] for r in spark.read.text(path).limit(20).collect() if r[0].strip()]
-    counts = {d: [x.count(d) for x in lines] for d in DELIMITERS}
-    even = lambda d: (min(counts[d], default=0) > 0, counts[d].count(max(set(counts[d]), key=counts[d].count)) if counts[d] else 0, sum(counts[d]))
-    return max(DELIMITERS, key=even) if lines else ","
+    """The delimiter that splits the first records most evenly, outside of quotes."""
+    return delimiter_of([r[0] for r in spark.read.text(path).limit(SNIFFED).collect()])
 
 
 def header_names(names: list[str | None]) -> list[str]:
@@ -81,18 +79,19 @@ def header_names(names: list[str | None]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = False) -> DataFrame:
-    """A delimited file as text cells with ``_row``; rows of empty cells are left out, short rows are padded with null."""
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """A delimited file as text cells with ``_row``; blank records are left out, short ones are padded with null, cells beyond
+    the header go. Cells may hold line breaks in quotes: see ``delimited``."""
     sep = delimiter or sniff_delimiter(spark, path)
-    options = {"sep": sep, "multiLine": multiline, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False}
-    head = spark.read.options(**options).csv(path).limit(1).collect()
+    records = read_records(spark, path, sep)
+    options = {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1", "nullValue": "", "emptyValue": ""}
+    head = records.orderBy("file", "block", "n").limit(1).collect()
     if not head:
         raise ValueError(f"no rows in {path}")
-    names = header_names(list(head[0]))
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    body = spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").schema(schema).csv(path)
-    filled = F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
-    return add_row_number(body.where(filled))
+    names = header_names(next(csv.reader([head[0]["text"]], delimiter=sep)) if "\n" not in head[0]["text"] else next(csv.reader(io.StringIO(head[0]["text"], newline=""), delimiter=sep)))
+    schema = ", ".join(f"c{k} string" for k in range(len(names)))
+    body = numbered(records).select("_row", F.from_csv("text", schema, options).alias("sv_c"))
+    return body.select("_row", *[F.col(f"sv_c.c{k}").alias(n) for k, n in enumerate(names)])
 
 
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:

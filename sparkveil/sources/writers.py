@@ -21,7 +21,7 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", drop: tuple[str, .
         df = df.orderBy("_row")
     kinds = dict(df.dtypes)
     days = [F.date_format(f"`{c}`", "yyyy-MM-dd").alias(c) if kinds[c] in ("date", "timestamp") else F.col(f"`{c}`").cast("string") for c in df.columns if c not in drop]
-    df.select(*days).write.csv(path, sep=delimiter, header=True, nullValue="", emptyValue="", quote='"', escape='"')
+    df.select(*days).write.csv(path, sep=delimiter, header=True, nullValue="", emptyValue="", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def json_rows(df: DataFrame, drop: tuple[str, ...] = ("_row",)) -> DataFrame:
