@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import generate as G
 from ..sources.office import read_workbooks, write_workbook_parts
 from ..sources.pdf import join_pages, pdf_pages
 from ..sources.readers import read_csv
@@ -42,6 +43,22 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_md5"), F.length(text).alias("n"), "lang")
 
 
+def _of(names: tuple[str, ...], draw: str) -> str:
+    return f"[{', '.join(repr(n) for n in names)}][{draw} * {len(names)} // {1 << G.STATE_BITS} + 1]"
+
+
+@register(FILES, f"""
+WITH RECURSIVE r(i, x) AS (
+  SELECT 0::BIGINT, 42::BIGINT UNION ALL SELECT i + 1, (x * {G.FACTOR} + {G.ADDEND}) % {1 << G.STATE_BITS} FROM r WHERE i < (SELECT {G.DRAWS} * (max(c_custkey) + 1) FROM customer)),
+d AS (SELECT (i - 1) // {G.DRAWS} AS n, max(x) FILTER ((i - 1) % 4 = 0) AS a, max(x) FILTER ((i - 1) % 4 = 1) AS b, max(x) FILTER ((i - 1) % 4 = 2) AS c, max(x) FILTER ((i - 1) % 4 = 3) AS e FROM r WHERE i > 0 GROUP BY 1)
+SELECT c_custkey, {_of(G.FIRST, 'a')} || ' ' || {_of(G.LAST, 'b')} AS name, c * 39000000 // {1 << G.STATE_BITS} + 10000000 AS dni, e * 2000000 // {1 << G.STATE_BITS} + 300000 AS amount
+FROM customer JOIN d ON n = c_custkey""")
+def seeded_people(spark: SparkSession, sf: str) -> DataFrame:
+    """A made-up person for each customer, from one sequential stream that every partition enters at its own rows."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("at"))
+    return G.people(c.repartition(16), "at").select("c_custkey", "name", "dni", "amount")
+
+
 #: Lines of a page.
 PAGE_LINES = 40
 

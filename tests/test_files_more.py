@@ -156,3 +156,26 @@ def test_generated_tables_are_the_same_on_every_run(spark):
     assert all(r.day.weekday() < 5 and 9 <= r.hour < 18 for r in ev.collect()) and 0.3 < ev.where("sensitive").count() / ev.count() < 0.5
     det = G.usage_detections(ev)
     assert det.groupBy("event_id", "type").count().where("count > 1").count() == 0 and det.select("event_id").distinct().count() == ev.where("sensitive").count()
+
+
+def test_a_seeded_stream_goes_on_in_every_partition(spark):
+    from sparkveil.operators.scan import scan
+    from sparkveil.sources import generate as G
+
+    x, want = 42, []
+    for _ in range(3000):
+        x = (x * G.FACTOR + G.ADDEND) % (1 << G.STATE_BITS)
+        want.append(x)
+    for parts in (1, 64):
+        got = spark.range(0, 3000, 1, parts).select(G.stream(F.col("id") + 1).alias("x")).collect()
+        assert [r.x for r in got] == want
+    far = 1 << 40
+    a, b = (spark.range(1).select(G.stream(F.lit(far + k)).alias("x")).first().x for k in (0, 1))
+    assert b == (a * G.FACTOR + G.ADDEND) % (1 << G.STATE_BITS)
+    people = G.people(spark.range(0, 40, 1, 7).withColumnRenamed("id", "n"), "n")
+    assert sorted(people.collect()) == sorted(G.people(spark.range(0, 40, 1, 1).withColumnRenamed("id", "n"), "n").collect()) and people.select("name").distinct().count() > 20
+    cases = Q.parse_annotated(G.annotated(people, "n"), "n", "text")
+    found = Q.outcomes(scan(cases), "n")
+    assert found.where("outcome <> 'tp'").count() == 0 and found.count() == 120
+    example = K.training_examples(cases, ["NOMBRE_PERSONA", "DNI", "SALARIO"]).first().value
+    assert '"NOMBRE_PERSONA"' in example and '"La"' in example
