@@ -33,6 +33,8 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Characters of the longest words that are scored by batches, with the mark of their start.
 LONGEST = 32
 MAX_DOCS, ROUNDS, SMOOTHING = 6000, 3, 0.05
+#: Languages whose shares travel to every task.
+MOST_LANGUAGES = 10_000
 #: Probability of a character that no piece covers, in every language; a power that keeps products in range.
 UNKNOWN, LIFT = 1e-7, 40.0
 MARK = "▁"
@@ -213,6 +215,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int
         left -= min(n, left // (len(texts) - k))
     parts = known.sparkSession.createDataFrame([(name, int(x * (1 << 30))) for name, x in share.items()], "sv_lang string, sv_part long")
     drawn = F.pmod(F.xxhash64(F.lit(13), F.col(text)), F.lit(1 << 30)) < F.col("sv_part")
+    if len(share) <= MOST_LANGUAGES:  # their number is checked; more are joined by a shuffle
+        parts = F.broadcast(parts)
     known = known.select(F.col(lang), F.col(text)).join(parts, F.col(lang) == F.col("sv_lang")).where(drawn).select(lang, text).distinct()
     counts = materialize(known.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
