@@ -29,38 +29,29 @@ from .graph import components
 
 EDITS, LEAST = 2, 24
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the even segments of a line of that length; the longer ones come last."""
-    parts = edits + 1
-    small = F.floor(length / parts).cast("int")
-    short = (F.lit(parts) - length % parts).cast("int")  # segments of the smaller size
-    return [((F.lit(i) * small + F.greatest(F.lit(i) - short, F.lit(0)) + 1).cast("int"), (small + (F.lit(i) >= short).cast("int")).cast("int")) for i in range(parts)]
-
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """Substrings of a line that may equal a segment of a line that is shorter by ``less``: (less, number of the segment, how
+    far it has moved). With the first i segments hit by an edit each at least, the segment has moved by i at most; the same
+    holds from the right end. The line's own segments are among them."""
+    return [(less, i, move) for less in range(edits + 1) for i in range(edits + 1) for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
 
-def _index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    return [F.xxhash64(length, F.lit(i), F.substring(line, start, size)) for i, (start, size) in enumerate(_segments(length, edits))]
 
+def _keys(places: list[tuple[int, int, int]], edits: int) -> Column:
+    """Hashes of these substrings, with the shorter line's length and the segment's number. A line has edits + 1 even segments,
+    of which the longer ones come last. Written as one function over a list: as an expression for each place, the code that
+    Spark makes is too long for the JVM to compile. Lines of ASCII (``bytes``) are cut without counting characters."""
+    parts = edits + 1
+    listed = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(m).alias("move")) for a, i, m in places])
 
-def _probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Substrings that may equal segment i of a line shorter by ``less``: with the first i segments hit by an edit each at
-    least, the segment has moved by i at most; the same holds from the right end. The line's own segments are among them."""
-    out = []
-    for less in range(edits + 1):
-        other = (length - less).cast("int")
-        for i, (start, size) in enumerate(_segments(other, edits)):
-            for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                out.append(F.xxhash64(other, F.lit(i), F.substring(line, (start + move).cast("int"), size)))
-    return out
-
+    def of(p: Column) -> Column:
+        other = F.col("length") - p["less"]
+        small, short = F.floor(other / parts).cast("int"), parts - other % parts  # short: segments of the smaller size
+        start = (p["i"] * small + F.greatest(p["i"] - short, F.lit(0)) + 1 + p["move"]).cast("int")
+        size = (small + (p["i"] >= short).cast("int")).cast("int")
+        key = lambda x: F.xxhash64(other.cast("int"), p["i"], F.substring(x, start, size))
+        return F.when(F.col("bytes").isNotNull(), key("bytes")).otherwise(key("line"))
 
-def _own_positions(edits: int) -> list[int]:
-    """Where a line's own segments lie in its probe keys (no length difference, no move)."""
-    at, out = 0, []
-    for i in range(edits + 1):
-        moves = list(range(max(-i, -(edits - i)), min(i, edits - i) + 1))
-        out.append(at + moves.index(0))
-        at += len(moves)
-    return out
+    return F.transform(listed, of)
 
 
 def _signatures(line: Column) -> Column:
@@ -146,11 +137,12 @@ def matching_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Distinct lines (line) of more than ``edits`` code points -> edges (a, b) between ids of lines, different and within
     ``edits`` edits. Every matching pair is an edge or lies in a component of edges."""
     known = lines.select(F.xxhash64("line").alias("h"), "line")
-    line, length = F.col("line"), F.length("line")
-    own = F.array(*_index_keys(line, length, edits))
-    hubs = known.select("h", F.explode(own).alias("k")).groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    probe = known.select("h", F.posexplode(F.array(*_probe_keys(line, length, edits))).alias("p", "k"))
-    is_own = F.col("p").isin(_own_positions(edits))
+    places = _places(edits)
+    own = [(0, i, 0) for i in range(edits + 1)]
+    cut = known.select("h", "line", F.length("line").alias("length"), F.when(F.octet_length("line") == F.length("line"), F.col("line").cast("binary")).alias("bytes"))
+    hubs = cut.select("h", F.explode(_keys(own, edits)).alias("k")).groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    probe = cut.select("h", F.posexplode(_keys(places, edits)).alias("p", "k"))
+    is_own = F.col("p").isin([places.index(x) for x in own])
     met = hubs.hint("merge").join(probe, "k").where("low <> h or high <> h").select("k", "h", "low", (F.col("low") < F.col("high")).alias("many"), is_own.alias("own"))
     met = materialize(met)
     texts = materialize(among(known, met.select("h").union(met.select("low"))))
