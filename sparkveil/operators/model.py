@@ -120,6 +120,12 @@ class Runner(Protocol):
     def scores(self, prompt: list[list[int]], words: list[list[int]], labels: list[str], width: int) -> np.ndarray: ...
 
 
+class BatchRunner(Runner, Protocol):
+    """A model that scores several windows in one run; it pads them to the longest."""
+
+    def scores_many(self, prompt: list[list[int]], windows: list[list[list[int]]], labels: list[str], width: int) -> list[np.ndarray]: ...
+
+
 @dataclass(frozen=True)
 class Config:
     max_tokens: int = 512
@@ -128,6 +134,10 @@ class Config:
     #: Words to a window of sentences; 0: every sentence alone.
     window_words: int = 24
     overlap: int = 8
+    #: Windows and padded tokens of one run, and results that a worker keeps.
+    run_windows: int = 32
+    run_tokens: int = 8192
+    kept: int = 8192
 
 
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:[-_][\p{L}\p{M}\p{N}_]+)*|\S"
@@ -187,8 +197,44 @@ def confidence(score: float, threshold: float) -> str:
     return "alta" if score >= threshold + 0.3 else "media" if score >= threshold + 0.1 else "baja"
 
 
+class Scores:
+    """Scores of windows in a worker: equal windows are scored once, the others in runs of like length, whatever rows they
+    are of. What is kept is bounded; the oldest go first."""
+
+    def __init__(self, runner: Runner, prompt: list[list[int]], labels: list[str], config: Config) -> None:
+        self.runner, self.prompt, self.labels, self.config = runner, prompt, labels, config
+        self.known: dict[tuple[str, ...], np.ndarray] = {}
+
+    def runs(self, sizes: list[int]) -> list[list[int]]:
+        """Places of windows, by length, so many to a run as its windows and padded tokens allow."""
+        fixed, out = sum(map(len, self.prompt)), []
+        for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+            longest = fixed + sizes[out[-1][0]] if out else 0
+            if out and len(out[-1]) < self.config.run_windows and longest * (len(out[-1]) + 1) <= self.config.run_tokens:
+                out[-1].append(k)
+            else:
+                out.append([k])
+        return out
+
+    def of(self, windows: dict[tuple[str, ...], list[list[int]]]) -> dict[tuple[str, ...], np.ndarray]:
+        missing = [k for k in windows if k not in self.known]
+        found = {k: self.known[k] for k in windows if k in self.known}
+        many = getattr(self.runner, "scores_many", None)
+        if many is None:
+            found |= {k: self.runner.scores(self.prompt, windows[k], self.labels, self.config.max_width) for k in missing}
+        else:
+            for run in self.runs([sum(map(len, windows[k])) for k in missing]):
+                some = [missing[k] for k in run]
+                found |= zip(some, many(self.prompt, [windows[k] for k in some], self.labels, self.config.max_width), strict=True)
+        for k in missing:
+            self.known[k] = found[k]
+        while len(self.known) > self.config.kept:
+            del self.known[next(iter(self.known))]
+        return found
+
+
 def detect(df: DataFrame, factory: Callable[[], Runner], key: list[str], text: str = "text", thresholds: dict[str, float] = THRESHOLDS, config: Config = Config(), most_chars: int | None = 20_000) -> DataFrame:
-    """(key..., spans) of a model. Texts over ``most_chars`` are left to the rules (null: no limit)."""
+    """(key..., spans) of a model. Windows of all texts of a batch are scored together: see ``Scores``. Texts over ``most_chars`` are left to the rules (null: no limit)."""
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key) + ", spans array<struct<type:string,start:int,end:int,value:string,confidence:string,source:string>>"
     labels = list(LABELS)
 
@@ -198,14 +244,18 @@ def detect(df: DataFrame, factory: Callable[[], Runner], key: list[str], text: s
         runner, split = factory(), regex.compile(WORD)
         prompt = [runner.encode_word(w) for label in labels for w in ("<<ENT>>", label)] + [runner.encode_word("<<SEP>>")]
         budget = config.max_tokens - sum(map(len, prompt)) - 2
+        scores = Scores(runner, prompt, labels, config)
         for batch in batches:
-            out = []
+            rows, wanted = [], {}
             for value in batch["sv_text"]:
                 words = [(m.group(), m.start(), m.end()) for m in split.finditer(value)]
                 ids = [runner.encode_word(w) for w, _, _ in words]
-                found = []
-                for a, b in windows(value, words, list(map(len, ids)), budget, config) if words else []:
-                    found += decode(runner.scores(prompt, ids[a:b], labels, config.max_width), words, a, labels, thresholds)
+                cuts = list(windows(value, words, list(map(len, ids)), budget, config)) if words else []
+                rows.append((value, words, [(a, tuple(w for w, _, _ in words[a:b])) for a, b in cuts]))
+                wanted |= {name: ids[a : a + len(name)] for a, name in rows[-1][2]}
+            scored, out = scores.of(wanted), []
+            for value, words, cuts in rows:
+                found = [x for a, name in cuts for x in decode(scored[name], words, a, labels, thresholds)]
                 out.append([(LABELS[label], s, e, value[s:e], confidence(p, thresholds.get(label, 0.5)), "ia") for p, s, e, label in greedy(found)])
             yield batch[key].assign(spans=[[dict(zip(("type", "start", "end", "value", "confidence", "source"), x, strict=True)) for x in spans] for spans in out])
 

@@ -163,6 +163,51 @@ def test_a_model_runs_in_windows(spark):
     assert len(got) == 1 and [(s.type, s.value, s.confidence) for s in got[0].spans] == [("NOMBRE_PERSONA", "Nahuel Ibarra", "alta"), ("NOMBRE_PERSONA", "Después otra", "alta")]
 
 
+class HashRunner(FakeRunner):
+    """Scores that follow from the words of a window alone."""
+
+    def encode_word(self, word):
+        return [ord(c) for c in word[:3]]
+
+    def scores(self, prompt, words, labels, width):
+        import numpy as np
+
+        seed = sum((k + 1) * sum(w) for k, w in enumerate(words))
+        return np.random.default_rng(seed).normal(-3, 2.5, (len(words), width, len(labels)))
+
+
+class CountingRunner(HashRunner):
+    runs: list = []  # noqa: RUF012
+
+    def scores_many(self, prompt, windows, labels, width):
+        sizes = [sum(map(len, w)) for w in windows]
+        CountingRunner.runs.append((len(windows), max(sizes) * len(windows), sum(sizes)))
+        return [self.scores(prompt, w, labels, width) for w in windows]
+
+
+def test_a_model_scores_windows_of_all_rows_together(spark):
+    rng = random.Random(8)
+    words = "Ana Paz vive en Rosario y trabaja con Luis desde hace mucho tiempo en la empresa del Sur".split()
+    rows = [(k, ". ".join(" ".join(rng.choices(words, k=rng.randint(1, 20))) for _ in range(rng.randint(0, 5)))) for k in range(60)]
+    rows += [(100 + k, rows[k % 7][1]) for k in range(40)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    config = M.Config(window_words=0, run_windows=16, run_tokens=4000)
+    apart = {r.id: r.spans for r in M.detect(df, HashRunner, ["id"], config=config).collect()}
+    together = {r.id: r.spans for r in M.detect(df, CountingRunner, ["id"], config=config).collect()}
+    assert apart == together and sum(map(len, apart.values())) > 50
+
+    scores = M.Scores(CountingRunner(), [[1]], ["x"], M.Config(run_windows=8, run_tokens=10_000, kept=30))
+    wanted = {(str(k),): [[1] * (k % 10 + 1)] for k in range(40)}
+    CountingRunner.runs.clear()
+    first = scores.of(wanted)
+    assert set(first) == set(wanted) and len(CountingRunner.runs) == 5 and len(scores.known) == 30
+    assert sum(r[1] for r in CountingRunner.runs) <= 1.25 * sum(r[2] for r in CountingRunner.runs)  # next to no padding
+    CountingRunner.runs.clear()
+    again = scores.of({k: wanted[k] for k in list(scores.known)})
+    assert CountingRunner.runs == [] and all((again[k] == first[k]).all() for k in again)
+    assert scores.runs([5, 900, 5, 5]) == [[1, 0, 2, 3]] and M.Scores(HashRunner(), [[1] * 10], [], M.Config(run_windows=9, run_tokens=100)).runs([30, 1, 45, 2]) == [[2], [0, 3], [1]]
+
+
 def test_windows_cut_long_sentences_with_an_overlap():
     words = [(f"w{k}", 3 * k, 3 * k + 2) for k in range(30)]
     text = " ".join(w for w, _, _ in words)
