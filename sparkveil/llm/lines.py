@@ -38,20 +38,22 @@ def _places(edits: int) -> list[tuple[int, int, int]]:
 
 def _keys(places: list[tuple[int, int, int]], edits: int) -> Column:
     """Hashes of these substrings, with the shorter line's length and the segment's number. A line has edits + 1 even segments,
-    of which the longer ones come last. Written as one function over a list: as an expression for each place, the code that
+    of which the longer ones come last. Many places are one function over a list: as an expression for each, the code that
     Spark makes is too long for the JVM to compile. Lines of ASCII (``bytes``) are cut without counting characters."""
     parts = edits + 1
-    listed = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(m).alias("move")) for a, i, m in places])
 
-    def of(p: Column) -> Column:
-        other = F.col("length") - p["less"]
+    def of(less: Column, i: Column, move: Column) -> Column:
+        other = F.col("length") - less
         small, short = F.floor(other / parts).cast("int"), parts - other % parts  # short: segments of the smaller size
-        start = (p["i"] * small + F.greatest(p["i"] - short, F.lit(0)) + 1 + p["move"]).cast("int")
-        size = (small + (p["i"] >= short).cast("int")).cast("int")
-        key = lambda x: F.xxhash64(other.cast("int"), p["i"], F.substring(x, start, size))
+        start = (i * small + F.greatest(i - short, F.lit(0)) + 1 + move).cast("int")
+        size = (small + (i >= short).cast("int")).cast("int")
+        key = lambda x: F.xxhash64(other.cast("int"), i, F.substring(x, start, size))
         return F.when(F.col("bytes").isNotNull(), key("bytes")).otherwise(key("line"))
 
-    return F.transform(listed, of)
+    if len(places) <= parts:
+        return F.array(*[of(*map(F.lit, p)) for p in places])
+    listed = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(m).alias("move")) for a, i, m in places])
+    return F.transform(listed, lambda p: of(p["less"], p["i"], p["move"]))
 
 
 def _signatures(line: Column) -> Column:
