@@ -3,6 +3,7 @@
 Reading unpacks one file in a task, row by row. Writing builds the XML of each row with Spark expressions; tasks write the
 rows of their range as parts beside the target, and the commit puts the parts into one zip, so nothing but the names of
 parts passes through the driver's memory. A table too large for one file becomes a folder of workbooks, one or more a task.
+Targets lie in a store that pyarrow opens by its URI (local, hdfs, s3, gs).
 
 Defined cases: days come out as ``YYYY-MM-DD`` (a time of day alone stays a number), truth values as ``true`` and ``false``;
 blank rows are left out; repeated cells and rows of .ods are written out, but never the blank ones at the end; characters
