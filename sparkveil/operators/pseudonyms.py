@@ -16,6 +16,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from ..functions.text import equivalence_key, is_protected, name_words
+from ..storage import materialize
 
 #: Slices of one long numbering; results do not depend on it.
 SLICES = 64
@@ -30,10 +31,13 @@ def number_rows(rows: DataFrame, groups: list[str], order: list[str], out: str,
     """1, 2, 3... within ``groups`` by ``order``, also where one group holds most rows.
 
     The first order column is cut at approximate quantiles; rows are numbered within a slice, and a slice starts after
-    the rows of those before it. Rows with one value of that column share a slice.
+    the rows of those before it. Rows with one value of that column share a slice. The cuts are written before they are
+    used: approximate quantiles differ with the order in which executors' parts arrive, and sizes and numbers must be of
+    the same slices.
     """
     share = [k / slices for k in range(1, slices)]
     cuts = rows.groupBy(*groups).agg(F.percentile_approx(F.col(order[0]), F.array(*map(F.lit, share)), F.lit(10_000)).alias("sv_cuts"))
+    cuts = materialize(cuts)
     cut = rows.join(cuts, groups).withColumn("sv_slice", F.size(F.filter(F.array_distinct("sv_cuts"), lambda x: x < F.col(order[0])))).drop("sv_cuts")
     sizes = cut.groupBy(*groups, "sv_slice").agg(F.count("*").alias("sv_n"))
     before = Win.partitionBy(*groups).orderBy("sv_slice").rowsBetween(Win.unboundedPreceding, -1)

@@ -12,3 +12,17 @@ def test_every_order_excludes_its_customer(spark, tmp_path):
     spark.range(4).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(0, 1, "1-URGENT"), (1, 2, "5-LOW")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert sorted(r[0] for r in QUERIES["anti_join_exclusion"](spark, str(tmp_path)).collect()) == [0, 3]
+
+
+def test_numbers_have_no_gaps_where_quantiles_come_out_differently_each_time(spark, monkeypatch):
+    exact = F.percentile_approx
+    shaken = F.udf(lambda xs: sorted({x + random.randint(0, 40) for x in xs}), "array<long>")
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: shaken(exact(*a)))
+    before = spark.conf.get("spark.sql.exchange.reuse", "true")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = spark.range(3000).select(F.lit("Empresa").alias("p"), (F.col("id") * 3).alias("o"))
+        out = P.number_rows(rows, ["p"], ["o"], "n", slices=16).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert sorted((r["o"], r["n"]) for r in out) == [(3 * k, k + 1) for k in range(3000)]
