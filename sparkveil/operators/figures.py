@@ -39,7 +39,7 @@ BESIDE = r"(?iu)(?:(?<![\p{L}\d.,])[\p{L}$]{1,3}[^\S\n]?)?(?<![\d.,-])\d[\d.]*(?
 DAYS = r"(?iu)(?<!\d)(?:\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}|\d{1,2}\s+de\s+\p{L}+(?:\s+del?)?\s+\d{4})(?!\d)"
 #: A street word and the rest of its line as far as a number may stand.
 _STREET_WORD = rf"(?:{'|'.join(w.capitalize() for w in STREETS)})(?!\p{{L}})"
-STREET = rf"(?<!\p{{L}}){_STREET_WORD}\.?(?:[ \t]+(?!{_STREET_WORD})[\p{{L}}\d.°º]+){{1,8}}"
+STREET = rf"(?=[{''.join(sorted({w[0].upper() for w in STREETS}))}])(?<!\p{{L}}){_STREET_WORD}\.?(?:[ \t]+(?!{_STREET_WORD})[\p{{L}}\d.°º]+){{1,8}}"
 
 
 def _is(word: Column, words: tuple[str, ...]) -> Column:
@@ -84,7 +84,8 @@ def _pieces(m: Column, then: Callable[[Column, Column, Column], Column]) -> Colu
     """The sign or word before a number, the number, and what stands behind it."""
     shape = r"(?u)^([\p{L}$]*)([^\S\n]?)(\d[\d.]*\d|\d)((?:,\d+)?)"
     head, number = F.regexp_extract(m, shape, 1), F.concat(F.regexp_extract(m, shape, 3), F.regexp_extract(m, shape, 4))
-    return then(head, number, F.trim(F.substring(m, F.instr(m, number) + F.length(number), F.length(m))))
+    behind = lambda x: F.trim(F.substring(m, F.instr(m, x["number"]) + F.length(x["number"]), F.length(m)))
+    return let(F.struct(head.alias("head"), number.alias("number")), lambda x: let(behind(x), lambda b: then(x["head"], x["number"], b)))
 
 
 def is_amount(number: Column, least_digits: int) -> Column:

@@ -6,7 +6,8 @@ word may begin another one: after a title, after a word that announces a person,
 the dictionary, with surnames before its comma. So an earlier word decides what a later one is. Words that a kept name holds
 announce nothing.
 
-Texts without any word that can begin a name aren't walked. Everything is built from Spark functions.
+Texts without any word that can begin a name aren't walked, and of others only the parts between signs that end every name.
+Everything is built from Spark functions.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from . import words as W
-from .spans import many_matches
+from .spans import CLOSE, OPEN, many_matches
 
 TITLE, ANNOUNCED, INTRODUCED, SELF, GIVEN = 1, 2, 3, 4, 5
 #: Words of a name that are looked at, and words behind the first in an introduction. Fixed values.
@@ -44,6 +45,35 @@ def _beginners(first_names: tuple[str, ...]) -> str:
     return rf"(?i)(?<!\p{{L}}){trie(tuple(dict.fromkeys(words)))}(?!\p{{L}})"
 
 
+@lru_cache(maxsize=8)
+def _section_beginners(first_names: tuple[str, ...]) -> str:
+    words = (*W.TITLES, *W.CONTEXT_SINGLE, *W.CONTEXT_BY, "llamo", "nombre", "soy", *first_names)
+    return rf"(?i{'' if ''.join(first_names).isascii() else 'u'})(?<!\p{{L}}){trie(tuple(dict.fromkeys(words)))}(?!\p{{L}})"
+
+
+#: A gap that ends every name, and behind which none goes on: with a sign that no gap within a name or before one may hold,
+#: or with a point that stands behind no letter, title or place's word. Words that are announced over any gap stay.
+_BREAK = (
+    rf"(?<![^\p{{L}}'’])(?:(?<!(?<!\p{{L}})(?i:\p{{L}}|{'|'.join((*W.TITLES, *W.PLACE_BEFORE))}))[ \t:,]*+\.|[ \t.:,]*+[^\p{{L}}'’ \t.:,])[^\p{{L}}]*+"
+    r"(?!(?i:llamo|nombre|es|por)(?!\p{L}))"
+)
+
+
+def _sections(bare: Column, first_names: tuple[str, ...]) -> Column:
+    """The parts of a text between breaks that hold a word that can begin a name: array<struct<at, part>>."""
+    none = F.array().cast("array<struct<at:int,part:string>>")
+    beginners = _section_beginners(first_names)
+
+    def step(acc: Column, x: Column) -> Column:
+        part = F.substring_index(x, CLOSE, -1)
+        at = acc["pos"] + F.greatest(F.length(x) - F.length(part) - 1, F.lit(0))
+        own = F.array(F.struct(at.alias("at"), part.alias("part")))
+        return F.struct((at + F.length(part)).alias("pos"), F.when(part.rlike(beginners), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    parts = F.split(F.regexp_replace(bare, F.lit(_BREAK), F.lit(f"{OPEN}$0{CLOSE}")), OPEN, -1)
+    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+
+
 def _words(bare: Column, first_names: tuple[str, ...]) -> Column:
     """Each word with the gap before it and what it may be by itself; an empty one at the end closes the last name."""
     ambiguous = tuple(x for x in W.AMBIGUOUS if x in first_names)
@@ -144,5 +174,9 @@ def names(bare: Column, first_names: tuple[str, ...] = W.FIRST_NAMES) -> Column:
     start = F.struct(
         none.alias("out"), zero.alias("used"), zero.alias("kind"), zero.alias("start"), zero.alias("end"), zero.alias("words"), zero.alias("firsts"), zero.alias("seen"), yes.alias("upper"), yes.alias("head"), yes.alias("ambiguous"), yes.alias("known"), yes.alias("done"), zero.alias("again"), zero.alias("later"),
     ).cast(_STATE)
-    walked = let(_words(bare, first_names), lambda words: F.aggregate(_begun(words, first_names), start, _step, lambda s: s["out"]))
-    return F.when(bare.rlike(_beginners(first_names)), walked).otherwise(none)
+
+    def walked(section: Column) -> Column:
+        found = let(_words(section["part"], first_names), lambda words: F.aggregate(_begun(words, first_names), start, _step, lambda s: s["out"]))
+        return F.transform(found, lambda n: F.struct((n["start"] + section["at"]).alias("start"), (n["end"] + section["at"]).alias("end"), n["confidence"].alias("confidence")))
+
+    return F.when(bare.rlike(_beginners(first_names)), F.flatten(F.transform(_sections(bare, first_names), walked))).otherwise(none)

@@ -38,7 +38,7 @@ def matches(text: Column, pattern: str) -> Column:
             return F.struct((acc["pos"] + F.length(part) - 1).alias("pos"), F.concat(acc["out"], F.array(found)).alias("out"))
 
         start = F.struct(F.length(p[0]).alias("pos"), none.alias("out"))
-        return F.aggregate(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
+        return F.when(F.size(p) > 1, F.aggregate(F.slice(p, F.lit(2), F.size(p) - 1), start, step, lambda acc: acc["out"])).otherwise(none)
 
     return let(parts, gather)
 

@@ -4,7 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from sparkveil.functions.text import strip_accents
+from sparkveil.operators import names as N
 from sparkveil.operators import pseudonyms as P
+from sparkveil.operators.words import FIRST_NAMES
 from sparkveil.plans import QUERIES
 
 
@@ -26,3 +29,20 @@ def test_numbers_have_no_gaps_where_quantiles_come_out_differently_each_time(spa
     finally:
         spark.conf.set("spark.sql.exchange.reuse", before)
     assert sorted((r["o"], r["n"]) for r in out) == [(3 * k, k + 1) for k in range(3000)]
+
+
+def test_names_are_walked_in_the_parts_that_can_begin_one_and_come_out_as_from_whole_texts(spark):
+    texts = [
+        "nada que ver aquí. Otra frase larga sin nadie; la Sra. Ana Gómez vino. Fin", "mi nombre, es Ana (1) y me\nllamo Juan Pérez", "firmado 12 por Luis Gil. Juan", "J. Pérez, Ana. K. Juan D. Gil\nMaría de la Cruz",
+        "av. Juan B. Justo 12, Gómez Pérez, Juan; soy Pedro!", "el Dr. D'Elía. 'A. Juan", "...\n\n" + "x " * 50 + "Lic. Marta Sosa\t\n", "mi\nnombre\nes\nMarta", "titular: Rosa Paz. San. Juan",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(strip_accents(F.col("t")).alias("t"))
+    parts = df.select(N._sections(F.col("t"), FIRST_NAMES).alias("x"), "t")
+    assert [r["part"] for r in parts.collect()[0]["x"]] == ["la Sra. Ana Gomez vino"]
+    found = [r[0] for r in df.select(N.names(F.col("t"))).collect()]
+    whole = N._sections
+    try:
+        N._sections = lambda bare, _names: F.array(F.struct(F.lit(0).alias("at"), bare.alias("part")))
+        assert found == [r[0] for r in df.select(N.names(F.col("t"))).collect()] and sum(map(len, found)) > 8
+    finally:
+        N._sections = whole
