@@ -58,7 +58,7 @@ def restore(texts: DataFrame, equivalences: DataFrame, keys: list[str], scope: l
     hits = F.col("sv_hits")
     names = F.transform(hits, lambda s: s["pseudonym"])
     counts = F.map_from_entries(F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("key"), F.size(F.filter(names, lambda x: x == n)).cast("long").alias("value"))))
-    restored = F.when(F.col(text).isNull() | hits.isNull(), F.col(text)).otherwise(replace_spans(F.col("sv_text"), hits, lambda s: s["original"]))
+    restored = F.when(F.col(text).isNull() | hits.isNull(), F.col(text)).otherwise(replace_spans(F.col(text), hits, lambda s: s["original"]))
     return out.select(
         *[out[c] for c in texts.columns],
         restored.alias("restored"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkveil.functions.text import strip_accents
 from sparkveil.operators import names as N
 from sparkveil.operators import pseudonyms as P
+from sparkveil.operators.restore import restore
 from sparkveil.operators.words import FIRST_NAMES
 from sparkveil.plans import QUERIES
 
@@ -46,3 +47,9 @@ def test_names_are_walked_in_the_parts_that_can_begin_one_and_come_out_as_from_w
         assert found == [r[0] for r in df.select(N.names(F.col("t"))).collect()] and sum(map(len, found)) > 8
     finally:
         N._sections = whole
+
+
+def test_restoring_keeps_control_characters(spark):
+    texts = spark.createDataFrame([(1, "a\x01b\x02 Persona_01 \x01")], "doc_id long, text string")
+    known = spark.createDataFrame([("Persona_01", "Ana Gil")], "pseudonym string, original string")
+    assert restore(texts, known, ["doc_id"]).collect()[0]["restored"] == "a\x01b\x02 Ana Gil \x01"
