@@ -1,6 +1,8 @@
 """What only shows on whole tables, or on larger ones, made small."""
 
+import hashlib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -53,3 +55,15 @@ def test_restoring_keeps_control_characters(spark):
     texts = spark.createDataFrame([(1, "a\x01b\x02 Persona_01 \x01")], "doc_id long, text string")
     known = spark.createDataFrame([("Persona_01", "Ana Gil")], "pseudonym string, original string")
     assert restore(texts, known, ["doc_id"]).collect()[0]["restored"] == "a\x01b\x02 Ana Gil \x01"
+
+
+def test_pdf_of_very_many_pages(spark, tmp_path):
+    text = "\n".join(f"line ({k}) \\ caf\u00e9 \u4e2d\x01" for k in range(120_000))
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    rows = {r.doc_id: r for r in QUERIES["pdf_text"](spark, str(tmp_path)).collect()}
+    took = time.time() - began
+    shown = text.replace("\u4e2d\x01", "??").split("\n")
+    want = "\n\n".join("\n".join(shown[k : k + 40]) for k in range(0, len(shown), 40))
+    assert rows[1].pages == 3000 and rows[1].text_md5 == hashlib.md5(want.encode()).hexdigest() and rows[2].error == "no_text"
+    assert took < 60
