@@ -72,7 +72,8 @@ def term_spans(texts: DataFrame, terms: DataFrame, keys: list[str], scope: list[
     if not scope and first.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
         in_order = needle.select("ord", "needle", "type").orderBy("ord", "needle", "type").collect()  # of a checked number
         listed = [(k, r["needle"], r["type"]) for k, r in enumerate(in_order)]
-        found = spread(texts.select(*keys, F.col(text).alias("sv_text"))).select(*keys, find_listed(F.col("sv_text"), listed).alias("sv_terms"))
+        # written first: a filter, or what Spark infers from an explode, would search every text once more
+        found = materialize(spread(texts.select(*keys, F.col(text).alias("sv_text"))).select(*keys, find_listed(F.col("sv_text"), listed).alias("sv_terms")))
         return found.where(F.size("sv_terms") > 0)
     carried = list(dict.fromkeys([*keys, *scope]))
     tokens = among(texts.select(*carried, F.explode(words_of(F.col(text))).alias("word")), first, "word")

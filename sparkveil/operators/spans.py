@@ -133,7 +133,15 @@ def _lettered(needles: Iterable[str]) -> str:
     for n in needles:
         if n:
             heads.setdefault(n[0], []).append(n[1:])
-    one = lambda c: f"[{v}]" if len(v := _variants().get(c, c)) > 1 else "\\" + c if c.isascii() and not c.isalnum() else c
+
+    def one(c: str) -> str:
+        written = _variants().get(c, c)
+        plain, other = "".join(x for x in written if x.isascii()), "".join(x for x in written if not x.isascii())
+        if len(written) == 1:
+            return "\\" + c if c.isascii() and not c.isalnum() else c
+        # a letter is compared with the accented ones, one after another, only if it isn't ASCII
+        return f"[{plain}[\\x{{80}}-\\x{{10FFFF}}&&[{other}]]]" if plain and other else f"[{written}]"
+
     some = "|".join(one(c) + _lettered(rest) for c, rest in sorted(heads.items()))
     return "" if not heads else f"(?:{some}|)" if "" in needles else f"(?:{some})" if len(heads) > 1 else some
 
@@ -142,8 +150,8 @@ def layers(needles: list[str]) -> list[list[str]]:
     """The needles dealt into few lists in which none can overlap another one or itself."""
 
     def meet(a: str, b: str) -> bool:
-        """Whether ``b`` may begin inside of ``a``."""
-        return any(b.startswith(a[k : k + len(b)]) for k in range(1, len(a))) or a != b and (b in a or a in b)
+        """Whether ``b`` may begin inside of ``a``; of two whole words neither does."""
+        return not (a.isalpha() and b.isalpha()) and (any(b.startswith(a[k : k + len(b)]) for k in range(1, len(a))) or a != b and (b in a or a in b))
 
     out: list[list[str]] = []
     for n in needles:
@@ -161,7 +169,7 @@ def find_listed(text: Column, terms: list[tuple[int, str, str]]) -> Column:
     def spans(x: Column) -> Column:
         folded = F.lower(F.translate(strip_accents(x["m"]), MARKS, ""))
         span = lambda t: F.struct(t["type"].alias("type"), x["at"].alias("start"), (x["at"] + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.lit("alta").alias("confidence"), F.lit("termino").alias("source"))
-        return F.transform(F.filter(listed, lambda t: t["needle"] == folded), lambda t: F.struct(t["ord"].alias("ord"), x["at"].alias("at"), span(t).alias("s")))
+        return let(folded, lambda own: F.transform(F.filter(listed, lambda t: t["needle"] == own), lambda t: F.struct(t["ord"].alias("ord"), x["at"].alias("at"), span(t).alias("s"))))
 
     hits = [F.flatten(F.transform(many_matches(clean(text), f"(?<!{edge})(?:{_lettered(some)})(?!{edge})"), spans)) for some in layers(sorted({n for _, n, _ in terms}))]
     return F.transform(F.array_sort(F.concat(*hits)), lambda h: h["s"]).cast(SPANS) if hits else F.array().cast(SPANS)

@@ -7,9 +7,11 @@ import time
 from pyspark.sql import functions as F
 
 from sparkveil.functions.text import strip_accents
+from sparkveil.operators import documents as D
 from sparkveil.operators import names as N
 from sparkveil.operators import pseudonyms as P
 from sparkveil.operators.restore import restore
+from sparkveil.operators.spans import layers
 from sparkveil.operators.words import FIRST_NAMES
 from sparkveil.plans import QUERIES
 
@@ -67,3 +69,12 @@ def test_pdf_of_very_many_pages(spark, tmp_path):
     want = "\n\n".join("\n".join(shown[k : k + 40]) for k in range(0, len(shown), 40))
     assert rows[1].pages == 3000 and rows[1].text_md5 == hashlib.md5(want.encode()).hexdigest() and rows[2].error == "no_text"
     assert took < 60
+
+
+def test_texts_are_searched_once_for_single_words_and_their_matches(spark):
+    assert layers(["ist", "the", "was"]) == [["ist", "the", "was"]]
+    texts = spark.createDataFrame([(1, "The\u0301 th\u00e9 THE theist ist. W\u00c1S w\u1ea5s"), (2, "nada")], "id long, text string")
+    terms = spark.createDataFrame([("the", "X", 0), ("ist", "X", 1), ("was", "X", 2)], "value string, type string, ord long")
+    found = D.term_spans(texts, terms, ["id"]).select("id", F.explode("sv_terms").alias("s"))
+    assert "regexp" not in found._jdf.queryExecution().toString()
+    assert [(r.id, r.s.value) for r in found.collect()] == [(1, "The"), (1, "th\u00e9"), (1, "THE"), (1, "ist"), (1, "W\u00c1S"), (1, "w\u1ea5s")]
