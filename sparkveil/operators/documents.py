@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import validators as V
 from ..functions.anonymize import anonymize
 from ..functions.text import MARKS, fold, let, mask, strip_accents
-from ..storage import among, materialize
+from ..storage import among, marked, materialize
 from ..types import ANONYMIZE, DOCUMENT_ACTIONS, DROP, KEEP, PREFIXES, PROPAGATED, PSEUDONYMIZE, SPANS
 from . import words as W
 from .headers import HEADER_ONLY, header_hint
@@ -204,16 +204,40 @@ def originals(analyzed: DataFrame, policy: dict[str, str] | None = None, scope:
 
 #: Code points of the pieces by which secrets are filed.
 _PIECE = 4
+#: Values of a scope that its texts are given directly, at most.
+_FEW_SECRETS = 64
 
 
 def leaks(cleaned: DataFrame, secrets: DataFrame, keys: list[str], scope: list[str] = [], text: str = "protected", secret: str = "original") -> DataFrame:
     """Rows of ``cleaned`` that contain an original value (of their scope) of four or more characters, letter for letter,
     also within a word: ``keys``, and ``leaked``, the values.
 
-    A value is filed under that of its pieces of four characters which fewest values share. Texts meet the values filed
-    under the pieces they hold (pieces that no value is filed under are left out by a bitmap of fixed size), and only
-    these are looked for.
+    The texts of a scope of up to ``_FEW_SECRETS`` values meet these by the scope alone. Otherwise a value is filed under that
+    of its pieces of four characters which fewest values share. Texts meet the values filed under the pieces they hold
+    (pieces that no value is filed under are left out by a bitmap of fixed size), and only these are looked for.
     """
+    if not scope:
+        return _leaks_by_piece(cleaned, secrets, keys, scope, text, secret)
+    wanted = materialize(secrets.where(F.length(secret) >= _PIECE).select(*scope, F.col(secret).alias("sv_secret"), F.xxhash64(*scope).alias("sv_scope")))
+    many = materialize(wanted.groupBy("sv_scope").agg(F.count("*").alias("n")).where(F.col("n") > _FEW_SECRETS).select("sv_scope"))
+    large = not many.isEmpty()
+    if large:  # both ways read the texts
+        cleaned = materialize(cleaned.select(*dict.fromkeys([*keys, *scope, text]), F.xxhash64(*scope).alias("sv_scope")))
+        wanted, cleaned = marked(wanted, many, "sv_scope", "sv_many"), marked(cleaned, many, "sv_scope", "sv_many")
+    few, texts = (wanted.where("not sv_many"), cleaned.where("not sv_many")) if large else (wanted, cleaned)
+    own = few.groupBy(*scope).agg(F.collect_set("sv_secret").alias("sv_some"))
+    found = _leaked(texts.join(own, scope), keys, text)
+    if large:
+        found = found.unionByName(_leaks_by_piece(cleaned.where("sv_many"), wanted.where("sv_many"), keys, scope, text, "sv_secret"))
+    return found
+
+
+def _leaked(met: DataFrame, keys: list[str], text: str) -> DataFrame:
+    found = met.withColumn("leaked", F.array_sort(F.filter("sv_some", lambda x: F.col(text).contains(x))))
+    return found.where(F.size("leaked") > 0).select(*keys, "leaked")
+
+
+def _leaks_by_piece(cleaned: DataFrame, secrets: DataFrame, keys: list[str], scope: list[str], text: str, secret: str) -> DataFrame:
     pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (_PIECE - 1)), lambda i: F.substring(c, i, F.lit(_PIECE))))
     wanted = secrets.where(F.length(secret) >= _PIECE).select(*scope, F.col(secret).alias("sv_secret")).distinct()
     parts = wanted.select("*", F.explode(pieces(F.col("sv_secret"))).alias("sv_piece"))
@@ -222,6 +246,5 @@ def leaks(cleaned: DataFrame, secrets: DataFrame, keys: list[str], scope: list[s
     filed = materialize(filed)
     carried = list(dict.fromkeys([*keys, *scope]))
     held = cleaned.where(F.length(text) >= _PIECE).select(*carried, F.explode(pieces(F.col(text))).alias("sv_piece"))
-    met = among(held, filed, "sv_piece").join(filed, [*scope, "sv_piece"]).groupBy(*keys).agg(F.collect_set("sv_secret").alias("sv_some"))
-    found = cleaned.join(met, keys).withColumn("leaked", F.array_sort(F.filter("sv_some", lambda x: F.col(text).contains(x))))
-    return found.where(F.size("leaked") > 0).select(*keys, "leaked")
+    met = among(held, filed, "sv_piece").join(filed, [*scope, "sv_piece"]).groupBy(*carried).agg(F.collect_set("sv_secret").alias("sv_some"))
+    return _leaked(cleaned.join(met, carried), keys, text)

@@ -78,3 +78,15 @@ def test_texts_are_searched_once_for_single_words_and_their_matches(spark):
     found = D.term_spans(texts, terms, ["id"]).select("id", F.explode("sv_terms").alias("s"))
     assert "regexp" not in found._jdf.queryExecution().toString()
     assert [(r.id, r.s.value) for r in found.collect()] == [(1, "The"), (1, "th\u00e9"), (1, "THE"), (1, "ist"), (1, "W\u00c1S"), (1, "w\u1ea5s")]
+
+
+def test_leaks_of_small_scopes_need_no_pieces_and_large_ones_find_the_same(spark, monkeypatch):
+    cleaned = spark.createDataFrame([(1, "a", "xAna Lópezx Bruno Gil"), (1, "b", "Ana López, Bruno Gil"), (2, "c", "valor 7 y valor 11."), (3, None, "Ana López"), (4, "a", None)], "id int, who string, protected string")
+    secrets = spark.createDataFrame([("a", "Ana López"), ("a", "Ana López"), ("b", "Bruno Gil"), ("b", "Ana"), (None, "Ana López"), *[("c", f"valor {k}") for k in range(30)]], "who string, original string")
+    want = [(1, ["Ana López"]), (1, ["Bruno Gil"]), (2, ["valor 1", "valor 11", "valor 7"])]
+    found = D.leaks(cleaned, secrets, ["id"], ["who"])
+    assert "sv_piece" not in found._jdf.queryExecution().toString() and sorted(map(tuple, found.collect())) == want
+    for few in (0, 10):
+        monkeypatch.setattr(D, "_FEW_SECRETS", few)
+        found = D.leaks(cleaned, secrets, ["id"], ["who"])
+        assert "sv_piece" in found._jdf.queryExecution().toString() and sorted(map(tuple, found.collect())) == want
